@@ -74,4 +74,4 @@ def date_text(value: Column) -> Column:
 
 def number_text(value: Column, places: int) -> Column:
     """Fixed decimals for display, null left as text."""
-    return F.when(value.isNull(), "Not available").otherwise(F.format_string(f"%.{places}f", value))
+    return F.when(value.isNull(), "Not available").otherwise(F.format_string(f"%.{places}f", F.bround(value, places)))
