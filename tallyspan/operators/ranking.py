@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspan.functions.numeric import is_finite
-from tallyspan.session import new_folder
+from tallyspan.operators.ordering import positions
 
 
 def projected_total(paths: DataFrame) -> DataFrame:
@@ -13,26 +13,8 @@ def projected_total(paths: DataFrame) -> DataFrame:
 
 
 def rank_totals(totals: DataFrame) -> DataFrame:
-    """Unique ranks, larger totals first and equal ones by key, without one task seeing all series.
-
-    The totals are written in sorted order, range by range. A row's rank is its place in its file plus the rows of the
-    files before it, so only one number per file is accumulated.
-    """
-    spark = totals.sparkSession
-    folder = new_folder(spark, "ranking")
-    totals.filter(F.col("projected_total").isNotNull()).orderBy(F.desc("projected_total"), "k").write.parquet(folder)
-    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)-.*-c(\d+)", 1).cast("bigint")
-    piece = F.regexp_extract("_metadata.file_name", r"part-(\d+)-.*-c(\d+)", 2).cast("bigint")
-    rows = spark.read.schema(totals.schema).parquet(folder).select(
-        "*", part.alias("_p"), piece.alias("_c"), F.col("_metadata.row_index").alias("_i")
-    )
-    earlier = Window.orderBy("_p", "_c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("_p", "_c").agg(F.count("*").alias("_n")).select(
-        "_p", "_c", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    return rows.join(offsets, ["_p", "_c"]).select(
-        *totals.columns, (F.col("_before") + F.col("_i") + 1).cast("bigint").alias("rank")
-    )
+    """Unique ranks, larger totals first and equal ones by key, without one task seeing all series."""
+    return positions(totals.filter(F.col("projected_total").isNotNull()), [F.desc("projected_total"), F.asc("k")], "rank")
 
 
 def top_n(totals: DataFrame, n: int) -> DataFrame:

@@ -22,9 +22,15 @@ def _every(n: int) -> Column:
     return F.col("o_orderkey") % n == 0
 
 
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
 def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """One text row per order: source sheet, source row and ten text columns."""
-    orders = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return raw_rows(table(spark, folder, "orders", *ORDER_COLUMNS))
+
+
+def raw_rows(orders: DataFrame) -> DataFrame:
+    """One text row per order, batch or stream: source sheet, source row and ten text columns."""
     year, month, day = F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")
     names = F.array(*[F.lit(n.capitalize()) for n in MONTH_NAMES])
     name = F.element_at(names, month)
@@ -69,7 +75,7 @@ def sheet_cells(spark: SparkSession, folder: str) -> DataFrame:
 
     Row positions only order the rows. Titles take position 0 to 2, the header 3, and an order its key plus 10.
     """
-    orders = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    orders = table(spark, folder, "orders", *ORDER_COLUMNS)
     source = F.concat(F.lit("sheet "), F.col("o_custkey").cast("string"))
     week = (F.floor((F.dayofyear("o_orderdate") - 1) / 7) + 1).cast("bigint")
     body = orders.select(
