@@ -18,17 +18,22 @@ def is_close(a: Column, b: Column, rtol: float, atol: float) -> Column:
     return F.abs(a - b) <= atol + rtol * F.abs(b)
 
 
+def floor_zero(value: Column) -> Column:
+    """At least zero; unlike a bare `greatest`, an unknown value stays unknown."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), value))
+
+
 def clip(value: Column, bound: float) -> Column:
-    return F.greatest(F.lit(-bound), F.least(F.lit(bound), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(-bound), F.least(F.lit(bound), value)))
 
 
 def combine(base: Column, correction: Column, bound: float, weight: float) -> Column:
     """Floored base plus a bounded, weighted correction, floored again."""
-    return F.greatest(F.lit(0.0), F.greatest(F.lit(0.0), base) + weight * clip(correction, bound))
+    return floor_zero(floor_zero(base) + weight * clip(correction, bound))
 
 
 def combine_unbounded(base: Column, correction: Column) -> Column:
-    return F.greatest(F.lit(0.0), base + correction)
+    return floor_zero(base + correction)
 
 
 def percent_of(part: Column, whole: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspan.config import MODEL, ModelSettings
-from tallyspan.functions.numeric import combine, combine_unbounded, is_finite
+from tallyspan.functions.numeric import combine, combine_unbounded, floor_zero, is_finite
 from tallyspan.operators.coverage import forecast_calendar
 from tallyspan.operators.lags import lag_value
 
@@ -211,7 +211,7 @@ def corrected_forecast(frame: DataFrame, settings: ModelSettings = MODEL) -> Dat
     return scored.withColumn("status", status).select(
         "k", "m", "h", "y", "n_train", "n_residual_rows", "phi", "status",
         F.col("base").alias("raw_base"),
-        F.greatest(F.lit(0.0), F.col("base")).alias("base"),
+        floor_zero(F.col("base")).alias("base"),
         "correction",
         F.when(done, bounded).alias("hybrid"),
         F.when(done, combine_unbounded(F.col("base"), F.col("correction"))).alias("hybrid_raw"),
@@ -276,16 +276,15 @@ def terminal_gaps(df: DataFrame, lags: int) -> DataFrame:
 # ---- benchmarks ---------------------------------------------------------------------------------------------------
 
 def seasonal_naive(frame: DataFrame, season: int = 12) -> DataFrame:
-    """The last training values of one season, repeated over the targets."""
+    """The last training values of one season, repeated over the targets; a shorter history repeats what it has."""
     train = frame.filter(F.col("train") & F.col("y").isNotNull())
     back = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("m")))
-    last = train.withColumn("_b", back).filter(F.col("_b") <= season).select(
-        "k", (F.lit(season) - F.col("_b")).alias("slot"), F.col("y").alias("naive")
-    )
-    targets = frame.filter(F.col("h").isNotNull()).withColumn("slot", (F.col("h") - 1) % season)
-    return targets.join(last, ["k", "slot"], "left").select(
-        "k", "m", "h", "y", F.greatest(F.lit(0.0), F.col("naive").cast("double")).alias("naive")
+    last = train.withColumn("_b", back).filter(F.col("_b") <= season).groupBy("k").agg(
+        F.array_sort(F.collect_list(F.struct("m", F.col("y").cast("double").alias("v")))).alias("_last")
     )
+    place = ((F.col("h") - 1) % F.size("_last") + 1).cast("int")
+    targets = frame.filter(F.col("h").isNotNull()).join(last, "k", "left")
+    return targets.select("k", "m", "h", "y", floor_zero(F.element_at("_last", place)["v"]).alias("naive"))
 
 
 def recent_mean(frame: DataFrame, n: int = 12) -> DataFrame:

@@ -262,22 +262,27 @@ def week53_rules(df: DataFrame) -> DataFrame:
 
 
 def typed_rows(raw: DataFrame, allowed_codes: list[str], reasons: list[str]) -> DataFrame:
-    """Every raw row with its typed values and the list of its problems; good rows have an empty list."""
-    year, month = strict_integer(F.col("year_text")), month_number(F.col("month_text"))
-    code = block_code(F.col("code_text"))
-    count = strict_integer(F.col("count_text"))
-    supplied = F.nullif(F.trim("count_text"), F.lit("")).isNotNull()
-    status, status_error = observation_status(count, F.trim("status_text"), reasons)
+    """Every raw row with its typed values and the list of its problems; good rows have an empty list.
+
+    Parsing happens in a projection of its own, so that each pattern is matched once per row.
+    """
+    parsed = raw.select(
+        "source", "source_row", strict_integer(F.col("year_text")).alias("year"), month_number(F.col("month_text")).alias("month"),
+        block_code(F.col("code_text")).alias("code"), squeeze_spaces(F.col("label_text")).alias("label"),
+        strict_integer(F.col("count_text")).alias("y"), F.nullif(F.trim("count_text"), F.lit("")).isNotNull().alias("_supplied"),
+        F.trim("status_text").alias("_status"),
+    )
+    status, status_error = observation_status(F.col("y"), F.col("_status"), reasons)
+    year = F.col("year")
     problems = F.array_compact(F.array(
         F.when(year.isNull() | ~year.between(1900, 9999), "year"),
-        F.when(month.isNull(), "month"),
-        F.when(~F.coalesce(code.isin(allowed_codes), F.lit(False)), "code"),
-        F.when(F.coalesce(squeeze_spaces(F.col("label_text")), F.lit("")) == "", "label"),
-        F.when(supplied & count.isNull(), "count").otherwise(status_error),
+        F.when(F.col("month").isNull(), "month"),
+        F.when(~F.coalesce(F.col("code").isin(allowed_codes), F.lit(False)), "code"),
+        F.when(F.coalesce("label", F.lit("")) == "", "label"),
+        F.when(F.col("_supplied") & F.col("y").isNull(), "count").otherwise(status_error),
     ))
-    return raw.select(
-        "source", "source_row", year.alias("year"), month.alias("month"), code.alias("code"),
-        squeeze_spaces(F.col("label_text")).alias("label"), count.alias("y"), status.alias("status"), problems.alias("problems"),
+    return parsed.select(
+        "source", "source_row", "year", "month", "code", "label", "y", status.alias("status"), problems.alias("problems")
     )
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyspan.config import MODEL, ModelSettings
 from tallyspan.operators.forecast import residual_rows, trend_season
@@ -84,7 +84,7 @@ def _fourier_terms(t: Column, m: Column, pairs: int, season: int) -> list[Column
     return terms
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(sums: pd.Series) -> pd.Series:
     """Coefficients from the normal-equation sums of each series, all series of a batch at once."""
     packed = np.stack(sums.to_numpy())

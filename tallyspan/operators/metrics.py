@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyspan.functions.numeric import is_close, is_finite, percent_of
+from tallyspan.functions.numeric import floor_zero, is_close, is_finite, percent_of
 from tallyspan.operators.lags import seasonal_pairs
 
 # Limits of the shape heuristics.
@@ -106,7 +106,7 @@ def mape_scale_risk(profile: DataFrame, floor: float = MAPE_FLOOR) -> DataFrame:
 
 def score_coverage(rows: DataFrame, *keys: str) -> DataFrame:
     """What was scored and what was left out, with predictions floored at zero."""
-    floored = rows.withColumn("predicted", F.greatest(F.lit(0.0), F.col("predicted")))
+    floored = rows.withColumn("predicted", floor_zero(F.col("predicted")))
     return floored.groupBy(*keys).agg(
         F.count("*").alias("test_positions_total"),
         F.count("actual").alias("observations_scored"),
@@ -134,7 +134,7 @@ def error_band(calibration: DataFrame, future: DataFrame) -> DataFrame:
     radius = calibration.groupBy("k").agg(F.max(F.abs(error())).alias("radius"), F.count(error()).alias("n_errors"))
     return future.join(radius, "k").select(
         "k", "m", "h", "value", "radius", "n_errors",
-        F.greatest(F.lit(0.0), F.col("value") - F.col("radius")).alias("lower"), (F.col("value") + F.col("radius")).alias("upper"),
+        floor_zero(F.col("value") - F.col("radius")).alias("lower"), (F.col("value") + F.col("radius")).alias("upper"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspan.functions.hashing import row_hash
+from tallyspan.functions.numeric import floor_zero
 from tallyspan.operators import metrics
 
 
@@ -31,7 +32,7 @@ def fit_candidates(split: DataFrame, grid: DataFrame) -> DataFrame:
 def score_candidates(fitted: DataFrame) -> DataFrame:
     """Information criterion on training rows and errors on validation rows, one row per key and candidate."""
     e = F.col("actual") - F.col("predicted")
-    floored = F.col("actual") - F.greatest(F.lit(0.0), F.col("predicted"))
+    floored = F.col("actual") - floor_zero(F.col("predicted"))
     held = F.when(~F.col("train"), floored)
     sums = fitted.groupBy("k", "candidate", "kind", "season").agg(
         F.count(F.when(F.col("train"), 1)).alias("n"),

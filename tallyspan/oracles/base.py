@@ -93,8 +93,11 @@ def hash_text(*exprs: str) -> str:
 
 def signature(*exprs: str) -> str:
     h = f"sha256({hash_text(*exprs)})"
-    lanes = [f"coalesce(sum(('0x' || substr({h}, {1 + 15 * i}, 15))::BIGINT), 0)::VARCHAR" for i in range(4)]
-    return f"sha256(count({h})::VARCHAR || '/' || {(chr(32) + '||' + chr(32) + chr(39) + '/' + chr(39) + ' || ').join(lanes)})"
+    lanes = [
+        f"coalesce(sum((('0x' || substr({h}, {1 + 15 * i}, 15))::BIGINT >> {20 * j}) & 1048575), 0)::VARCHAR"
+        for i in range(4) for j in range(3)
+    ]
+    return f"sha256(count({h})::VARCHAR || '/' || " + " || '/' || ".join(lanes) + ")"
 
 
 VIEWS["om"] = """

@@ -56,7 +56,7 @@ SELECT *, CASE WHEN n_train < 17 THEN 'failed' WHEN base IS NULL THEN 'base_fail
                WHEN n_residual_rows < 5 THEN 'residual_insufficient'
                WHEN correction IS NULL THEN 'residual_failed' ELSE 'completed' END AS status FROM {p}_raw"""
     VIEWS[f"{p}_out"] = f"""
-SELECT k, m, h, y, n_train, n_residual_rows, phi, status, greatest(0.0, base) AS base, correction,
+SELECT k, m, h, y, n_train, n_residual_rows, phi, status, CASE WHEN base IS NOT NULL THEN greatest(0.0, base) END AS base, correction,
        CASE WHEN status = 'completed'
             THEN greatest(0.0, greatest(0.0, base) + 0.1 * greatest(-1.0, least(1.0, correction))) END AS hybrid,
        CASE WHEN status = 'completed' THEN greatest(0.0, base + correction) END AS hybrid_raw
@@ -92,18 +92,18 @@ SELECT f.k || '#' || f.fold AS k, m, y, train, CASE WHEN NOT train THEN m - e EN
 FROM fold f JOIN (SELECT k, fold, max(m) AS e FROM fold WHERE train GROUP BY ALL) USING (k, fold)"""
 forecast_views("r", "foldf")
 VIEWS["fold_naive"] = """
-SELECT t.k, t.m, l.y::DOUBLE AS naive
-FROM foldf t JOIN (SELECT k, y, 12 - row_number() OVER (PARTITION BY k ORDER BY m DESC) AS slot FROM foldf WHERE train) l
-  ON l.k = t.k AND l.slot = (t.h - 1) % 12 AND l.slot >= 0 WHERE t.h IS NOT NULL"""
+SELECT t.k, t.m, l.y::DOUBLE AS naive FROM foldf t JOIN (
+  SELECT k, y, least(12, count(*) OVER (PARTITION BY k)) AS n, row_number() OVER (PARTITION BY k ORDER BY m DESC) AS b FROM foldf WHERE train) l
+  ON l.k = t.k AND l.b <= n AND l.n - l.b = (t.h - 1) % n WHERE t.h IS NOT NULL"""
 VIEWS["frows"] = """
 SELECT split_part(k, '#', 1) AS k, split_part(k, '#', 2)::BIGINT AS fold, 'base' AS model, y::DOUBLE AS actual,
        greatest(0.0, base) AS predicted FROM r_fit WHERE h IS NOT NULL
 UNION ALL SELECT split_part(f.k, '#', 1), split_part(f.k, '#', 2)::BIGINT, 'naive', f.y::DOUBLE, naive
 FROM foldf f JOIN fold_naive n ON n.k = f.k AND n.m = f.m WHERE f.h IS NOT NULL"""
 VIEWS["btn"] = """
-SELECT t.k, t.m, t.h, t.y, greatest(0.0, l.y::DOUBLE) AS naive
-FROM bt t LEFT JOIN (SELECT k, y, 12 - row_number() OVER (PARTITION BY k ORDER BY m DESC) AS slot FROM bt WHERE train) l
-  ON l.k = t.k AND l.slot = (t.h - 1) % 12 AND l.slot >= 0 WHERE t.h IS NOT NULL"""
+SELECT t.k, t.m, t.h, t.y, l.y::DOUBLE AS naive FROM bt t LEFT JOIN (
+  SELECT k, y, least(12, count(*) OVER (PARTITION BY k)) AS n, row_number() OVER (PARTITION BY k ORDER BY m DESC) AS b FROM bt WHERE train) l
+  ON l.k = t.k AND l.b <= n AND l.n - l.b = (t.h - 1) % n WHERE t.h IS NOT NULL"""
 VIEWS["tot"] = "SELECT k, round(sum(hybrid), 6) AS projected_total, count(hybrid)::BIGINT AS n_periods FROM f_out GROUP BY k"
 VIEWS["ranked"] = """
 SELECT *, row_number() OVER (ORDER BY projected_total DESC, k)::BIGINT AS rank FROM tot WHERE projected_total IS NOT NULL"""

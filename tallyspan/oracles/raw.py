@@ -42,9 +42,9 @@ SELECT 'sheet ' || o_custkey AS source, o_orderkey + 10 AS row_pos,
        [{_WORD}, {_Y}::VARCHAR, ((dayofyear(o_orderdate) - 1) // 7 + 1)::VARCHAR,
         CASE WHEN {_every(13)} THEN '' ELSE {_COUNT} END, CASE WHEN o_orderstatus = 'P' THEN 'late' ELSE '' END] AS cells
 FROM orders
-UNION ALL SELECT 'sheet ' || c, 3, {_STYLES}[c % 4 + 1] FROM (SELECT DISTINCT o_custkey AS c FROM orders)
-UNION ALL SELECT 'sheet ' || c, t, ['Weekly report', '', '', '', '']
-FROM (SELECT DISTINCT o_custkey AS c FROM orders), (SELECT unnest(range(0, 3)) AS t) WHERE t < c % 3 + 1"""
+UNION ALL SELECT 'sheet ' || c_custkey, 3, {_STYLES}[c_custkey % 4 + 1] FROM customer
+UNION ALL SELECT 'sheet ' || c_custkey, t, ['Weekly report', '', '', '', '']
+FROM customer, (SELECT unnest(range(0, 3)) AS t) WHERE t < c_custkey % 3 + 1"""
 VIEWS["cell"] = """
 SELECT source, row_pos, i - 1 AS col_pos, cells[i] AS value FROM sheet_rows, (SELECT unnest(range(1, 6)) AS i)"""
 

@@ -39,7 +39,7 @@ SQL = {
 SELECT a.k, a.m, a.y, b.y AS previous FROM ud a JOIN ud b ON b.k = a.k AND b.m = a.m - 7 WHERE a.y IS NOT NULL AND b.y IS NOT NULL""",
     "differences": "SELECT k, m, y, d_season, d_both FROM bdd",
     "decompose": f"""
-SELECT t.k, m, y, {r6('trend')} AS trend, {r6('seasonal')} AS seasonal, {r6('y - trend - seasonal')} AS remainder
+SELECT t.k, m, y, round(trend, 8) AS trend, round(seasonal, 8) AS seasonal, round(y - trend - seasonal, 8) AS remainder
 FROM dec_t t JOIN dec_s s ON s.k = t.k AND s.ph = t.m % 12""",
     "acf": f"""
 SELECT a.k, n, lag, {r6('r')} AS r, {r6('c12')} AS lag12_correlation FROM ({acf('cen', 12)}) a

@@ -76,7 +76,8 @@ SELECT k, year, bool_or(present) AS present, CASE WHEN bool_or(present) THEN sum
 FROM study GROUP BY k, year"""
 VIEWS["repn"] = """
 SELECT t.k, t.h, l.y AS value FROM (SELECT * FROM repf WHERE h IS NOT NULL) t
-LEFT JOIN (SELECT k, y, 12 - row_number() OVER (PARTITION BY k ORDER BY m DESC) AS slot FROM rep) l ON l.k = t.k AND l.slot = t.h - 1"""
+LEFT JOIN (SELECT k, y, least(12, count(*) OVER (PARTITION BY k)) AS n, row_number() OVER (PARTITION BY k ORDER BY m DESC) AS b FROM rep) l
+  ON l.k = t.k AND l.b <= n AND l.n - l.b = (t.h - 1) % n"""
 
 _LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
 _EXPECT = " UNION ALL ".join(

@@ -59,14 +59,14 @@ def reporting_period(spark, folder):
 
 @query("forecast_calendar")
 def forecast_calendar(spark, folder):
-    return coverage.forecast_calendar(series.orders_monthly(spark, folder), MODEL.horizon).select(
+    return coverage.forecast_calendar(series.settle(series.orders_monthly(spark, folder)), MODEL.horizon).select(
         "k", "h", "m", cal.month_label(F.col("m")).alias("month_label")
     )
 
 
 @query("week_advance")
 def week_advance(spark, folder):
-    return coverage.advance_weeks(series.weekly_reports(spark, folder), 60)
+    return coverage.advance_weeks(series.settle(series.weekly_reports(spark, folder)), 60)
 
 
 @query("dense_grid")
@@ -78,10 +78,10 @@ def dense_grid(spark, folder):
 
 @query("weekly_grid")
 def weekly_grid(spark, folder):
-    return grid.weekly_grid(series.weekly_reports(spark, folder))
+    return grid.weekly_grid(series.settle(series.weekly_reports(spark, folder)))
 
 
 @query("zero_fill_gated")
 def zero_fill_gated(spark, folder):
-    monthly = series.orders_monthly(spark, folder, "o_orderstatus")
+    monthly = series.settle(series.orders_monthly(spark, folder, "o_orderstatus"))
     return grid.zero_filled(monthly, coverage.coverage_gate(monthly, minimum=60))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspan.config import MODEL
-from tallyspan.functions.numeric import r6
+from tallyspan.functions.numeric import floor_zero, r6
 from tallyspan.operators import coverage, forecast, lags, metrics, ranking
 from tallyspan.plans.registry import query
 from tallyspan.sources import series
@@ -19,25 +19,24 @@ def rounded(df, *columns):
     return df.select(*[r6(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def backtest_paths(spark, folder):
-    return forecast.run_workflow(forecast.backtest_frame(series.orders_monthly(spark, folder)))
+def backtest_paths(monthly):
+    return forecast.run_workflow(forecast.backtest_frame(monthly))
 
 
-def future_paths(spark, folder):
-    return forecast.run_workflow(forecast.future_frame(series.orders_monthly(spark, folder), MODEL.horizon))
+def future_paths(monthly):
+    return forecast.run_workflow(forecast.future_frame(monthly, MODEL.horizon))
 
 
-def backtest_rows(spark, folder):
-    return metrics.long_paths(backtest_paths(spark, folder).filter(F.col("y").isNotNull()), ["base", "hybrid"])
+def backtest_rows(monthly):
+    return metrics.long_paths(backtest_paths(monthly).filter(F.col("y").isNotNull()), ["base", "hybrid"])
 
 
-def train_rows(spark, folder):
-    return forecast.backtest_frame(series.orders_monthly(spark, folder)).filter("train").select("k", "m", "y")
+def train_rows(monthly):
+    return forecast.backtest_frame(monthly).filter("train").select("k", "m", "y")
 
 
-def user_frame(spark, folder):
+def user_frame(daily):
     """Errors per user and day: the last seven days are the targets, also where no day was observed."""
-    daily = series.user_daily(spark, folder)
     end = daily.agg(F.max("m")).scalar()
     framed = daily.withColumn("_e", end)
     return framed.select(
@@ -46,9 +45,9 @@ def user_frame(spark, folder):
     )
 
 
-def user_rows(spark, folder):
+def user_rows(daily):
     """User targets predicted by the mean of the training days."""
-    frame = user_frame(spark, folder)
+    frame = user_frame(daily)
     mean = frame.filter("train").groupBy("k").agg(F.avg("y").alias("predicted"))
     return frame.filter(F.col("h").isNotNull()).join(mean, "k").select(
         "k", "m", "h", F.col("y").cast("double").alias("actual"), "predicted", F.lit("mean").alias("model")
@@ -59,19 +58,22 @@ def user_rows(spark, folder):
 
 @query("base_forecast")
 def base_forecast(spark, folder):
-    fitted = forecast.trend_season(forecast.backtest_frame(series.orders_monthly(spark, folder)))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    fitted = forecast.trend_season(forecast.backtest_frame(monthly))
     return rounded(fitted.select("k", "m", "h", "train", "trend", "seasonal", "base"), "trend", "seasonal", "base")
 
 
 @query("residuals")
 def residuals(spark, folder):
-    fitted = forecast.trend_season(forecast.backtest_frame(series.orders_monthly(spark, folder)))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    fitted = forecast.trend_season(forecast.backtest_frame(monthly))
     return rounded(fitted.filter("train").select("k", "m", "y", "base", "residual"), "base", "residual")
 
 
 @query("residual_rows")
 def residual_rows(spark, folder):
-    marked = forecast.residual_rows(forecast.trend_season(user_frame(spark, folder), 7))
+    daily = series.user_daily(spark, folder)
+    marked = forecast.residual_rows(forecast.trend_season(user_frame(daily), 7))
     usable = marked.filter("usable").select("k", "m", "residual")
     counted = usable.groupBy("k").agg(F.count("*").alias("n_rows"))
     return rounded(usable.join(counted, "k").withColumn("enough", F.col("n_rows") >= MODEL.min_residual_rows), "residual")
@@ -79,19 +81,22 @@ def residual_rows(spark, folder):
 
 @query("complete_lag_rows")
 def complete_lag_rows(spark, folder):
-    fitted = forecast.trend_season(user_frame(spark, folder), 7)
+    daily = series.user_daily(spark, folder)
+    fitted = forecast.trend_season(user_frame(daily), 7)
     return rounded(forecast.complete_lag_rows(fitted, 4).select("k", "m", "residual"), "residual")
 
 
 @query("positional_lags")
 def positional_lags(spark, folder):
-    seen = series.user_daily(spark, folder).filter("observed").select("k", "m", "y")
+    daily = series.user_daily(spark, folder)
+    seen = daily.filter("observed").select("k", "m", "y")
     return lags.positional_lags(seen, 3)
 
 
 @query("residual_ar1")
 def residual_ar1(spark, folder):
-    frame = forecast.backtest_frame(series.orders_monthly(spark, folder))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    frame = forecast.backtest_frame(monthly)
     full = forecast.linear_correction(forecast.residual_rows(forecast.trend_season(frame)))
     one = full.groupBy("k").agg(
         F.max("phi").alias("phi"), F.max("n_residual_rows").alias("n_residual_rows"), F.max("last_residual").alias("last_residual")
@@ -102,7 +107,8 @@ def residual_ar1(spark, folder):
 @query("recursive_correction")
 def recursive_correction(spark, folder):
     """The fold over the horizon with a three-lag rule, started from each key's last residuals."""
-    frame = forecast.future_frame(series.orders_monthly(spark, folder), MODEL.horizon)
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    frame = forecast.future_frame(monthly, MODEL.horizon)
     fitted = forecast.trend_season(frame).filter(F.col("residual").isNotNull())
     end = fitted.agg(F.max("m")).scalar()
     recent = fitted.withColumn("_e", end).filter(F.col("m") > F.col("_e") - 3).withColumn("_slot", F.col("m") - F.col("_e") + 2)
@@ -115,25 +121,29 @@ def recursive_correction(spark, folder):
 
 @query("hybrid_combine")
 def hybrid_combine(spark, folder):
+    monthly = series.settle(series.orders_monthly(spark, folder))
     return rounded(
-        backtest_paths(spark, folder).select("k", "m", "h", "base", "correction", "hybrid"), "base", "correction", "hybrid"
+        backtest_paths(monthly).select("k", "m", "h", "base", "correction", "hybrid"), "base", "correction", "hybrid"
     )
 
 
 @query("hybrid_combine_raw")
 def hybrid_combine_raw(spark, folder):
-    return rounded(backtest_paths(spark, folder).select("k", "m", "h", "hybrid_raw"), "hybrid_raw")
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return rounded(backtest_paths(monthly).select("k", "m", "h", "hybrid_raw"), "hybrid_raw")
 
 
 @query("component_check")
 def component_check(spark, folder):
-    return forecast.component_check(future_paths(spark, folder), MODEL.horizon)
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return forecast.component_check(future_paths(monthly), MODEL.horizon)
 
 
 @query("backtest")
 def backtest(spark, folder):
-    rows = backtest_rows(spark, folder)
-    scores = metrics.forecast_metrics(rows, metrics.mase_scale(train_rows(spark, folder), MODEL.season))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    rows = backtest_rows(monthly)
+    scores = metrics.forecast_metrics(rows, metrics.mase_scale(train_rows(monthly), MODEL.season))
     wide = scores.groupBy("k").pivot("model", ["base", "hybrid"]).agg(
         F.first("n").alias("n"), F.first("mae").alias("mae"), F.first("rmse").alias("rmse"), F.first("mase").alias("mase")
     )
@@ -147,15 +157,15 @@ def backtest(spark, folder):
     )
 
 
-def fold_rows(spark, folder):
+def fold_rows(monthly):
     """Rolling folds with the base model and the seasonal-naive benchmark, all folds of all keys in one plan."""
-    folds = forecast.rolling_folds(series.orders_monthly(spark, folder), 3, 12)
+    folds = forecast.rolling_folds(monthly, 3, 12)
     keyed = folds.select(F.concat_ws("#", "k", "fold").alias("k"), F.col("k").alias("series"), "fold", "m", "y", "train")
     start = keyed.filter("train").groupBy("k").agg(F.max("m").alias("_end"))
     framed = keyed.join(start, "k").withColumn("h", F.when(~F.col("train"), F.col("m") - F.col("_end")))
     base = forecast.trend_season(framed).filter(F.col("h").isNotNull()).select("k", "series", "fold", "m", "h", "y", "base")
     naive = forecast.seasonal_naive(framed).select("k", "m", "naive")
-    wide = base.join(naive, ["k", "m"], "left").withColumn("base", F.greatest(F.lit(0.0), F.col("base")))
+    wide = base.join(naive, ["k", "m"], "left").withColumn("base", floor_zero(F.col("base")))
     rows = metrics.long_paths(wide.withColumn("k", F.concat_ws("#", "series", "fold")), ["base", "naive"])
     return rows.withColumn("fold", F.element_at(F.split("k", "#"), -1).cast("bigint")).withColumn(
         "k", F.element_at(F.split("k", "#"), 1)
@@ -164,14 +174,16 @@ def fold_rows(spark, folder):
 
 @query("rolling_backtest")
 def rolling_backtest(spark, folder):
-    return rounded(fold_rows(spark, folder).groupBy("k", "model", "fold").agg(
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return rounded(fold_rows(monthly).groupBy("k", "model", "fold").agg(
         F.count(metrics.error()).alias("n"), metrics.mae().alias("mae"), metrics.rmse().alias("rmse")
     ), "mae", "rmse")
 
 
 @query("pooled_fold_metrics")
 def pooled_fold_metrics(spark, folder):
-    return rounded(fold_rows(spark, folder).groupBy("k", "model").agg(
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return rounded(fold_rows(monthly).groupBy("k", "model").agg(
         F.count(metrics.error()).alias("n"), metrics.mae().alias("mae"), metrics.rmse().alias("rmse"),
         metrics.mape().alias("mape"), metrics.wape().alias("wape"),
     ), "mae", "rmse", "mape", "wape")
@@ -180,7 +192,8 @@ def pooled_fold_metrics(spark, folder):
 @query("forecast_batch")
 def forecast_batch(spark, folder):
     """All ready series in one plan; each carries its own outcome and the others go on."""
-    paths = future_paths(spark, folder)
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    paths = future_paths(monthly)
     group = F.lit("batch-" + MODEL.signature[:16])
     return rounded(paths.groupBy("k").agg(
         F.first("status").alias("status"), F.count("hybrid").alias("n_values"), F.first("n_train").alias("n_train"),
@@ -191,7 +204,8 @@ def forecast_batch(spark, folder):
 @query("run_status")
 def run_status(spark, folder):
     """Outcomes over many thin series, where several of the states occur."""
-    paths = forecast.corrected_forecast(user_frame(spark, folder))
+    daily = series.user_daily(spark, folder)
+    paths = forecast.corrected_forecast(user_frame(daily))
     return paths.groupBy("k").agg(
         F.first("status").alias("status"), F.first("n_train").alias("n_train"), F.first("n_residual_rows").alias("n_residual_rows")
     )
@@ -204,32 +218,38 @@ def short_span_flag(spark, folder):
 
 @query("abstain_choice")
 def abstain_choice(spark, folder):
-    return rounded(forecast.abstain_choice(forecast.corrected_forecast(user_frame(spark, folder))), "value")
+    daily = series.user_daily(spark, folder)
+    return rounded(forecast.abstain_choice(forecast.corrected_forecast(user_frame(daily))), "value")
 
 
 @query("terminal_gaps")
 def terminal_gaps(spark, folder):
-    return forecast.terminal_gaps(series.user_daily(spark, folder).select("k", "m", "y"), 12)
+    daily = series.user_daily(spark, folder)
+    return forecast.terminal_gaps(daily.select("k", "m", "y"), 12)
 
 
 @query("recent_mean")
 def recent_mean(spark, folder):
-    return rounded(forecast.recent_mean(user_frame(spark, folder)), "recent_mean")
+    daily = series.user_daily(spark, folder)
+    return rounded(forecast.recent_mean(user_frame(daily)), "recent_mean")
 
 
 @query("production_refit")
 def production_refit(spark, folder):
-    return rounded(future_paths(spark, folder).select("k", "m", "h", "base", "correction", "hybrid", "status"), "base", "correction", "hybrid")
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return rounded(future_paths(monthly).select("k", "m", "h", "base", "correction", "hybrid", "status"), "base", "correction", "hybrid")
 
 
 @query("seasonal_naive")
 def seasonal_naive(spark, folder):
-    return forecast.seasonal_naive(forecast.backtest_frame(series.orders_monthly(spark, folder)))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return forecast.seasonal_naive(forecast.backtest_frame(monthly))
 
 
 @query("seasonal_average")
 def seasonal_average(spark, folder):
-    rows = forecast.seasonal_average(forecast.backtest_frame(series.orders_monthly(spark, folder)), [1997])
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    rows = forecast.seasonal_average(forecast.backtest_frame(monthly), [1997])
     scored = rows.select("k", F.col("y").cast("double").alias("actual"), F.col("average").alias("predicted"))
     return rounded(scored.groupBy("k").agg(metrics.mae().alias("mae"), metrics.wape().alias("wape")), "mae", "wape")
 
@@ -238,125 +258,144 @@ def seasonal_average(spark, folder):
 
 @query("holdout_split")
 def holdout_split(spark, folder):
-    return forecast.holdout_split(series.orders_monthly(spark, folder), MODEL.min_observations)
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return forecast.holdout_split(monthly, MODEL.min_observations)
 
 
 @query("three_way_split")
 def three_way_split(spark, folder):
-    return forecast.three_way_split(series.orders_monthly(spark, folder), 12, 12)
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return forecast.three_way_split(monthly, 12, 12)
 
 
 @query("rolling_folds")
 def rolling_folds(spark, folder):
-    return forecast.rolling_folds(series.orders_monthly(spark, folder), 3, 12)
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return forecast.rolling_folds(monthly, 3, 12)
 
 
 @query("split_override")
 def split_override(spark, folder):
-    return forecast.split_override(series.orders_monthly(spark, folder).select("k", "m", "year", "y"), {"2-HIGH": 1998, "5-LOW": 1999})
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return forecast.split_override(monthly.select("k", "m", "year", "y"), {"2-HIGH": 1998, "5-LOW": 1999})
 
 
 @query("window_variants")
 def window_variants(spark, folder):
-    return forecast.window_variants(series.orders_monthly(spark, folder), [24, 36, 48], [0, 12], 12)
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return forecast.window_variants(monthly, [24, 36, 48], [0, 12], 12)
 
 
 # ---- metrics ------------------------------------------------------------------------------------------------------
 
 @query("forecast_metrics")
 def forecast_metrics(spark, folder):
-    scores = metrics.forecast_metrics(backtest_rows(spark, folder), metrics.mase_scale(train_rows(spark, folder), MODEL.season))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    scores = metrics.forecast_metrics(backtest_rows(monthly), metrics.mase_scale(train_rows(monthly), MODEL.season))
     return rounded(scores, "mae", "rmse", "mase")
 
 
 @query("mase_scale")
 def mase_scale(spark, folder):
-    return rounded(metrics.mase_scale(train_rows(spark, folder), MODEL.season), "scale")
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return rounded(metrics.mase_scale(train_rows(monthly), MODEL.season), "scale")
 
 
 @query("mase_scale_fallback")
 def mase_scale_fallback(spark, folder):
-    return rounded(metrics.mase_scale_fallback(series.user_daily(spark, folder).select("k", "m", "y"), 7), "scale")
+    daily = series.user_daily(spark, folder)
+    return rounded(metrics.mase_scale_fallback(daily.select("k", "m", "y"), 7), "scale")
 
 
 @query("mape_profile")
 def mape_profile(spark, folder):
-    return rounded(metrics.mape_profile(user_rows(spark, folder), "k"), "mape", "mape_median_actual", "mape_p10_actual")
+    daily = series.user_daily(spark, folder)
+    return rounded(metrics.mape_profile(user_rows(daily), "k"), "mape", "mape_median_actual", "mape_p10_actual")
 
 
 @query("wape")
 def wape(spark, folder):
-    return rounded(user_rows(spark, folder).groupBy("k").agg(metrics.wape().alias("wape")), "wape")
+    daily = series.user_daily(spark, folder)
+    return rounded(user_rows(daily).groupBy("k").agg(metrics.wape().alias("wape")), "wape")
 
 
 @query("score_coverage")
 def score_coverage(spark, folder):
-    return rounded(metrics.score_coverage(user_rows(spark, folder), "k"), "mae", "rmse")
+    daily = series.user_daily(spark, folder)
+    return rounded(metrics.score_coverage(user_rows(daily), "k"), "mae", "rmse")
 
 
 @query("horizon_metrics")
 def horizon_metrics(spark, folder):
-    return rounded(metrics.horizon_metrics(backtest_rows(spark, folder), HORIZONS), "mae", "rmse", "mape")
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return rounded(metrics.horizon_metrics(backtest_rows(monthly), HORIZONS), "mae", "rmse", "mape")
 
 
 @query("mape_scale_risk")
 def mape_scale_risk(spark, folder):
-    return metrics.mape_scale_risk(metrics.mape_profile(backtest_rows(spark, folder), "k", "model"))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return metrics.mape_scale_risk(metrics.mape_profile(backtest_rows(monthly), "k", "model"))
 
 
 @query("selection_score")
 def selection_score(spark, folder):
-    return rounded(user_rows(spark, folder).groupBy("k").agg(metrics.selection_score().alias("score")), "score")
+    daily = series.user_daily(spark, folder)
+    return rounded(user_rows(daily).groupBy("k").agg(metrics.selection_score().alias("score")), "score")
 
 
 @query("error_band")
 def error_band(spark, folder):
-    return rounded(bands(spark, folder), "value", "radius", "lower", "upper")
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return rounded(bands(monthly), "value", "radius", "lower", "upper")
 
 
-def bands(spark, folder):
-    calibration = backtest_rows(spark, folder).filter("model = 'hybrid'")
-    future = future_paths(spark, folder).select("k", "m", "h", F.col("hybrid").alias("value"))
+def bands(monthly):
+    calibration = backtest_rows(monthly).filter("model = 'hybrid'")
+    future = future_paths(monthly).select("k", "m", "h", F.col("hybrid").alias("value"))
     return metrics.error_band(calibration, future)
 
 
 @query("interval_validity")
 def interval_validity(spark, folder):
-    return metrics.interval_validity(bands(spark, folder))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return metrics.interval_validity(bands(monthly))
 
 
 @query("aligned_pairs")
 def aligned_pairs(spark, folder):
-    actual = series.orders_monthly(spark, folder).select("k", "m", F.col("y").alias("actual"))
-    predicted = backtest_paths(spark, folder).select("k", "m", F.col("hybrid").alias("predicted"))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    actual = monthly.select("k", "m", F.col("y").alias("actual"))
+    predicted = backtest_paths(monthly).select("k", "m", F.col("hybrid").alias("predicted"))
     return rounded(metrics.aligned_pairs(actual, predicted), "predicted")
 
 
 @query("holdout_comparison")
 def holdout_comparison(spark, folder):
     """History before the hold-out and, on it, the observed value beside every model."""
-    history = train_rows(spark, folder).select(
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    history = train_rows(monthly).select(
         "k", "m", F.col("y").cast("double").alias("observed"), F.lit(None).cast("double").alias("base"),
         F.lit(None).cast("double").alias("hybrid"), F.lit("history").alias("part"),
     )
-    tested = backtest_rows(spark, folder).groupBy("k", "m").pivot("model", ["base", "hybrid"]).agg(F.first("predicted"))
-    actual = backtest_paths(spark, folder).select("k", "m", F.col("y").cast("double").alias("observed"))
+    tested = backtest_rows(monthly).groupBy("k", "m").pivot("model", ["base", "hybrid"]).agg(F.first("predicted"))
+    actual = backtest_paths(monthly).select("k", "m", F.col("y").cast("double").alias("observed"))
     joined = actual.join(tested, ["k", "m"]).select("k", "m", "observed", "base", "hybrid", F.lit("holdout").alias("part"))
     return rounded(history.unionByName(joined), "base", "hybrid")
 
 
 @query("component_table")
 def component_table(spark, folder):
+    monthly = series.settle(series.orders_monthly(spark, folder))
     columns = ["k", "h", "base", "correction", "hybrid"]
-    tested = backtest_paths(spark, folder).select(*columns, F.lit("holdout").alias("block"))
-    ahead = future_paths(spark, folder).select(*columns, F.lit("future").alias("block"))
+    tested = backtest_paths(monthly).select(*columns, F.lit("holdout").alias("block"))
+    ahead = future_paths(monthly).select(*columns, F.lit("future").alias("block"))
     return rounded(tested.unionByName(ahead), "base", "correction", "hybrid")
 
 
 @query("common_index")
 def common_index(spark, folder):
     """Fitted values of two fits, compared on the periods both cover."""
-    monthly = series.orders_monthly(spark, folder)
+    monthly = series.settle(series.orders_monthly(spark, folder))
     a = forecast.trend_season(forecast.backtest_frame(monthly)).filter("train").select("k", "m", F.col("base").alias("a"))
     b = forecast.trend_season(forecast.future_frame(monthly, 1)).filter("train").select("k", "m", F.col("base").alias("b"))
     return rounded(a.join(b, ["k", "m"]).groupBy("k").agg(
@@ -366,21 +405,24 @@ def common_index(spark, folder):
 
 @query("stratum_metrics")
 def stratum_metrics(spark, folder):
-    rows = backtest_rows(spark, folder)
-    middle = train_rows(spark, folder).groupBy("k").agg(F.median("y").alias("middle"))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    rows = backtest_rows(monthly)
+    middle = train_rows(monthly).groupBy("k").agg(F.median("y").alias("middle"))
     return rounded(metrics.stratum_metrics(rows.join(middle, "k"), F.col("middle"), HORIZONS), "mae", "mape")
 
 
 @query("gain_sensitivity")
 def gain_sensitivity(spark, folder):
-    scores = backtest_rows(spark, folder).groupBy("k").pivot("model", ["base", "hybrid"]).agg(metrics.mae())
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    scores = backtest_rows(monthly).groupBy("k").pivot("model", ["base", "hybrid"]).agg(metrics.mae())
     wide = scores.select("k", F.col("base").alias("base_mae"), F.col("hybrid").alias("hybrid_mae"))
     return rounded(metrics.gain_sensitivity(rounded(wide, "base_mae", "hybrid_mae"), [0.0, 0.5, 1.0, 2.0]), "gain")
 
 
 @query("model_verdict")
 def model_verdict(spark, folder):
-    scores = backtest_rows(spark, folder).groupBy("k").pivot("model", ["base", "hybrid"]).agg(
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    scores = backtest_rows(monthly).groupBy("k").pivot("model", ["base", "hybrid"]).agg(
         metrics.mae().alias("mae"), metrics.rmse().alias("rmse")
     )
     differences = scores.select(
@@ -389,57 +431,65 @@ def model_verdict(spark, folder):
     return metrics.model_verdict(differences)
 
 
-def _rounded_rows(spark, folder):
-    return rounded(backtest_rows(spark, folder), "predicted")
+def _rounded_rows(monthly):
+    return rounded(backtest_rows(monthly), "predicted")
 
 
 @query("peak_error")
 def peak_error(spark, folder):
-    return rounded(metrics.peak_error(_rounded_rows(spark, folder)), "predicted_peak", "size_error")
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return rounded(metrics.peak_error(_rounded_rows(monthly)), "predicted_peak", "size_error")
 
 
 @query("direction_agreement")
 def direction_agreement(spark, folder):
-    return rounded(metrics.direction_agreement(_rounded_rows(spark, folder)), "agreement", "difference_sd_ratio")
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return rounded(metrics.direction_agreement(_rounded_rows(monthly)), "agreement", "difference_sd_ratio")
 
 
 @query("surge_flags")
 def surge_flags(spark, folder):
-    return metrics.surge_flags(rounded(user_rows(spark, folder), "predicted"))
+    daily = series.user_daily(spark, folder)
+    return metrics.surge_flags(rounded(user_rows(daily), "predicted"))
 
 
 @query("path_shape")
 def path_shape(spark, folder):
-    paths = future_paths(spark, folder).select("k", "h", r6(F.col("hybrid")).alias("value"))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    paths = future_paths(monthly).select("k", "h", r6(F.col("hybrid")).alias("value"))
     return rounded(metrics.path_shape(paths), "change", "peak")
 
 
-def _outlook(spark, folder):
-    paths = future_paths(spark, folder).select("k", "h", r6(F.col("hybrid")).alias("value"))
-    latest = series.orders_monthly(spark, folder).groupBy("k").agg(F.max_by("y", "m").alias("y"))
+def _outlook(monthly):
+    paths = future_paths(monthly).select("k", "h", r6(F.col("hybrid")).alias("value"))
+    latest = monthly.groupBy("k").agg(F.max_by("y", "m").alias("y"))
     return metrics.outlook_vs_baseline(paths, latest)
 
 
 @query("outlook_vs_baseline")
 def outlook_vs_baseline(spark, folder):
-    return rounded(_outlook(spark, folder), "change", "percent")
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return rounded(_outlook(monthly), "change", "percent")
 
 
 @query("outlook_blocks")
 def outlook_blocks(spark, folder):
-    return rounded(metrics.outlook_blocks(_outlook(spark, folder)), "total")
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return rounded(metrics.outlook_blocks(_outlook(monthly)), "total")
 
 
 @query("horizon_slice")
 def horizon_slice(spark, folder):
     """The stored path cut to each offered length."""
+    monthly = series.settle(series.orders_monthly(spark, folder))
     offered = F.explode(F.filter(F.array(*[F.lit(n).cast("bigint") for n in HORIZONS]), lambda n: n >= F.col("h")))
-    return rounded(future_paths(spark, folder).select("k", "h", "hybrid", offered.alias("horizon")), "hybrid")
+    return rounded(future_paths(monthly).select("k", "h", "hybrid", offered.alias("horizon")), "hybrid")
 
 
 @query("metric_whitelist")
 def metric_whitelist(spark, folder):
-    scores = user_rows(spark, folder).groupBy("k").agg(
+    daily = series.user_daily(spark, folder)
+    scores = user_rows(daily).groupBy("k").agg(
         metrics.mae().alias("mae"), metrics.rmse().alias("rmse"), metrics.wape().alias("wape"), metrics.mape().alias("mape")
     )
     names = ["mae", "rmse", "wape", "mape"]
@@ -452,23 +502,26 @@ def metric_whitelist(spark, folder):
 
 @query("projected_total")
 def projected_total(spark, folder):
-    return ranking.projected_total(future_paths(spark, folder))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return ranking.projected_total(future_paths(monthly))
 
 
 @query("projected_rank")
 def projected_rank(spark, folder):
-    return ranking.rank_totals(ranking.projected_total(future_paths(spark, folder)))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return ranking.rank_totals(ranking.projected_total(future_paths(monthly)))
 
 
 @query("projected_rank_with_error")
 def projected_rank_with_error(spark, folder):
     """Flagship: series ranked by projected total, each with the hold-out errors of both models and the benchmark."""
-    ranked = ranking.rank_totals(ranking.projected_total(future_paths(spark, folder)))
-    naive = forecast.seasonal_naive(forecast.backtest_frame(series.orders_monthly(spark, folder)))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    ranked = ranking.rank_totals(ranking.projected_total(future_paths(monthly)))
+    naive = forecast.seasonal_naive(forecast.backtest_frame(monthly))
     benchmark = naive.select("k", F.col("y").cast("double").alias("actual"), F.col("naive").alias("predicted")).groupBy("k").agg(
         metrics.mae().alias("naive_mae")
     )
-    scores = backtest_rows(spark, folder).groupBy("k").pivot("model", ["base", "hybrid"]).agg(metrics.mae())
+    scores = backtest_rows(monthly).groupBy("k").pivot("model", ["base", "hybrid"]).agg(metrics.mae())
     return rounded(
         ranked.join(scores, "k", "left").join(benchmark, "k", "left").select(
             "rank", "k", "projected_total", F.col("base").alias("base_mae"), F.col("hybrid").alias("hybrid_mae"), "naive_mae"
@@ -479,17 +532,20 @@ def projected_rank_with_error(spark, folder):
 
 @query("top_five")
 def top_five(spark, folder):
-    return ranking.top_n(ranking.projected_total(future_paths(spark, folder)), 5)
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return ranking.top_n(ranking.projected_total(future_paths(monthly)), 5)
 
 
 @query("ranking_calendar_check")
 def ranking_calendar_check(spark, folder):
-    return ranking.calendar_check(future_paths(spark, folder), MODEL.horizon)
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return ranking.calendar_check(future_paths(monthly), MODEL.horizon)
 
 
 @query("ranking_context_check")
 def ranking_context_check(spark, folder):
-    runs = future_paths(spark, folder).select(
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    runs = future_paths(monthly).select(
         "k", "m", F.col("hybrid").alias("value"), F.lit("s").alias("signature"), F.lit("g").alias("group_id"),
         F.lit(MODEL.signature).alias("configuration"),
     )
@@ -498,7 +554,8 @@ def ranking_context_check(spark, folder):
 
 @query("ranking_named")
 def ranking_named(spark, folder):
-    ranked = ranking.rank_totals(ranking.projected_total(future_paths(spark, folder)))
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    ranked = ranking.rank_totals(ranking.projected_total(future_paths(monthly)))
     orders = table(spark, folder, "orders", "o_orderpriority")
     names = orders.groupBy(F.col("o_orderpriority").alias("k")).agg(
         F.first(F.initcap(F.regexp_replace("o_orderpriority", "^[0-9]-", ""))).alias("description")
@@ -508,7 +565,8 @@ def ranking_named(spark, folder):
 
 @query("candidate_grid")
 def candidate_grid(spark, folder):
-    return candidates(series.orders_monthly(spark, folder).select("k").distinct())
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    return candidates(monthly.select("k").distinct())
 
 
 def candidates(keys):

@@ -33,7 +33,7 @@ def scan_typed(spark, folder):
 
 @query("multi_source_union")
 def multi_source_union(spark, folder):
-    monthly = series.orders_monthly(spark, folder)
+    monthly = series.settle(series.orders_monthly(spark, folder))
     tables = {
         "early": monthly.filter("year <= 1998"),
         "late": monthly.filter("year > 1998"),
@@ -269,14 +269,15 @@ def training_exclusion(spark, folder):
 
 @query("assumption_prepare")
 def assumption_prepare(spark, folder):
-    return intake.assumption_prepare(series.weekly_reports(spark, folder))
+    return intake.assumption_prepare(series.settle(series.weekly_reports(spark, folder)))
 
 
 @query("display_format")
 def display_format(spark, folder):
     """Totals with one decimal, shares with three and a floor text, and a text where nothing is known."""
-    yearly = series.brand_monthly(spark, folder).groupBy("k", "year").agg(F.sum("y").alias("total"), F.count("*").alias("n"))
-    whole = series.brand_monthly(spark, folder).groupBy("year").agg(F.sum("y").alias("all"))
+    cells = series.settle(series.brand_monthly(spark, folder))
+    yearly = cells.groupBy("k", "year").agg(F.sum("y").alias("total"), F.count("*").alias("n"))
+    whole = cells.groupBy("year").agg(F.sum("y").alias("all"))
     share = F.round(F.col("total") / F.col("all") / 10, 9)
     mean = F.when(F.col("n") == 12, F.col("total") / 8)
     return yearly.join(whole, "year").select(
@@ -291,9 +292,8 @@ def metadata_adoption(spark, folder):
     return quality.metadata_adoption(raw.raw_orders(spark, folder), ["population", "location", "reporting_status"], "source")
 
 
-def _decisions(spark, folder):
+def _decisions(weekly):
     """Reviews of blank cells and week-53 conflicts; which action a cell gets follows from its keys."""
-    weekly = series.weekly_reports(spark, folder).select("k", "year", "week", "y", "source_row")
     conflict = (F.col("week") == 53) & (cal.year_length(F.col("year")) == 52) & F.col("y").isNotNull()
     cells = weekly.filter(F.col("y").isNull() | conflict).withColumn("target", F.when(F.col("y").isNull(), "blank").otherwise("conflict"))
     pick = F.col("source_row") % 7
@@ -308,13 +308,14 @@ def _decisions(spark, folder):
 
 @query("decision_check")
 def decision_check(spark, folder):
-    return quality.decision_error(_decisions(spark, folder), cal.year_length(F.col("year")))
+    return quality.decision_error(_decisions(series.weekly_reports(spark, folder)), cal.year_length(F.col("year")))
 
 
 @query("apply_decisions")
 def apply_decisions(spark, folder):
-    checked = quality.decision_error(_decisions(spark, folder), cal.year_length(F.col("year")))
-    return quality.apply_decisions(series.weekly_reports(spark, folder).select("k", "year", "week", "y"), checked)
+    weekly = series.settle(series.weekly_reports(spark, folder))
+    checked = quality.decision_error(_decisions(weekly), cal.year_length(F.col("year")))
+    return quality.apply_decisions(weekly.select("k", "year", "week", "y"), checked)
 
 
 @query("completeness_claim")

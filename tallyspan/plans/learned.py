@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspan.config import MODEL
-from tallyspan.functions.numeric import combine
+from tallyspan.functions.numeric import combine, floor_zero
 from tallyspan.operators import forecast, learned, metrics
 from tallyspan.plans.registry import query
 from tallyspan.sources import series
@@ -14,7 +14,7 @@ from tallyspan.sources import series
 @query("residual_gbt")
 def residual_gbt(spark, folder):
     """Boosted-tree corrections over the horizon, combined with the base as the linear ones are."""
-    monthly = series.orders_monthly(spark, folder)
+    monthly = series.settle(series.orders_monthly(spark, folder))
     frame = forecast.future_frame(monthly, MODEL.horizon)
     end = monthly.agg(F.max("m")).first()[0]
     model, fitted = learned.fit_residual_trees(frame)
@@ -27,6 +27,6 @@ def residual_gbt(spark, folder):
 @query("base_fourier")
 def base_fourier(spark, folder):
     """Hold-out error of the line with Fourier pairs for every brand."""
-    paths = learned.fourier_base(forecast.backtest_frame(series.brand_monthly(spark, folder)))
-    rows = paths.filter("h is not null").select("k", F.col("y").cast("double").alias("actual"), F.greatest(F.lit(0.0), F.col("base")).alias("predicted"))
+    paths = learned.fourier_base(forecast.backtest_frame(series.settle(series.brand_monthly(spark, folder))))
+    rows = paths.filter("h is not null").select("k", F.col("y").cast("double").alias("actual"), floor_zero(F.col("base")).alias("predicted"))
     return rows.groupBy("k").agg(F.count("*").alias("n"), metrics.mae().alias("mae"), metrics.wape().alias("wape"))

@@ -9,7 +9,7 @@ from tallyspan.functions import calendar as cal
 from tallyspan.functions.numeric import r6
 from tallyspan.operators import coverage, exports, intake, quality, summaries
 from tallyspan.plans.registry import query
-from tallyspan.plans.versions import study
+from tallyspan.plans.versions import study, study_of
 from tallyspan.sources import raw, series
 from tallyspan.sources.tables import table
 
@@ -108,22 +108,22 @@ def missing_periods(spark, folder):
 
 @query("missing_weeks")
 def missing_weeks(spark, folder):
-    return coverage.missing_weeks(series.weekly_reports(spark, folder))
+    return coverage.missing_weeks(series.settle(series.weekly_reports(spark, folder)))
 
 
 @query("quality_report")
 def quality_report(spark, folder):
-    return coverage.quality_report(series.weekly_reports(spark, folder))
+    return coverage.quality_report(series.settle(series.weekly_reports(spark, folder)))
 
 
 @query("eligibility_reasons")
 def eligibility_reasons(spark, folder):
-    return coverage.eligibility_reasons(series.weekly_reports(spark, folder), 156, APPROVED)
+    return coverage.eligibility_reasons(series.settle(series.weekly_reports(spark, folder)), 156, APPROVED)
 
 
 @query("workflow_route")
 def workflow_route(spark, folder):
-    return coverage.workflow_route(coverage.eligibility_reasons(series.weekly_reports(spark, folder), 156, APPROVED))
+    return coverage.workflow_route(coverage.eligibility_reasons(series.settle(series.weekly_reports(spark, folder)), 156, APPROVED))
 
 
 # ---- duplicates and conflicts -------------------------------------------------------------------------------------
@@ -182,7 +182,7 @@ def blank_groups(spark, folder):
 
 @query("findings_capped")
 def findings_capped(spark, folder):
-    weekly = series.weekly_reports(spark, folder)
+    weekly = series.settle(series.weekly_reports(spark, folder))
     columns = ["k", "year", "week"]
     found = weekly.select(*columns, F.explode(F.array_compact(F.array(
         F.when(F.col("y").isNull(), "blank_observations"), F.when(F.col("y") == 0, "zero_weeks"), F.when(F.col("week") == 53, "week53"),
@@ -194,15 +194,16 @@ def findings_capped(spark, folder):
 @query("cell_compare")
 def cell_compare(spark, folder):
     """The monthly table against a second extract with some counts one higher and some cells absent."""
-    cells = series.orders_monthly(spark, folder)
+    cells = series.settle(series.orders_monthly(spark, folder))
     second = cells.filter("m % 31 <> 0").select("k", "m", F.when(F.col("m") % 29 == 0, F.col("y") + 1).otherwise(F.col("y")).alias("y"))
     return quality.cell_compare(cells, second)
 
 
 @query("annual_reconciliation")
 def annual_reconciliation(spark, folder):
-    cells = study(spark, folder)
-    brands = series.reported_brands(spark, folder).groupBy("k", "year").agg(F.sum("y").alias("t"))
+    reported = series.reported_brands(spark, folder)
+    cells = study_of(reported)
+    brands = reported.groupBy("k", "year").agg(F.sum("y").alias("t"))
     wrong = F.when((F.col("year") + F.length("k")) % 5 == 0, 1).otherwise(0)
     return quality.annual_reconciliation(cells, brands.select("k", "year", (F.col("t") + wrong).alias("printed_total")))
 
@@ -211,7 +212,7 @@ def annual_reconciliation(spark, folder):
 
 @query("summary_cards")
 def summary_cards(spark, folder):
-    cards = summaries.summary_cards(series.brand_monthly(spark, folder))
+    cards = summaries.summary_cards(series.settle(series.brand_monthly(spark, folder)))
     return cards.withColumn("share", r6(F.col("share")))
 
 

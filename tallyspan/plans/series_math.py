@@ -29,21 +29,22 @@ def differences(spark, folder):
 @query("decompose")
 def decompose(spark, folder):
     result = lags.decompose(series.brand_monthly(spark, folder).select("k", "m", "y"))
-    return rounded(result, "trend", "seasonal", "remainder")
+    return result.select("k", "m", "y", *[F.round(c, 8).alias(c) for c in ("trend", "seasonal", "remainder")])
 
 
 @query("acf")
 def acf(spark, folder):
-    differenced = lags.differences(series.brand_monthly(spark, folder).select("k", "m", "y"))
+    cells = series.settle(series.brand_monthly(spark, folder).select("k", "m", "y"))
+    differenced = lags.differences(cells)
     known = differenced.filter(F.col("d_both").isNotNull()).select("k", "m", F.col("d_both").alias("y"))
     correlations = lags.autocorrelations(known, list(range(1, 13)))
-    plain = lags.lag_correlation(series.brand_monthly(spark, folder), 12).select("k", F.col("r").alias("lag12_correlation"))
+    plain = lags.lag_correlation(cells, 12).select("k", F.col("r").alias("lag12_correlation"))
     return rounded(correlations.select("k", "n", "lag", "r").join(plain, "k"), "r", "lag12_correlation")
 
 
 @query("ljung_box_q")
 def ljung_box_q(spark, folder):
-    fitted = forecast.trend_season(forecast.future_frame(series.brand_monthly(spark, folder), 1)).filter("train")
+    fitted = forecast.trend_season(forecast.future_frame(series.settle(series.brand_monthly(spark, folder)), 1)).filter("train")
     return rounded(lags.ljung_box(fitted.select("k", "m", F.col("residual").alias("y")), [6, 12, 24]), "q")
 
 
@@ -65,7 +66,7 @@ def yearly_totals(spark, folder):
 @query("series_arrays")
 def series_arrays(spark, folder):
     """Each series packed into index and value arrays and unpacked again; rows per key are bounded by the calendar."""
-    grid = dense_grid(series.brand_monthly(spark, folder).select("k", "m", "y"))
+    grid = dense_grid(series.settle(series.brand_monthly(spark, folder).select("k", "m", "y")))
     packed = grid.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("m", "y"))).alias("cells")).select(
         "k", F.col("cells.m").alias("index"), F.col("cells.y").alias("values")
     )

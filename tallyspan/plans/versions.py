@@ -18,7 +18,11 @@ READER = (10, "admin")
 
 
 def study(spark, folder):
-    return grid.study_grid(series.reported_brands(spark, folder), SCOPE.first_year, SCOPE.last_year, SCOPE.unavailable_years)
+    return study_of(series.reported_brands(spark, folder))
+
+
+def study_of(reported):
+    return grid.study_grid(reported, SCOPE.first_year, SCOPE.last_year, SCOPE.unavailable_years)
 
 
 # ---- signatures ---------------------------------------------------------------------------------------------------
@@ -96,7 +100,7 @@ def state_scan(spark, folder):
 @query("snapshot_write")
 def snapshot_write(spark, folder):
     """A snapshot named by its content; a second write of the same content is refused."""
-    paths = future_paths(spark, folder).select("k", "m", "h", F.format_string("%.6f", F.col("hybrid")).alias("value"))
+    paths = future_paths(series.settle(series.orders_monthly(spark, folder))).select("k", "m", "h", F.format_string("%.6f", F.col("hybrid")).alias("value"))
     mark = content_signature(paths, ["k", "m", "h", "value"]).first()["content_signature"]
     root = new_folder(spark, "snapshots")
     path = writers.write_snapshot(paths, root, mark)
@@ -122,7 +126,7 @@ def audit_append(spark, folder):
 def ranking_append(spark, folder):
     """Two ranking runs appended; the newest is the one read back."""
     path = new_folder(spark, "rankings")
-    ranked = ranking.rank_totals(ranking.projected_total(future_paths(spark, folder)))
+    ranked = ranking.rank_totals(ranking.projected_total(future_paths(series.settle(series.orders_monthly(spark, folder)))))
     for run in (1, 2):
         writers.append_rows(ranked.withColumn("ranking_run", F.lit(run).cast("bigint")), path)
     return versions.latest_per_key(spark.read.parquet(path), ["k"], ["ranking_run"]).select("k", "rank", "projected_total", "ranking_run")
@@ -182,55 +186,54 @@ def lock_lookup(spark, folder):
 
 
 def _split(spark, folder):
-    return forecast.three_way_split(series.brand_monthly(spark, folder).select("k", "m", "y"), 12, 12)
+    return forecast.three_way_split(series.settle(series.brand_monthly(spark, folder).select("k", "m", "y")), 12, 12)
 
 
-def _winners(spark, folder):
-    split = _split(spark, folder)
+def _winners(split):
     return search.candidate_search(split, candidates(split.select("k").distinct()), 5)
 
 
-def _scores(spark, folder):
-    split = _split(spark, folder)
+def _scores(split):
     return search.score_candidates(search.fit_candidates(split, candidates(split.select("k").distinct())))
 
 
 @query("candidate_search")
 def candidate_search(spark, folder):
-    return _winners(spark, folder)
+    return _winners(_split(spark, folder))
 
 
 @query("shortlist")
 def shortlist(spark, folder):
     from tallyspan.operators.metrics import shortlist as cut
 
-    return cut(_scores(spark, folder), "aic", 5).select("k", "candidate", "aic", "place")
+    return cut(_scores(_split(spark, folder)), "aic", 5).select("k", "candidate", "aic", "place")
 
 
 @query("tolerant_winner")
 def tolerant_winner(spark, folder):
     from tallyspan.operators.metrics import tolerant_winner as pick
 
-    return pick(_scores(spark, folder)).select("k", "candidate", "rmse", "mae")
+    return pick(_scores(_split(spark, folder))).select("k", "candidate", "rmse", "mae")
 
 
 @query("rank_correlation")
 def rank_correlation(spark, folder):
     from tallyspan.operators.metrics import rank_correlation as correlate
 
-    return rounded(correlate(_scores(spark, folder), "aic", "rmse"), "rho")
+    return rounded(correlate(_scores(_split(spark, folder)), "aic", "rmse"), "rho")
 
 
-def _locks(spark, folder):
-    fixed = content_signature(_split(spark, folder).filter("split <> 'test'"), ["m", "y"], ["k"])
-    return search.lock(_winners(spark, folder), fixed)
+def _locks(split):
+    fixed = content_signature(split.filter("split <> 'test'"), ["m", "y"], ["k"])
+    return search.lock(_winners(split), fixed)
 
 
 @query("config_lock")
 def config_lock(spark, folder):
     """Locks checked against data that changed for some keys and with one altered setting."""
-    locks = _locks(spark, folder).withColumn("candidate", F.when(F.col("k") == "Brand#3", "other").otherwise(F.col("candidate")))
-    changed = _split(spark, folder).filter("split <> 'test'").withColumn("y", F.when(F.col("k") == "Brand#5", F.col("y") + 1).otherwise(F.col("y")))
+    split = _split(spark, folder)
+    locks = _locks(split).withColumn("candidate", F.when(F.col("k") == "Brand#3", "other").otherwise(F.col("candidate")))
+    changed = split.filter("split <> 'test'").withColumn("y", F.when(F.col("k") == "Brand#5", F.col("y") + 1).otherwise(F.col("y")))
     return search.verify_lock(locks, content_signature(changed, ["m", "y"], ["k"])).select("k", "lock_status")
 
 
@@ -249,7 +252,7 @@ def config_override(spark, folder):
     """History length per key: its own setting where there is one, else the default."""
     own = F.create_map(F.lit("Brand#1"), F.lit(24), F.lit("Brand#2"), F.lit(36), F.lit("default"), F.lit(12))
     length = F.coalesce(F.try_element_at(own, F.col("k")), F.try_element_at(own, F.lit("default"))).cast("bigint")
-    cells = series.brand_monthly(spark, folder)
+    cells = series.settle(series.brand_monthly(spark, folder))
     end = cells.agg(F.max("m")).scalar()
     return cells.withColumn("_e", end).withColumn("months", length).filter(F.col("m") > F.col("_e") - F.col("months")).groupBy("k", "months").agg(
         F.sum("y").alias("total"), F.count("*").alias("n")
@@ -268,7 +271,7 @@ def seed_median(spark, folder):
 
 @query("error_row_check")
 def error_row_check(spark, folder):
-    folds = forecast.rolling_folds(series.orders_monthly(spark, folder), 3, 12)
+    folds = forecast.rolling_folds(series.settle(series.orders_monthly(spark, folder)), 3, 12)
     ends = folds.filter("train").groupBy("k", "fold").agg(F.max("m").alias("cutoff"))
     rows = folds.filter("not train").join(ends, ["k", "fold"]).select("k", "cutoff", "m")
     doubled = rows.unionByName(rows.filter("k = '2-HIGH'"))
@@ -318,8 +321,8 @@ def change_token(spark, folder):
 # ---- exports ------------------------------------------------------------------------------------------------------
 
 def _export(spark, folder):
-    history = study(spark, folder).select("k", "m", "y", "status")
     reported = series.reported_brands(spark, folder)
+    history = study_of(reported).select("k", "m", "y", "status")
     ahead = forecast.corrected_forecast(forecast.future_frame(reported, MODEL.horizon))
     return exports.history_forecast(history, ahead.select("k", "m", r6(F.col("base")).alias("projected"), F.lit("projected").alias("status")))
 
@@ -351,22 +354,24 @@ def provenance_export(spark, folder):
 
 @query("report_document")
 def report_document(spark, folder):
-    cells = study(spark, folder)
+    reported = series.reported_brands(spark, folder)
+    cells = study_of(reported)
     annual = coverage.annual_history(cells, SCOPE.unavailable_years)
-    ahead = future_totals(spark, folder)
+    ahead = future_totals(reported)
     return exports.report_document(cells.select("k", "m", "y"), annual, ahead)
 
 
-def future_totals(spark, folder):
+def future_totals(reported):
     """Seasonal-naive path of every reported key, whole numbers."""
-    frame = forecast.future_frame(series.reported_brands(spark, folder), MODEL.horizon)
+    frame = forecast.future_frame(reported, MODEL.horizon)
     return forecast.seasonal_naive(frame).select("k", "h", F.col("naive").cast("bigint").alias("value"))
 
 
 @query("snapshot_reconcile")
 def snapshot_reconcile(spark, folder):
+    monthly = series.settle(series.orders_monthly(spark, folder))
     rows = exports.snapshot_reconcile(
-        backtest_rows(spark, folder).select("k", "m", "model", "predicted"), series.orders_monthly(spark, folder).select("k", "m", "y"), F.col("m") % 5 != 0
+        backtest_rows(monthly).select("k", "m", "model", "predicted"), monthly.select("k", "m", "y"), F.col("m") % 5 != 0
     )
     return rounded(rows, "predicted", "absolute_error")
 

@@ -86,7 +86,7 @@ def sheet_cells(spark: SparkSession, folder: str) -> DataFrame:
             F.when(F.col("o_orderstatus") == "P", "late").otherwise(""),
         ).alias("cells"),
     )
-    customers = orders.select("o_custkey").distinct()
+    customers = table(spark, folder, "customer", "c_custkey").withColumnRenamed("c_custkey", "o_custkey")
     styles = F.array(*[F.array(*[F.lit(x) for x in style]) for style in HEADER_STYLES])
     header = customers.select(
         source.alias("source"), F.lit(3).cast("bigint").alias("row_pos"),
@@ -140,8 +140,8 @@ def month_matrix(spark: SparkSession, folder: str) -> DataFrame:
         stack(label).alias("label"), *[stack(F.format_number(f"c{i}", 0)).alias(f"c{i}") for i in range(1, 13)],
         stack((F.col("total") + wrong).cast("string")).alias("total"),
     )
-    marker = data.select("page", "year", F.col("year").cast("string").alias("label"))
-    months = [F.lit(None).cast("string").alias(f"c{i}") for i in range(1, 13)]
-    return marker.select("page", (F.col("year") * 2).alias("row_pos"), "label", *months, F.lit(None).cast("string").alias("total")).unionByName(
-        data.select("page", (F.col("year") * 2 + 1).alias("row_pos"), "label", *[f"c{i}" for i in range(1, 13)], "total")
-    )
+    names = ["label", *[f"c{i}" for i in range(1, 13)], "total"]
+    empty = [F.lit(None).cast("string").alias(n) for n in names[1:]]
+    marker = F.struct((F.col("year") * 2).alias("row_pos"), F.col("year").cast("string").alias("label"), *empty)
+    line = F.struct((F.col("year") * 2 + 1).alias("row_pos"), *[F.col(n) for n in names])
+    return data.select("page", F.explode(F.array(marker, line)).alias("r")).select("page", "r.*")

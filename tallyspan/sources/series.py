@@ -11,9 +11,21 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tallyspan.config import SCOPE, StudyScope
 from tallyspan.functions import calendar as cal
 from tallyspan.operators.grid import dense_grid
+from tallyspan.session import new_folder
 from tallyspan.sources.tables import table
 
 
+def settle(df: DataFrame, label: str = "series") -> DataFrame:
+    """Write an aggregated table to the shared folder and return it as a scan.
+
+    A plan that needs its series several times then passes over the source tables once, and later stages neither repeat
+    that pass nor depend on it when an executor is lost.
+    """
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _with_index(df: DataFrame) -> DataFrame:
     return df.withColumn("m", cal.month_index(F.col("year"), F.col("month")))
 
@@ -53,7 +65,7 @@ def user_daily(spark: SparkSession, folder: str) -> DataFrame:
     seen = events.groupBy(
         F.col("user_id").alias("k"), F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("bigint").alias("m")
     ).agg(F.count(F.when(F.col("event_type") == "error", 1)).alias("y"))
-    return dense_grid(seen).withColumn("observed", F.col("y").isNotNull())
+    return dense_grid(settle(seen)).withColumn("observed", F.col("y").isNotNull())
 
 
 def reported_brands(spark: SparkSession, folder: str, scope: StudyScope = SCOPE) -> DataFrame:
@@ -61,7 +73,7 @@ def reported_brands(spark: SparkSession, folder: str, scope: StudyScope = SCOPE)
 
     The rank filter becomes a group limit before the shuffle, so each task sends at most n keys per year.
     """
-    cells = brand_monthly(spark, folder).filter(F.col("year").isin(list(scope.available_years)))
+    cells = settle(brand_monthly(spark, folder).filter(F.col("year").isin(list(scope.available_years))))
     yearly = cells.groupBy("year", "k").agg(F.sum("y").alias("total"))
     order = Window.partitionBy("year").orderBy(F.desc("total"), "k")
     kept = yearly.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= scope.annual_limit)

@@ -19,16 +19,18 @@ def version_events(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("id"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("signature"),
         "o_orderstatus", day.alias("day"),
     )
-    common = ["scope", "id", "signature"]
-    uploads = base.select(*common, F.lit("upload").alias("action"), F.date_format("day", "yyyy-MM-dd").alias("at"), F.lit(0).cast("bigint").alias("seq"))
-    decided = base.filter("o_orderstatus <> 'P'").select(
-        *common, F.when(F.col("o_orderstatus") == "F", "activate").when(F.col("id") % 2 == 0, "reject").otherwise("cancel").alias("action"),
-        F.date_format(F.date_add("day", 1), "yyyy-MM-dd").alias("at"), F.lit(1).cast("bigint").alias("seq"),
-    )
-    late = base.filter("o_orderstatus <> 'P' and id % 10 = 0").select(
-        *common, F.lit("cancel").alias("action"), F.date_format(F.date_add("day", 2), "yyyy-MM-dd").alias("at"), F.lit(2).cast("bigint").alias("seq")
-    )
-    return uploads.unionByName(decided).unionByName(late)
+    decided = F.col("o_orderstatus") != "P"
+    choice = F.when(F.col("o_orderstatus") == "F", "activate").when(F.col("id") % 2 == 0, "reject").otherwise("cancel")
+
+    def event(action, days: int):
+        return F.struct(
+            action.alias("action"), F.date_format(F.date_add("day", days), "yyyy-MM-dd").alias("at"), F.lit(days).cast("bigint").alias("seq")
+        )
+
+    events = F.array_compact(F.array(
+        event(F.lit("upload"), 0), F.when(decided, event(choice, 1)), F.when(decided & (F.col("id") % 10 == 0), event(F.lit("cancel"), 2))
+    ))
+    return base.select("scope", "id", "signature", F.explode(events).alias("e")).select("scope", "id", "signature", "e.action", "e.at", "e.seq")
 
 
 def forecast_runs(spark: SparkSession, folder: str) -> DataFrame:
