@@ -96,7 +96,8 @@ def parse_date(text: Column, convention: str) -> Column:
         raise ValueError(f"unknown date convention {convention}")
     clean = F.trim(text)
     iso = clean.rlike(r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}([T ].*)?$")
-    iso_day = F.try_to_date(F.regexp_replace(F.substring(clean, 1, 10), "/", "-"), "yyyy-M-d")
+    iso_text = F.regexp_extract(clean, r"^([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})", 1)
+    iso_day = F.try_to_date(F.regexp_replace(iso_text, "/", "-"), "yyyy-M-d")
     serial = number_or_null(clean)
     serial_day = F.when(serial.between(1, 100000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int")))
     given = F.coalesce(*[F.try_to_date(clean, p) for p in patterns[convention]])

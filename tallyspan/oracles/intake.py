@@ -86,7 +86,7 @@ SELECT *, CASE WHEN target = 'blank' AND action NOT IN ('zero', 'missing', 'none
 def day(expr: str, pattern: str) -> str:
     t = f"trim({expr})"
     return f"""strftime(CASE WHEN regexp_matches({t}, '^[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}([T ].*)?$')
-      THEN try_strptime(replace(substr({t}, 1, 10), '/', '-'), '%Y-%m-%d')::DATE
+      THEN try_strptime(replace(regexp_extract({t}, '^[0-9/-]+'), '/', '-'), '%Y-%m-%d')::DATE
       WHEN {num(expr)} IS NOT NULL THEN CASE WHEN {num(expr)} BETWEEN 1 AND 100000 THEN DATE '1899-12-30' + floor({num(expr)})::INT END
       ELSE try_strptime({t}, '{pattern}')::DATE END, '%Y-%m-%d')"""
 
