@@ -48,5 +48,6 @@ def warning_refresh(stored: Column, derived: Column, current: Column) -> Column:
     return F.array_distinct(F.concat(F.array_except(stored, derived), current))
 
 
-def scope_subset(labels: Column, approved: list[str]) -> Column:
-    return F.size(F.array_except(labels, F.array(*[F.lit(a) for a in approved]))) == 0
+def scope_subset(label: Column, approved: list[str]) -> Column:
+    """Aggregate: every label of the group is approved. Labels are tested one by one and never gathered."""
+    return F.coalesce(F.bool_and(label.isin(approved)), F.lit(True))

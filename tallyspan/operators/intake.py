@@ -262,16 +262,17 @@ def week53_rules(df: DataFrame) -> DataFrame:
     )
 
 
-def typed_rows(raw: DataFrame, allowed_codes: list[str], reasons: list[str]) -> DataFrame:
+def typed_rows(raw: DataFrame, allowed_codes: list[str], reasons: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Every raw row with its typed values and the list of its problems; good rows have an empty list.
 
-    Parsing happens in a projection of its own, so that each pattern is matched once per row.
+    Parsing happens in a projection of its own, so that each pattern is matched once per row. Columns named in `keep` pass
+    through unchanged.
     """
     parsed = raw.select(
         "source", "source_row", strict_integer(F.col("year_text")).alias("year"), month_number(F.col("month_text")).alias("month"),
         block_code(F.col("code_text")).alias("code"), squeeze_spaces(F.col("label_text")).alias("label"),
         strict_integer(F.col("count_text")).alias("y"), F.nullif(F.trim("count_text"), F.lit("")).isNotNull().alias("_supplied"),
-        F.trim("status_text").alias("_status"),
+        F.trim("status_text").alias("_status"), *keep,
     )
     status, status_error = observation_status(F.col("y"), F.col("_status"), reasons)
     year = F.col("year")
@@ -283,7 +284,7 @@ def typed_rows(raw: DataFrame, allowed_codes: list[str], reasons: list[str]) ->
         F.when(F.col("_supplied") & F.col("y").isNull(), "count").otherwise(status_error),
     ))
     return parsed.select(
-        "source", "source_row", "year", "month", "code", "label", "y", status.alias("status"), problems.alias("problems")
+        "source", "source_row", "year", "month", "code", "label", "y", status.alias("status"), problems.alias("problems"), *keep
     )
 
 

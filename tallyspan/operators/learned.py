@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tallyspan.config import MODEL, ModelSettings
 from tallyspan.operators.forecast import residual_rows, trend_season
 from tallyspan.operators.lags import calendar_lags
+from tallyspan.session import settle
 
-CHECKPOINT_EVERY = 12
+SETTLE_EVERY = 12
 
 
 def _lag_names(lags: int) -> list[str]:
@@ -46,7 +47,7 @@ def tree_corrections(model: GBTRegressionModel, fitted: DataFrame, end: int, set
     """Recursive corrections of all series: every step appends one prediction to each series' own history.
 
     A series that ends early is first carried to the end of the table by predictions, as many as it needs. The steps are
-    narrow, one row per series; a checkpoint cuts the plan now and then.
+    narrow, one row per series; a written table cuts the plan now and then.
     """
     known = fitted.filter(F.col("residual").isNotNull())
     last = known.groupBy("k").agg(F.max("m").alias("last_m"))
@@ -67,8 +68,8 @@ def tree_corrections(model: GBTRegressionModel, fitted: DataFrame, end: int, set
         state = predicted.select(
             "k", "last_m", F.when(wanted, F.concat("history", F.array("prediction"))).otherwise(F.col("history")).alias("history")
         )
-        if step % CHECKPOINT_EVERY == 0 and step < steps:
-            state = state.checkpoint()
+        if step % SETTLE_EVERY == 0 and step < steps:
+            state = settle(state, "recursion")
     return state.select("k", "last_m", F.posexplode(F.slice("history", F.lit(settings.lags + 1), F.size("history"))).alias("pos", "correction")).select(
         "k", (F.col("last_m") + 1 + F.col("pos")).alias("m"), "correction"
     ).filter(F.col("m") > end).withColumn("h", F.col("m") - end)

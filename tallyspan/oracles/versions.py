@@ -137,9 +137,10 @@ SELECT k, months, sum(y)::BIGINT AS total, count(*)::BIGINT AS n
 FROM (SELECT *, (CASE k WHEN 'Brand#1' THEN 24 WHEN 'Brand#2' THEN 36 ELSE 12 END)::BIGINT AS months FROM bm), (SELECT max(m) AS e FROM bm)
 WHERE m > e - months GROUP BY k, months""",
     "seed_median": f"""
-SELECT user_id AS k, event_type AS candidate, count(*)::BIGINT AS n_seeds, bool_and(event_id % 50 <> 0) AS all_ok,
-  CASE WHEN bool_and(event_id % 50 <> 0) THEN {r6('median(value)')} END AS mae, CASE WHEN bool_and(event_id % 50 <> 0) THEN {r6('median(value * 2)')} END AS rmse
-FROM events GROUP BY user_id, event_type""",
+SELECT k, candidate, count(*)::BIGINT AS n_seeds, bool_and(ok) AS all_ok,
+  CASE WHEN bool_and(ok) THEN {r6('median(v)')} END AS mae, CASE WHEN bool_and(ok) THEN {r6('median(v * 2)')} END AS rmse
+FROM (SELECT user_id AS k, event_type AS candidate, event_id % 3 AS seed, bool_and(event_id % 50 <> 0) AS ok, max(value) AS v FROM events GROUP BY ALL)
+GROUP BY k, candidate""",
     "error_row_check": """
 SELECT k, (count(*) * CASE WHEN k = '2-HIGH' THEN 2 ELSE 1 END)::BIGINT AS n_rows, CASE WHEN k = '5-LOW' THEN count(DISTINCT m) ELSE 0 END::BIGINT AS n_not_after,
   CASE WHEN k = '2-HIGH' THEN count(*) ELSE 0 END::BIGINT AS n_repeated, k NOT IN ('2-HIGH', '5-LOW') AS valid

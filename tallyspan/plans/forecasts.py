@@ -72,7 +72,7 @@ def residuals(spark, folder):
 
 @query("residual_rows")
 def residual_rows(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     marked = forecast.residual_rows(forecast.trend_season(user_frame(daily), 7))
     usable = marked.filter("usable").select("k", "m", "residual")
     counted = usable.groupBy("k").agg(F.count("*").alias("n_rows"))
@@ -81,14 +81,14 @@ def residual_rows(spark, folder):
 
 @query("complete_lag_rows")
 def complete_lag_rows(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     fitted = forecast.trend_season(user_frame(daily), 7)
     return rounded(forecast.complete_lag_rows(fitted, 4).select("k", "m", "residual"), "residual")
 
 
 @query("positional_lags")
 def positional_lags(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     seen = daily.filter("observed").select("k", "m", "y")
     return lags.positional_lags(seen, 3)
 
@@ -204,7 +204,7 @@ def forecast_batch(spark, folder):
 @query("run_status")
 def run_status(spark, folder):
     """Outcomes over many thin series, where several of the states occur."""
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     paths = forecast.corrected_forecast(user_frame(daily))
     return paths.groupBy("k").agg(
         F.first("status").alias("status"), F.first("n_train").alias("n_train"), F.first("n_residual_rows").alias("n_residual_rows")
@@ -218,19 +218,19 @@ def short_span_flag(spark, folder):
 
 @query("abstain_choice")
 def abstain_choice(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     return rounded(forecast.abstain_choice(forecast.corrected_forecast(user_frame(daily))), "value")
 
 
 @query("terminal_gaps")
 def terminal_gaps(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     return forecast.terminal_gaps(daily.select("k", "m", "y"), 12)
 
 
 @query("recent_mean")
 def recent_mean(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     return rounded(forecast.recent_mean(user_frame(daily)), "recent_mean")
 
 
@@ -303,25 +303,25 @@ def mase_scale(spark, folder):
 
 @query("mase_scale_fallback")
 def mase_scale_fallback(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     return rounded(metrics.mase_scale_fallback(daily.select("k", "m", "y"), 7), "scale")
 
 
 @query("mape_profile")
 def mape_profile(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     return rounded(metrics.mape_profile(user_rows(daily), "k"), "mape", "mape_median_actual", "mape_p10_actual")
 
 
 @query("wape")
 def wape(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     return rounded(user_rows(daily).groupBy("k").agg(metrics.wape().alias("wape")), "wape")
 
 
 @query("score_coverage")
 def score_coverage(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     return rounded(metrics.score_coverage(user_rows(daily), "k"), "mae", "rmse")
 
 
@@ -339,7 +339,7 @@ def mape_scale_risk(spark, folder):
 
 @query("selection_score")
 def selection_score(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     return rounded(user_rows(daily).groupBy("k").agg(metrics.selection_score().alias("score")), "score")
 
 
@@ -449,7 +449,7 @@ def direction_agreement(spark, folder):
 
 @query("surge_flags")
 def surge_flags(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     return metrics.surge_flags(rounded(user_rows(daily), "predicted"))
 
 
@@ -488,7 +488,7 @@ def horizon_slice(spark, folder):
 
 @query("metric_whitelist")
 def metric_whitelist(spark, folder):
-    daily = series.user_daily(spark, folder)
+    daily = series.settle(series.user_daily(spark, folder))
     scores = user_rows(daily).groupBy("k").agg(
         metrics.mae().alias("mae"), metrics.rmse().alias("rmse"), metrics.wape().alias("wape"), metrics.mape().alias("mape")
     )

@@ -347,9 +347,8 @@ def period_source(spark, folder):
 
 @query("default_metadata")
 def default_metadata(spark, folder):
-    rows = typed(spark, folder).filter(F.size("problems") == 0)
-    source = raw.raw_orders(spark, folder).select("source_row", "population", "location")
-    return rows.join(source, "source_row").select(
+    rows = intake.typed_rows(raw.raw_orders(spark, folder), CODES, REASONS, keep=("population", "location"))
+    return rows.filter(F.size("problems") == 0).select(
         "source_row", F.coalesce("population", F.lit("unknown")).alias("population"), F.coalesce("location", F.lit("unknown")).alias("location"),
         tx.date_text(cal.month_start(cal.month_index(F.col("year"), F.col("month")))).alias("date"),
     )

@@ -224,10 +224,9 @@ def seasonal_pivot(spark, folder):
 @query("scope_subset")
 def scope_subset(spark, folder):
     """Whether the labels that each sheet uses lie inside the approved list."""
-    label = F.upper(F.trim("label_text"))
-    labels = raw.raw_orders(spark, folder).groupBy("source").agg(F.collect_set(F.when(label != "", label)).alias("labels"))
-    approved = ["URGENT", "HIGH", "MEDIUM", "LOW"]
-    return labels.select("source", exports.scope_subset(F.col("labels"), approved).alias("inside"))
+    label = F.nullif(F.upper(F.trim("label_text")), F.lit(""))
+    inside = exports.scope_subset(label, ["URGENT", "HIGH", "MEDIUM", "LOW"])
+    return raw.raw_orders(spark, folder).groupBy("source").agg(inside.alias("inside"))
 
 
 @query("warning_refresh")

@@ -180,7 +180,8 @@ def lock_lookup(spark, folder):
     keyed = customers.withColumn("source_key", versions.source_key("c_mktsegment", "c_nationkey"))
     done = orders.filter("o_orderstatus = 'F'").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("locked_at"),
                                                       row_hash(F.col("o_orderkey")).alias("lock_id"))
-    locks = done.join(keyed.filter("c_nationkey % 4 <> 0"), F.col("o_custkey") == F.col("c_custkey"))
+    newest = versions.latest_per_key(done, ["o_custkey"], ["locked_at", "lock_id"])
+    locks = newest.join(keyed.filter("c_nationkey % 4 <> 0"), F.col("o_custkey") == F.col("c_custkey"))
     keys = keyed.select("c_mktsegment", "c_nationkey", "source_key").distinct()
     return versions.lock_lookup(keys, locks)
 
@@ -264,8 +265,9 @@ def seed_median(spark, folder):
     from tallyspan.operators.metrics import seed_median as median
 
     events = table(spark, folder, "events", "event_id", "user_id", "event_type", "value")
-    runs = events.select(F.col("user_id").alias("k"), F.col("event_type").alias("candidate"), (F.col("event_id") % 50 != 0).alias("ok"),
-                         F.col("value").alias("mae"), (F.col("value") * 2).alias("rmse"))
+    runs = events.groupBy(F.col("user_id").alias("k"), F.col("event_type").alias("candidate"), (F.col("event_id") % 3).alias("seed")).agg(
+        F.bool_and(F.col("event_id") % 50 != 0).alias("ok"), F.max("value").alias("mae"), (F.max("value") * 2).alias("rmse")
+    )
     return rounded(median(runs, "k", "candidate"), "mae", "rmse")
 
 

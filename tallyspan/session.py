@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "tallyspan", cores: str = "8", partitions: str = "8") -> SparkSession:
@@ -39,3 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/tallyspan/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write an aggregated table to the shared folder and return it as a scan.
+
+    A plan that needs its series several times then passes over the source tables once, and later stages neither repeat
+    that pass nor depend on it when an executor is lost.
+    """
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,19 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tallyspan.config import SCOPE, StudyScope
 from tallyspan.functions import calendar as cal
 from tallyspan.operators.grid import dense_grid
-from tallyspan.session import new_folder
+from tallyspan.session import settle
 from tallyspan.sources.tables import table
 
-
-def settle(df: DataFrame, label: str = "series") -> DataFrame:
-    """Write an aggregated table to the shared folder and return it as a scan.
-
-    A plan that needs its series several times then passes over the source tables once, and later stages neither repeat
-    that pass nor depend on it when an executor is lost.
-    """
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["brand_monthly", "orders_monthly", "reported_brands", "settle", "user_daily", "weekly_reports"]
 
 
 def _with_index(df: DataFrame) -> DataFrame:
