@@ -257,8 +257,8 @@ def week53_rules(spark, folder):
 
 @query("range_filter")
 def range_filter(spark, folder):
-    cells = series.brand_monthly(spark, folder).filter(F.col("year").between(1996, 1999) & F.col("k").isin("Brand#1", "Brand#2"))
-    return cells.filter(F.col("m").between(1996 * 12 + 3, 1999 * 12 + 5)).select("k", "year", "month", "y")
+    cells = series.brand_monthly(spark, folder, months=(1996 * 12 + 3, 1999 * 12 + 5))
+    return cells.filter(F.col("k").isin("Brand#1", "Brand#2")).select("k", "year", "month", "y")
 
 
 @query("training_exclusion")

@@ -6,6 +6,8 @@ A series table has a key `k`, a whole-number period `m` and a nullable count `y`
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyspan.config import SCOPE, StudyScope
@@ -21,6 +23,14 @@ def _with_index(df: DataFrame) -> DataFrame:
     return df.withColumn("m", cal.month_index(F.col("year"), F.col("month")))
 
 
+def within_months(df: DataFrame, column: str, months: tuple[int, int] | None) -> DataFrame:
+    """Rows of a range of month indexes, as a plain comparison on the time column so that it reaches the scan."""
+    if months is None:
+        return df
+    first, after = (datetime.datetime(m // 12, m % 12 + 1, 1) for m in (months[0], months[1] + 1))
+    return df.filter((F.col(column) >= F.lit(first).cast("timestamp_ntz")) & (F.col(column) < F.lit(after).cast("timestamp_ntz")))
+
+
 def orders_monthly(spark: SparkSession, folder: str, *extra_keys: str) -> DataFrame:
     """Orders per priority and month; extra order columns may widen the key."""
     orders = table(spark, folder, "orders", "o_orderpriority", "o_orderdate", *extra_keys)
@@ -34,9 +44,9 @@ def orders_monthly(spark: SparkSession, folder: str, *extra_keys: str) -> DataFr
     )
 
 
-def brand_monthly(spark: SparkSession, folder: str) -> DataFrame:
+def brand_monthly(spark: SparkSession, folder: str, months: tuple[int, int] | None = None) -> DataFrame:
     """Shipped quantity per brand and month. Line items shrink to (part, month) before they meet the parts."""
-    lines = table(spark, folder, "lineitem", "l_partkey", "l_shipdate", "l_quantity")
+    lines = within_months(table(spark, folder, "lineitem", "l_partkey", "l_shipdate", "l_quantity"), "l_shipdate", months)
     parts = table(spark, folder, "part", "p_partkey", "p_brand")
     per_part = lines.groupBy(
         "l_partkey",
@@ -64,11 +74,12 @@ def reported_brands(spark: SparkSession, folder: str, scope: StudyScope = SCOPE)
 
     The rank filter becomes a group limit before the shuffle, so each task sends at most n keys per year.
     """
-    cells = settle(brand_monthly(spark, folder).filter(F.col("year").isin(list(scope.available_years))))
+    months = (scope.first_year * 12, scope.last_year * 12 + 11)
+    cells = settle(brand_monthly(spark, folder, months).filter(F.col("year").isin(list(scope.available_years))))
     yearly = cells.groupBy("year", "k").agg(F.sum("y").alias("total"))
     order = Window.partitionBy("year").orderBy(F.desc("total"), "k")
     kept = yearly.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= scope.annual_limit)
-    return cells.join(kept, ["year", "k"], "left_semi").select("k", "year", "month", "m", "y")
+    return settle(cells.join(kept, ["year", "k"], "left_semi").select("k", "year", "month", "m", "y"))
 
 
 def weekly_reports(spark: SparkSession, folder: str) -> DataFrame:
