@@ -34,9 +34,15 @@ def number_or_null(text: Column) -> Column:
 
 
 def strict_integer(text: Column) -> Column:
-    """'1' and '1.0' are whole, '1.5' and words are null."""
+    """'1' and '1.0' are whole, '1.5' and words are null. Only text that is a number is cast, since a failing cast is slow."""
     value = number_or_null(text)
-    return F.when((value % 1 == 0) & (F.abs(value) < 9.0e15), value.cast("bigint"))
+    return F.when((value % 1 == 0) & (F.abs(value) < 9.0e15), value).cast("bigint")
+
+
+def in_range(number: Column, low: int, high: int) -> Column:
+    """The number where it lies in the range, else null; the number is computed once."""
+    place = F.least(F.greatest(number - low, F.lit(-1)), F.lit(high - low + 1)).cast("int")
+    return F.get(F.sequence(F.lit(low).cast("bigint"), F.lit(high).cast("bigint")), place)
 
 
 def month_number(text: Column) -> Column:
@@ -44,12 +50,11 @@ def month_number(text: Column) -> Column:
     names.update({name: i + 1 for i, name in enumerate(MONTH_ABBREVIATIONS)})
     lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     number = F.coalesce(F.try_element_at(lookup, F.lower(F.trim(text))).cast("bigint"), strict_integer(text))
-    return F.when(number.between(1, 12), number)
+    return in_range(number, 1, 12)
 
 
 def year_header(text: Column) -> Column:
-    number = strict_integer(text)
-    return F.when(number.between(1900, 9999), number)
+    return in_range(strict_integer(text), 1900, 9999)
 
 
 def block_code(text: Column) -> Column:

@@ -100,7 +100,11 @@ def parse_date(text: Column, convention: str) -> Column:
     iso_day = F.try_to_date(F.regexp_replace(iso_text, "/", "-"), "yyyy-M-d")
     serial = number_or_null(clean)
     serial_day = F.when(serial.between(1, 100000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int")))
-    given = F.coalesce(*[F.try_to_date(clean, p) for p in patterns[convention]])
+    # a failing parse is slow, so only text of the right shape is tried
+    shape = r"^[0-9]{4}%s[0-9]{1,2}%s[0-9]{1,2}$" if convention == "year-first" else r"^[0-9]{1,2}%s[0-9]{1,2}%s[0-9]{4}$"
+    given = F.coalesce(*[
+        F.when(clean.rlike(shape % (mark, mark)), F.try_to_date(clean, p)) for mark, p in zip("/-", patterns[convention])
+    ])
     return F.when(iso, iso_day).when(serial.isNotNull(), serial_day).otherwise(given)
 
 
@@ -235,6 +239,11 @@ def scope_tags(documents: DataFrame, text: str) -> DataFrame:
     return documents.withColumn("tags", F.array_join(tags, ","))
 
 
+def once(**columns: Column) -> Column:
+    """Columns that are computed once per row, however often later steps use them."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 # ---- rows ---------------------------------------------------------------------------------------------------------
 
 def unpivot_years(wide: DataFrame, id_columns: list[str]) -> DataFrame:
@@ -265,15 +274,14 @@ def week53_rules(df: DataFrame) -> DataFrame:
 def typed_rows(raw: DataFrame, allowed_codes: list[str], reasons: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Every raw row with its typed values and the list of its problems; good rows have an empty list.
 
-    Parsing happens in a projection of its own, so that each pattern is matched once per row. Columns named in `keep` pass
-    through unchanged.
+    The parsed values come out of an inlined struct. A later filter on the problems cannot be pushed below it, which would
+    repeat every pattern in the filter, so each one is matched once per row. Columns named in `keep` pass through unchanged.
     """
-    parsed = raw.select(
-        "source", "source_row", strict_integer(F.col("year_text")).alias("year"), month_number(F.col("month_text")).alias("month"),
-        block_code(F.col("code_text")).alias("code"), squeeze_spaces(F.col("label_text")).alias("label"),
-        strict_integer(F.col("count_text")).alias("y"), F.nullif(F.trim("count_text"), F.lit("")).isNotNull().alias("_supplied"),
-        F.trim("status_text").alias("_status"), *keep,
-    )
+    parsed = raw.select("source", "source_row", *keep, once(
+        year=strict_integer(F.col("year_text")), month=month_number(F.col("month_text")), code=block_code(F.col("code_text")),
+        label=squeeze_spaces(F.col("label_text")), y=strict_integer(F.col("count_text")),
+        _supplied=F.nullif(F.trim("count_text"), F.lit("")).isNotNull(), _status=F.trim("status_text"),
+    ))
     status, status_error = observation_status(F.col("y"), F.col("_status"), reasons)
     year = F.col("year")
     problems = F.array_compact(F.array(

@@ -232,7 +232,7 @@ FROM urows GROUP BY k""",
 SELECT k, model, horizon, count(predicted)::BIGINT AS n, {r6(_MAE)} AS mae, {r6(_RMSE)} AS rmse, {r6(_MAPE)} AS mape
 FROM mp JOIN (SELECT unnest([3, 6, 12])::BIGINT AS horizon) ON h <= horizon GROUP BY k, model, horizon""",
     "mape_scale_risk": f"""
-SELECT k, median, p10, CASE WHEN bad OR (median >= 10 AND p10 >= 5) THEN 'none' WHEN p10 < 5 THEN 'low_tail' ELSE 'low_median' END AS risk
+SELECT k, round(median, 6) AS median, round(p10, 6) AS p10, CASE WHEN bad OR (median >= 10 AND p10 >= 5) THEN 'none' WHEN p10 < 5 THEN 'low_tail' ELSE 'low_median' END AS risk
 FROM (SELECT k, max(median) AS median, max(p10) AS p10, bool_or(mape IS NULL) AS bad
       FROM (SELECT k, model, {_MAPE} AS mape, median(actual) {_NZ} AS median, quantile_cont(actual, 0.1) {_NZ} AS p10
             FROM mp GROUP BY k, model) GROUP BY k)""",

@@ -334,7 +334,7 @@ def horizon_metrics(spark, folder):
 @query("mape_scale_risk")
 def mape_scale_risk(spark, folder):
     monthly = series.settle(series.orders_monthly(spark, folder))
-    return metrics.mape_scale_risk(metrics.mape_profile(backtest_rows(monthly), "k", "model"))
+    return rounded(metrics.mape_scale_risk(metrics.mape_profile(backtest_rows(monthly), "k", "model")), "median", "p10")
 
 
 @query("selection_score")

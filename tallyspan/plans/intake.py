@@ -203,8 +203,7 @@ def observation_status(spark, folder):
 
 @query("availability_rules")
 def availability_rules(spark, folder):
-    status, _ = quality.observation_status(tx.strict_integer(F.col("count_text")), F.col("status_text"), REASONS)
-    rows = raw.raw_orders(spark, folder).select("source_row", tx.strict_integer(F.col("year_text")).alias("year"), status.alias("status"))
+    rows = typed(spark, folder).select("source_row", "year", "status")
     error = quality.availability_error(F.col("year"), F.col("status"), SCOPE.unavailable_years)
     return rows.withColumn("error", error).filter("error is not null")
 
