@@ -24,7 +24,7 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session("bench", cores=cores, partitions=cores)
     queries = all_queries()
-    spark.read.parquet(f"{folder}/orders.parquet").count()
+    queries["mmwr_year_length"](spark, folder).write.format("noop").mode("overwrite").save()  # start-up, not timed
     seconds: dict[str, float] = {}
     for name in HEADLINE:
         start = time.perf_counter()

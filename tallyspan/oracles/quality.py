@@ -101,7 +101,7 @@ SELECT k, week, CASE WHEN week <> 53 THEN 'plain' WHEN {year_length('year')} = 5
 SELECT "check", k, year, week, place, total FROM (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY k, year, week) AS place,
   count(*) OVER (PARTITION BY "check") AS total FROM finding) WHERE place <= 50""",
     "cell_compare": """
-SELECT k, m, y AS y_a, CASE WHEN m % 31 = 0 THEN NULL WHEN m % 29 = 0 THEN y + 1 ELSE y END AS y_b, m % 31 <> 0 AND m % 29 <> 0 AS match FROM om""",
+SELECT k, m, y AS y_a, CASE WHEN month = 8 THEN NULL WHEN month = 3 THEN y + 1 ELSE y END AS y_b, month NOT IN (3, 8) AS match FROM om""",
     "annual_reconciliation": """
 SELECT k, year, summed_total, n_cells, blank_cells, zero_cells, printed_total,
   CASE WHEN printed_total IS NULL THEN 'no_printed_total' WHEN printed_total = summed_total THEN 'match' ELSE 'difference' END AS status

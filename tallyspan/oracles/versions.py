@@ -27,7 +27,7 @@ SELECT event_id AS run_id, 's' || user_id AS signature, event_type AS block,
 VIEWS["note"] = """
 SELECT event_id AS id, event_type AS type, ts, CASE user_id % 3 WHEN 1 THEN 'admin' WHEN 2 THEN 'viewer' END AS role_target,
   CASE WHEN user_id % 5 = 0 THEN user_id % 20 END AS user_target FROM events"""
-VIEWS["rcpt"] = "SELECT event_id AS notification_id, user_id % 2 * 10 AS user_id FROM events WHERE event_id % 4 = 0"
+VIEWS["rcpt"] = "SELECT event_id AS notification_id, user_id % 2 * 10 AS user_id FROM events WHERE event_type IN ('view', 'signup')"
 VIEWS["myfeed"] = """
 SELECT n.*, EXISTS (SELECT 1 FROM rcpt r WHERE r.notification_id = n.id AND r.user_id = 10) AS is_read FROM note n
 WHERE (role_target IS NULL OR role_target = 'admin') AND (user_target IS NULL OR user_target = 10)"""
@@ -105,9 +105,8 @@ FROM vstate JOIN lineitem ON l_orderkey = id WHERE state = 'active' GROUP BY sco
 SELECT signature, block, run_id, created_at FROM runs WHERE is_now
 QUALIFY row_number() OVER (PARTITION BY signature, block ORDER BY created_at DESC, run_id DESC) = 1""",
     "run_upsert": f"""
-SELECT run_id, CASE WHEN run_id % 4 = 0 THEN 'running' ELSE status END AS status, CASE WHEN run_id % 4 = 0 THEN 1 ELSE 2 END::BIGINT AS version,
-  CASE WHEN run_id % 4 <> 0 AND status = 'completed' THEN 3 END::BIGINT AS n_values,
-  CASE WHEN run_id % 4 <> 0 AND status = 'completed' THEN {r6('value * 6')} END AS total FROM runs""",
+SELECT run_id, status, CASE WHEN status = 'running' THEN 1 ELSE 2 END::BIGINT AS version,
+  CASE WHEN status = 'completed' THEN 3 END::BIGINT AS n_values, CASE WHEN status = 'completed' THEN {r6('value * 6')} END AS total FROM runs""",
     "visible_results": """
 SELECT run_id, signature, block FROM runs WHERE is_now AND signature IN
   (SELECT 's' || user_id FROM events GROUP BY user_id HAVING max_by(event_type, event_id) <> 'error')""",

@@ -55,5 +55,6 @@ def notices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def receipts(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events", "event_id", "user_id")
-    return events.filter("event_id % 4 = 0").select(F.col("event_id").alias("notification_id"), (F.col("user_id") % 2 * 10).alias("user_id"))
+    """Views and sign-ups count as read by one of two readers."""
+    events = table(spark, folder, "events", "event_id", "user_id", "event_type")
+    return events.filter(F.col("event_type").isin("view", "signup")).select(F.col("event_id").alias("notification_id"), (F.col("user_id") % 2 * 10).alias("user_id"))
