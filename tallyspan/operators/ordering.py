@@ -15,7 +15,7 @@ _FILE = r"part-(\d+)-.*-c(\d+)"
 
 
 def positions(df: DataFrame, order: list[Column | str], name: str = "position") -> DataFrame:
-    """1-based position of every row in the given order."""
+    """1-based position of every row in the given order. The sort reads its input twice, so a costly one is settled before."""
     spark = df.sparkSession
     folder = new_folder(spark, "ordered")
     df.orderBy(*order).write.parquet(folder)

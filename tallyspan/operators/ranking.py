@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspan.functions.numeric import is_finite
 from tallyspan.operators.ordering import positions
+from tallyspan.session import settle
 
 
 def projected_total(paths: DataFrame) -> DataFrame:
@@ -13,8 +14,12 @@ def projected_total(paths: DataFrame) -> DataFrame:
 
 
 def rank_totals(totals: DataFrame) -> DataFrame:
-    """Unique ranks, larger totals first and equal ones by key, without one task seeing all series."""
-    return positions(totals.filter(F.col("projected_total").isNotNull()), [F.desc("projected_total"), F.asc("k")], "rank")
+    """Unique ranks, larger totals first and equal ones by key, without one task seeing all series.
+
+    The totals are settled first, since a sort reads its input twice and the forecasts behind them are the larger work.
+    """
+    known = settle(totals.filter(F.col("projected_total").isNotNull()), "totals")
+    return positions(known, [F.desc("projected_total"), F.asc("k")], "rank")
 
 
 def top_n(totals: DataFrame, n: int) -> DataFrame:
