@@ -40,5 +40,40 @@ FROM judged GROUP BY conv_id
 """
 
 
+#: Levels of the common target are found by sharing out again, one round for each source at most.
+OP5_MIXING = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS tie FROM documents
+), quality AS (
+  SELECT doc_id, avg(CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE END) AS weight FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), keyed AS (
+  SELECT s.*, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '~')), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710656.0::DOUBLE)
+    / (CASE WHEN weight > 0 THEN weight ELSE 1.0::DOUBLE END) AS key
+  FROM sized s LEFT JOIN quality USING (doc_id)
+), sources AS (
+  SELECT source, sum(size)::DOUBLE AS source_size, ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM sized GROUP BY source
+), rounds AS (
+  SELECT 0 AS n, source, source_size, weight, 1.5 * (sum(source_size) OVER ()) * weight / (sum(weight) OVER ()) AS target, false AS stopped FROM sources
+  UNION ALL
+  SELECT n + 1, source, source_size, weight,
+    CASE WHEN over_limit OR room = 0 THEN least(target, limit_) ELSE target + excess * weight / room END, over_limit
+  FROM (
+    SELECT *, sum(target - limit_) FILTER (target > limit_) OVER () AS excess, sum(weight) FILTER (NOT over_limit) OVER () AS room
+    FROM (SELECT *, 2 * source_size AS limit_, target >= 2 * source_size AS over_limit FROM rounds)
+  ) WHERE excess > 0
+), settled AS (
+  SELECT source, source_size::BIGINT AS source_size, round(target, 6) AS target FROM rounds WHERE n = (SELECT max(n) FROM rounds)
+), planned AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM settled
+), placed AS (
+  SELECT k.*, p.source_size, p.target, p.epochs, round(p.target - p.epochs * p.source_size)::BIGINT AS rest,
+    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed k JOIN planned p ON k.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM placed
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_CHAT_FORMAT}
+    return {"op2_chat_format": OP2_CHAT_FORMAT, "op5_mixing": OP5_MIXING}

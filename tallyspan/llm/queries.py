@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.llm import chat, simhash
+from tallyspan.llm import chat, mixing, simhash
 from tallyspan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,10 +19,21 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_chats(chat.format_chats(turns.unionByName(added)))
 
 
+def quality_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Sampling weights of labelled documents: good ones count twice, bad ones half."""
+    labels = read(spark, folder, "labels", "doc_id", "quality")
+    return labels.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).alias("weight"))
+
+
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text", "source")
+    return mixing.mix(docs, quality_weights(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_duplicates(read(spark, folder, "documents", "doc_id", "text"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op2_chat_format": op2_chat_format, "op7_simhash": op7_simhash}
+    return {"op2_chat_format": op2_chat_format, "op5_mixing": op5_mixing, "op7_simhash": op7_simhash}
