@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyspan.llm.chat import CONTROL_STRINGS
+from tallyspan.llm.url_reputation import DOUBLE_SUFFIXES
 
 
 def _escaped(text: str) -> str:
@@ -75,5 +76,55 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+_TWO = ", ".join(f"'{s}'" for s in DOUBLE_SUFFIXES)
+
+
+def _level(keys: str, parent: str, rate: str) -> str:
+    """SQL for one level of shrinkage: groups of hosts, the strength of their prior, their posterior rates."""
+    return f"""(
+  SELECT g.*, m, (k + m * p) / (n + m) AS rate FROM (SELECT {keys}, n, k, p FROM (SELECT {keys}, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY {keys}) c {parent}) g,
+  (SELECT greatest(2.0, least(1000.0, CASE WHEN between_ > 0 THEN noise / between_ - 1 ELSE 1000.0 END)) AS m FROM (
+    SELECT noise, (spread - (many - 1) * noise) / nullif(total - squares / nullif(total, 0), 0) AS between_ FROM (
+      SELECT sum(n)::DOUBLE AS total, count(*) AS many, sum(n * n)::DOUBLE AS squares, sum(p * (1 - p)) / nullif(count(*), 0) AS noise,
+        sum(n * pow(k::DOUBLE / n - p, 2)) AS spread
+      FROM (SELECT {keys}, n, k, {rate} AS p FROM (SELECT {keys}, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY {keys}) c {parent}) WHERE n > 0)))
+)"""
+
+
+OP6_URL_FILTER = rf"""
+WITH parts AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), outcomes AS (
+  SELECT doc_id, max((coalesce(quality = 0, false) OR coalesce(toxic = 1, false))::INT) AS bad FROM labels
+  WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id
+), counted AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site
+  FROM parts LEFT JOIN outcomes ON doc_id = page_id GROUP BY host
+), hosts AS (
+  SELECT *, CASE WHEN two IN ({_TWO}) THEN two ELSE split_part(site, '.', -1) END AS suffix,
+    CASE WHEN two IN ({_TWO}) THEN regexp_extract(site, '[^.]*\.?[^.]*\.?[^.]*$') ELSE two END AS domain
+  FROM (SELECT *, regexp_extract(site, '[^.]*\.?[^.]*$') AS two FROM counted)
+), suffixes AS {_level("suffix", "JOIN (SELECT coalesce(sum(k)::DOUBLE / nullif(sum(n), 0), 0) AS p FROM hosts) ON true", "p")},
+domains AS {_level("suffix, domain", "JOIN (SELECT suffix, rate AS p FROM suffixes) USING (suffix)", "p")},
+named AS {_level("suffix, domain, host", "JOIN (SELECT suffix, domain, rate AS p FROM domains) USING (suffix, domain)", "p")},
+bounds AS (SELECT host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + m + 1)) AS bound FROM named),
+ruled AS (
+  SELECT page_id, host, path, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict,
+  round(rate, 9) AS bad_rate, round(bound, 9) AS bound
+FROM ruled JOIN bounds USING (host)
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_CHAT_FORMAT, "op5_mixing": OP5_MIXING}
+    return {"op2_chat_format": OP2_CHAT_FORMAT, "op5_mixing": OP5_MIXING, "op6_url_filter": OP6_URL_FILTER}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.llm import chat, mixing, simhash
+from tallyspan.llm import chat, mixing, simhash, url_reputation
 from tallyspan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +30,18 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, quality_weights(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """A page's outcome is that of the label with its number: bad where quality is 0 or toxic is 1."""
+    pages = read(spark, folder, "pages", "page_id", "url")
+    labels = read(spark, folder, "labels", "doc_id", "quality", "toxic")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.col("toxic") == 1, F.col("quality") == 0).alias("bad"))
+    return url_reputation.judge(pages, outcomes)
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_duplicates(read(spark, folder, "documents", "doc_id", "text"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op2_chat_format": op2_chat_format, "op5_mixing": op5_mixing, "op7_simhash": op7_simhash}
+    return {"op2_chat_format": op2_chat_format, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash}
