@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.llm import chat, mixing, simhash, url_reputation
+from tallyspan.llm import chat, licenses, mixing, simhash, url_reputation
 from tallyspan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,5 +43,9 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(read(spark, folder, "documents", "doc_id", "text")).drop("spans")
+
+
 def llm_queries() -> dict[str, Query]:
-    return {"op2_chat_format": op2_chat_format, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash}
+    return {"op2_chat_format": op2_chat_format, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses}
