@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.llm import chat, licenses, mixing, simhash, url_reputation
+from tallyspan.llm import chat, language, licenses, mixing, simhash, url_reputation
 from tallyspan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,12 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_chats(chat.format_chats(turns.unionByName(added)))
 
 
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text", "lang")
+    found = language.identify(docs, language.labelled(docs))
+    return found.select("doc_id", (language.training_fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def quality_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Sampling weights of labelled documents: good ones count twice, bad ones half."""
     labels = read(spark, folder, "labels", "doc_id", "quality")
@@ -48,4 +54,4 @@ def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op2_chat_format": op2_chat_format, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses}
+    return {"op2_chat_format": op2_chat_format, "op3_language": op3_language, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses}
