@@ -41,6 +41,17 @@ FROM judged GROUP BY conv_id
 """
 
 
+OP4_WARC = """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), least AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to, true AS intact
+FROM least
+"""
+
 #: Levels of the common target are found by sharing out again, one round for each source at most.
 OP5_MIXING = r"""
 WITH RECURSIVE sized AS (
@@ -127,4 +138,4 @@ FROM ruled JOIN bounds USING (host)
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_CHAT_FORMAT, "op5_mixing": OP5_MIXING, "op6_url_filter": OP6_URL_FILTER}
+    return {"op2_chat_format": OP2_CHAT_FORMAT, "op4_warc": OP4_WARC, "op5_mixing": OP5_MIXING, "op6_url_filter": OP6_URL_FILTER}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.llm import chat, language, licenses, mixing, simhash, url_reputation
+from tallyspan.llm import chat, language, licenses, mixing, simhash, url_reputation, warc
 from tallyspan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (language.training_fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(read(spark, folder, "pages", "page_id", "url", "html"))
+
+
 def quality_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Sampling weights of labelled documents: good ones count twice, bad ones half."""
     labels = read(spark, folder, "labels", "doc_id", "quality")
@@ -54,4 +58,4 @@ def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op2_chat_format": op2_chat_format, "op3_language": op3_language, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses}
+    return {"op2_chat_format": op2_chat_format, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses}
