@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.llm import chat, language, licenses, mixing, simhash, url_reputation, warc
+from tallyspan.llm import chat, language, licenses, mixing, simhash, syncmers, url_reputation, warc
 from tallyspan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,5 +57,9 @@ def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(read(spark, folder, "documents", "doc_id", "text")).drop("spans")
 
 
+def op9_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.edit_trial(read(spark, folder, "documents", "doc_id", "text"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {"op2_chat_format": op2_chat_format, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses}
+    return {"op2_chat_format": op2_chat_format, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses, "op9_syncmers": op9_syncmers}
