@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyspan.session import settle
 from tallyspan.sources.tables import table
 
-__all__ = ["bounded", "byte_words", "components", "fold_ascii", "settle", "space_words", "table"]
+__all__ = ["bounded", "byte_words", "components", "fold_ascii", "settle", "shared", "space_words", "table"]
 
 #: Characters that separate words wherever a rule says "white space": space and the five ASCII controls around the line feed.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -47,6 +49,12 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
             yield batch.slice(start)
 
 
+def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function that gives tasks a broadcast value. Classes of this folder travel by value, so executors need no copy of it."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

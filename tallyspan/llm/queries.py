@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.llm import chat, language, licenses, mixing, simhash, syncmers, url_reputation, warc
+from tallyspan.llm import chat, decontaminate, language, licenses, mixing, simhash, syncmers, url_reputation, warc
 from tallyspan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the items they hold."""
+    return decontaminate.find_leaks(read(spark, folder, "documents", "doc_id", "text"), read(spark, folder, "benchmark", "item_id", "text"))
+
+
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = read(spark, folder, "conversations", "conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -62,4 +67,4 @@ def op9_syncmers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {"op2_chat_format": op2_chat_format, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses, "op9_syncmers": op9_syncmers}
+    return {"op1_decontaminate": op1_decontaminate, "op2_chat_format": op2_chat_format, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses, "op9_syncmers": op9_syncmers}
