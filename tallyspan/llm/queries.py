@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.llm import chat, decontaminate, language, licenses, mixing, simhash, syncmers, url_reputation, warc
+from tallyspan.llm import chat, decontaminate, html_lstm, language, licenses, mixing, simhash, syncmers, url_reputation, warc
 from tallyspan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,5 +66,20 @@ def op9_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.edit_trial(read(spark, folder, "documents", "doc_id", "text"))
 
 
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_lstm.extract(read(spark, folder, "pages", "page_id", "url", "html"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_chat_format": op2_chat_format, "op3_language": op3_language, "op4_warc": op4_warc, "op5_mixing": op5_mixing, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses, "op9_syncmers": op9_syncmers}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_chat_format": op2_chat_format,
+        "op3_language": op3_language,
+        "op4_warc": op4_warc,
+        "op5_mixing": op5_mixing,
+        "op6_url_filter": op6_url_filter,
+        "op7_simhash": op7_simhash,
+        "op8_licenses": op8_licenses,
+        "op9_syncmers": op9_syncmers,
+        "op10_main_text": op10_main_text,
+    }
