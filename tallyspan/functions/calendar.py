@@ -65,11 +65,7 @@ def iso_week_month_index(year: Column, week: Column) -> Column:
 def advance_week(year: Column, week: Column, steps: Column, last_known_year: Column) -> tuple[Column, Column]:
     """(year, week) after a number of weeks; null once a year of unknown length would have to be crossed."""
     target = F.date_add(week_start(year, week), (7 * steps).cast("int"))
-    landed = (
-        F.when(target < first_week_start(year + 1), year)
-        .when(target < first_week_start(year + 2), year + 1)
-        .otherwise(year + 2)
-    )
+    landed = F.year(F.date_add(target, 3)).cast("bigint")  # a week belongs to the year of its Wednesday
     known = landed <= last_known_year + 1
     number = (F.datediff(target, first_week_start(landed)) / 7 + 1).cast("bigint")
     return F.when(known, landed), F.when(known, number)

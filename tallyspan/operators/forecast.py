@@ -41,8 +41,8 @@ def last_complete_year(df: DataFrame) -> Column:
 
 
 def three_way_split(df: DataFrame, validation: int, test: int) -> DataFrame:
-    """Positional split counted back from the end of each key."""
-    back = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("m")))
+    """Split by calendar positions, counted back from the last period of each key; a hole takes its position."""
+    back = F.max("m").over(Window.partitionBy("k")) - F.col("m") + 1
     return df.withColumn("_b", back).select(
         "k", "m", "y",
         F.when(F.col("_b") <= test, "test").when(F.col("_b") <= test + validation, "validation").otherwise("train").alias("split"),
@@ -50,8 +50,8 @@ def three_way_split(df: DataFrame, validation: int, test: int) -> DataFrame:
 
 
 def rolling_folds(df: DataFrame, folds: int, holdout: int) -> DataFrame:
-    """Expanding training windows before an untouched hold-out; the last fold is the hold-out itself."""
-    back = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("m")))
+    """Expanding training windows before an untouched hold-out, by calendar positions; the last fold is the hold-out itself."""
+    back = F.max("m").over(Window.partitionBy("k")) - F.col("m") + 1
     ends = F.explode(F.array(*[
         F.struct(F.lit(i + 1).cast("bigint").alias("fold"), F.lit((folds - i) * holdout).alias("after")) for i in range(folds + 1)
     ]))
@@ -77,8 +77,8 @@ def split_override(df: DataFrame, train_years: dict[str, int]) -> DataFrame:
 
 
 def window_variants(df: DataFrame, lengths: list[int], ends_before: list[int], test: int) -> DataFrame:
-    """Back-test windows of several lengths and several ends, counted in rows from the end of each key."""
-    back = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("m")))
+    """Back-test windows of several lengths and several ends, counted in calendar positions from the last period of each key."""
+    back = F.max("m").over(Window.partitionBy("k")) - F.col("m") + 1
     variants = F.explode(F.array(*[
         F.struct(F.lit(f"{n}m-{e}").alias("variant"), F.lit(n).alias("n"), F.lit(e).alias("e"))
         for n in lengths for e in ends_before
@@ -93,11 +93,17 @@ def window_variants(df: DataFrame, lengths: list[int], ends_before: list[int], t
 
 # ---- frames -------------------------------------------------------------------------------------------------------
 
-def backtest_frame(df: DataFrame) -> DataFrame:
-    """Training rows before the last complete year and that year's observed rows as targets."""
-    year = last_complete_year(df)
-    framed = df.select("k", "m", "y").withColumn("_start", year * 12)
-    return framed.filter(F.col("m") < F.col("_start") + 12).select(
+def backtest_frame(df: DataFrame, split: str = MODEL.evaluation_split) -> DataFrame:
+    """Training rows before the evaluation year and every row from then on as a target; no row is left out.
+
+    That year is the last one each key reports in, or for all keys the last one that the table covers to its end.
+    """
+    if split == "last_reported_year":
+        year = F.floor(F.max(F.when(F.col("y").isNotNull(), F.col("m"))).over(Window.partitionBy("k")) / 12).cast("bigint")
+    else:
+        year = last_complete_year(df)
+    framed = df.select("k", "m", "y", (year * 12).alias("_start"))
+    return framed.select(
         "k", "m", "y", (F.col("m") < F.col("_start")).alias("train"),
         F.when(F.col("m") >= F.col("_start"), F.col("m") - F.col("_start") + 1).alias("h"),
     )
@@ -275,16 +281,17 @@ def terminal_gaps(df: DataFrame, lags: int) -> DataFrame:
 
 # ---- benchmarks ---------------------------------------------------------------------------------------------------
 
-def seasonal_naive(frame: DataFrame, season: int = 12) -> DataFrame:
+def seasonal_naive(frame: DataFrame, season: int = 12, groups: list[str] | None = None) -> DataFrame:
     """The last training values of one season, repeated over the targets; a shorter history repeats what it has."""
+    keys = groups or ["k"]
     train = frame.filter(F.col("train") & F.col("y").isNotNull())
-    back = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("m")))
-    last = train.withColumn("_b", back).filter(F.col("_b") <= season).groupBy("k").agg(
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("m")))
+    last = train.withColumn("_b", back).filter(F.col("_b") <= season).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("m", F.col("y").cast("double").alias("v")))).alias("_last")
     )
     place = ((F.col("h") - 1) % F.size("_last") + 1).cast("int")
-    targets = frame.filter(F.col("h").isNotNull()).join(last, "k", "left")
-    return targets.select("k", "m", "h", "y", floor_zero(F.element_at("_last", place)["v"]).alias("naive"))
+    targets = frame.filter(F.col("h").isNotNull()).join(last, keys, "left")
+    return targets.select(*keys, "m", "h", "y", floor_zero(F.element_at("_last", place)["v"]).alias("naive"))
 
 
 def recent_mean(frame: DataFrame, n: int = 12) -> DataFrame:

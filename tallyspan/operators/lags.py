@@ -43,17 +43,16 @@ def positional_lags(df: DataFrame, lags: int) -> DataFrame:
 def decompose(df: DataFrame, season: int = 12, minimum: int = 24) -> DataFrame:
     """Additive decomposition: centred moving average, re-centred seasonal means, remainder.
 
-    The ends, where the average lacks values, stay null. Keys with too few points are left out.
+    Both frames follow the calendar: where one lacks a position, at an end or in a hole, the average is null. Keys with too few points
+    are left out.
     """
     by_key = Window.partitionBy("k")
     order = by_key.orderBy("m")
     half = season // 2
-    early = F.avg("y").over(order.rowsBetween(-half, half - 1))
-    late = F.avg("y").over(order.rowsBetween(-half + 1, half))
-    position = F.row_number().over(order)
-    total = F.count("*").over(by_key)
-    framed = df.withColumn("_n", total).filter(F.col("_n") >= minimum).withColumn("_p", position).withColumn(
-        "trend", F.when((F.col("_p") > half) & (F.col("_p") <= F.col("_n") - half), (early + late) / 2)
+    early, late = order.rangeBetween(-half, half - 1), order.rangeBetween(-half + 1, half)
+    full = (F.count("y").over(early) == 2 * half) & (F.count("y").over(late) == 2 * half)
+    framed = df.withColumn("_n", F.count("*").over(by_key)).filter(F.col("_n") >= minimum).withColumn(
+        "trend", F.when(full, (F.avg("y").over(early) + F.avg("y").over(late)) / 2)
     )
     by_phase = Window.partitionBy("k", "_phase")
     raw = framed.withColumn("_phase", F.col("m") % season).withColumn(

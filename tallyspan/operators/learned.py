@@ -92,7 +92,10 @@ def _solve(sums: pd.Series) -> pd.Series:
     size = int((math.isqrt(1 + 4 * packed.shape[1]) - 1) // 2)
     left = packed[:, : size * size].reshape(-1, size, size)
     right = packed[:, size * size:]
-    return pd.Series(list(np.linalg.solve(left, right[..., None])[..., 0]))
+    try:
+        return pd.Series(list(np.linalg.solve(left, right[..., None])[..., 0]))
+    except np.linalg.LinAlgError:  # one series without a unique fit must not end the others
+        return pd.Series([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(left, right, strict=True)])
 
 
 def fourier_base(frame: DataFrame, pairs: int = 3, season: int = 12, ridge: float = 1e-6) -> DataFrame:

@@ -22,15 +22,15 @@ RMSE_RTOL = 1e-6
 RMSE_ATOL = 1e-8
 METRIC_FIELDS = (
     "mae", "rmse", "mape", "mape_n", "mape_median_actual", "mape_p10_actual", "n", "test_positions_total",
-    "observations_scored_rmse_mae", "missing_actuals_excluded", "mape_valid_observations", "zero_actuals_excluded_from_mape",
+    "observations_scored", "missing_actuals_excluded", "mape_valid_observations", "zero_actuals_excluded_from_mape",
 )
 
 
-def long_paths(paths: DataFrame, models: list[str], actual: str = "y") -> DataFrame:
-    """One row per key, period and model."""
+def long_paths(paths: DataFrame, models: list[str], actual: str = "y", carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key, period and model; further key columns are carried along."""
     values = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("predicted")) for m in models]))
-    return paths.select("k", "m", "h", F.col(actual).cast("double").alias("actual"), values.alias("v")).select(
-        "k", "m", "h", "actual", F.col("v.model").alias("model"), F.col("v.predicted").alias("predicted")
+    return paths.select("k", *carried, "m", "h", F.col(actual).cast("double").alias("actual"), values.alias("v")).select(
+        "k", *carried, "m", "h", "actual", F.col("v.model").alias("model"), F.col("v.predicted").alias("predicted")
     )
 
 

@@ -12,7 +12,7 @@ FROM oms GROUP BY k"""
 _D = f"coalesce(week_start_date, {week_start('year', 'week')})"
 _YEARS = "(SELECT DISTINCT year(o_orderdate)::BIGINT AS year FROM orders)"
 _T = f"({week_start('y0', 'w0')} + (7 * h)::INT)"
-_L = f"(CASE WHEN {_T} < {week1('y0 + 1')} THEN y0 WHEN {_T} < {week1('y0 + 2')} THEN y0 + 1 ELSE y0 + 2 END)"
+_L = f"(SELECT max(y) FROM unnest(range(y0, y0 + 8)) AS r(y) WHERE {week1('y')} <= {_T})"
 
 SQL = {
     "mmwr_week1": f"SELECT year, strftime({week1('year')}, '%Y-%m-%d') AS week1_start FROM {_YEARS}",
@@ -34,7 +34,7 @@ FROM (SELECT k, h, CASE WHEN landed <= known + 1 THEN landed END AS year,
              CASE WHEN landed <= known + 1 THEN ((t - {week1('landed')}) // 7 + 1)::BIGINT END AS week
       FROM (SELECT k, h, known, {_T} AS t, {_L} AS landed
             FROM (SELECT k, max(year) AS y0, max_by(week, year * 100 + week) AS w0 FROM wk GROUP BY k),
-                 (SELECT max(year) AS known FROM wk), (SELECT unnest(range(1, 61)) AS h)))""",
+                 (SELECT max(year) AS known FROM wk), (SELECT unnest(range(1, 301)) AS h)))""",
     "dense_grid": "SELECT * FROM study",
     "weekly_grid": f"""
 SELECT g.k, g.year, g.week, w.y

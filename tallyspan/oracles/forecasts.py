@@ -5,7 +5,7 @@ from tallyspan.oracles.base import VIEWS, r6
 
 VIEWS["bt"] = """
 SELECT k, m, y, m < hy * 12 AS train, CASE WHEN m >= hy * 12 THEN m - hy * 12 + 1 END AS h
-FROM om, (SELECT (max(m) + 1) // 12 - 1 AS hy FROM om) WHERE m < hy * 12 + 12"""
+FROM om JOIN (SELECT k, max(year) AS hy FROM om WHERE y IS NOT NULL GROUP BY k) USING (k)"""
 VIEWS["ft"] = """
 SELECT k, m, y, true AS train, NULL::BIGINT AS h FROM om
 UNION ALL SELECT k, e + h, NULL, false, h
@@ -83,7 +83,7 @@ VIEWS["wsc"] = """
 SELECT k, max(mae) FILTER (model = 'base') AS base_mae, max(mae) FILTER (model = 'hybrid') AS hybrid_mae,
        max(rmse) FILTER (model = 'base') AS base_rmse, max(rmse) FILTER (model = 'hybrid') AS hybrid_rmse,
        max(n) FILTER (model = 'base') AS n FROM sc GROUP BY k"""
-VIEWS["pos"] = "SELECT k, year, m, y, row_number() OVER (PARTITION BY k ORDER BY m DESC) AS back FROM om"
+VIEWS["pos"] = "SELECT k, year, m, y, max(m) OVER (PARTITION BY k) - m + 1 AS back FROM om"
 VIEWS["fold"] = """
 SELECT k, fold, m, y, back > (4 - fold) * 12 + 12 AS train
 FROM pos, (SELECT unnest(range(1, 5)) AS fold) WHERE back > (4 - fold) * 12"""

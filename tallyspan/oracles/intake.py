@@ -236,7 +236,7 @@ FROM (SELECT k, y, CASE WHEN k % 3 = 0 THEN 'young' ELSE 'all' END AS population
 SELECT k, printf('%04dQ%d', year({_DAY}), quarter({_DAY})) AS period, CASE WHEN count(y) = count(*) THEN sum(y)::BIGINT END AS y, count(*)::BIGINT AS n_rows
 FROM wk GROUP BY ALL""",
     "source_status": """
-SELECT source, CASE WHEN n_rows <= 2 THEN 'excluded' WHEN unmapped THEN 'needs_mapping' WHEN errors <> '' THEN 'invalid' ELSE 'ready' END AS status, errors
+SELECT source, CASE WHEN regexp_matches(trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')), '^(notes?|read ?me|instructions?|summary|overview|contents|cover|legend|definitions?|guide|documentation|metadata|changelog)( |$|[0-9])') THEN 'excluded' WHEN unmapped THEN 'needs_mapping' WHEN errors <> '' THEN 'invalid' ELSE 'ready' END AS status, errors
 FROM (SELECT source, n_rows, unmapped, array_to_string(list_sort(list_filter([CASE WHEN bad_year > 0 THEN 'year' END, CASE WHEN bad_month > 0 THEN 'month' END,
         CASE WHEN bad_code > 0 THEN 'code' END, CASE WHEN bad_label > 0 THEN 'label' END, CASE WHEN bad_count > 0 THEN 'count' END], lambda x: x IS NOT NULL)), ';') AS errors
       FROM conv JOIN (SELECT source, bool_or(state <> 'mapped') AS unmapped FROM reso GROUP BY source) USING (source))""",

@@ -15,10 +15,10 @@ VIEWS["cen"] = """
 SELECT k, m, d_both - avg(d_both) OVER (PARTITION BY k) AS c FROM bdd WHERE d_both IS NOT NULL"""
 VIEWS["rcen"] = "SELECT k, m, r - avg(r) OVER (PARTITION BY k) AS c FROM g_res"
 VIEWS["dec_t"] = """
-SELECT k, m, y, CASE WHEN p > 6 AND p <= n - 6 THEN
-       (avg(y) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)
-        + avg(y) OVER (PARTITION BY k ORDER BY m ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)) / 2 END AS trend
-FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m) AS p, count(*) OVER (PARTITION BY k) AS n FROM bm) WHERE n >= 24"""
+SELECT a.k, a.m, a.y, (SELECT CASE WHEN count(b.y) = 13 THEN
+       (avg(b.y) FILTER (b.m < a.m + 6) + avg(b.y) FILTER (b.m > a.m - 6)) / 2 END
+  FROM bm b WHERE b.k = a.k AND b.m BETWEEN a.m - 6 AND a.m + 6) AS trend
+FROM bm a WHERE a.k IN (SELECT k FROM bm GROUP BY k HAVING count(*) >= 24)"""
 VIEWS["dec_s"] = """
 SELECT k, ph, s - avg(s) OVER (PARTITION BY k) AS seasonal
 FROM (SELECT k, m % 12 AS ph, avg(y - trend) AS s FROM dec_t GROUP BY k, m % 12)"""

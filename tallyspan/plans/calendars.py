@@ -66,7 +66,7 @@ def forecast_calendar(spark, folder):
 
 @query("week_advance")
 def week_advance(spark, folder):
-    return coverage.advance_weeks(series.settle(series.weekly_reports(spark, folder)), 60)
+    return coverage.advance_weeks(series.settle(series.weekly_reports(spark, folder)), 300)
 
 
 @query("dense_grid")

@@ -160,16 +160,13 @@ def backtest(spark, folder):
 def fold_rows(monthly):
     """Rolling folds with the base model and the seasonal-naive benchmark, all folds of all keys in one plan."""
     folds = forecast.rolling_folds(monthly, 3, 12)
-    keyed = folds.select(F.concat_ws("#", "k", "fold").alias("k"), F.col("k").alias("series"), "fold", "m", "y", "train")
-    start = keyed.filter("train").groupBy("k").agg(F.max("m").alias("_end"))
-    framed = keyed.join(start, "k").withColumn("h", F.when(~F.col("train"), F.col("m") - F.col("_end")))
-    base = forecast.trend_season(framed).filter(F.col("h").isNotNull()).select("k", "series", "fold", "m", "h", "y", "base")
-    naive = forecast.seasonal_naive(framed).select("k", "m", "naive")
-    wide = base.join(naive, ["k", "m"], "left").withColumn("base", floor_zero(F.col("base")))
-    rows = metrics.long_paths(wide.withColumn("k", F.concat_ws("#", "series", "fold")), ["base", "naive"])
-    return rows.withColumn("fold", F.element_at(F.split("k", "#"), -1).cast("bigint")).withColumn(
-        "k", F.element_at(F.split("k", "#"), 1)
-    )
+    groups = ["k", "fold"]
+    start = folds.filter("train").groupBy(*groups).agg(F.max("m").alias("_end"))
+    framed = folds.join(start, groups).withColumn("h", F.when(~F.col("train"), F.col("m") - F.col("_end")))
+    base = forecast.trend_season(framed, groups=groups).filter(F.col("h").isNotNull()).select("k", "fold", "m", "h", "y", "base")
+    naive = forecast.seasonal_naive(framed, groups=groups).select("k", "fold", "m", "naive")
+    wide = base.join(naive, ["k", "fold", "m"], "left").withColumn("base", floor_zero(F.col("base")))
+    return metrics.long_paths(wide, ["base", "naive"], carried=("fold",))
 
 
 @query("rolling_backtest")

@@ -386,7 +386,7 @@ def source_status(spark, folder):
     mapped = intake.role_resolution(_headers(spark, folder)).groupBy("source").agg(F.bool_or(F.col("state") != "mapped").alias("unmapped"))
     report = intake.conversion_report(typed(spark, folder))
     errors = F.explode(F.array(*[F.struct(F.lit(p).alias("error"), F.col(f"bad_{p}").alias("n")) for p in ("year", "month", "code", "label", "count")]))
-    checks = report.join(mapped, "source").select("source", "unmapped", (F.col("n_rows") > 2).alias("included"), errors.alias("e")).select(
+    checks = report.join(mapped, "source").select("source", "unmapped", (~intake.is_non_data(F.col("source"))).alias("included"), errors.alias("e")).select(
         "source", "included", "unmapped", "e.error", "e.n"
     )
     return quality.source_status(checks)

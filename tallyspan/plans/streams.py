@@ -12,8 +12,8 @@ from tallyspan.streaming import intake
 
 
 def _stream(spark, folder, name, *columns):
-    schema = table(spark, folder, name).schema
-    return intake.read_stream(spark, folder, f"{name}.parquet", schema).select(*columns)
+    path = f"{folder}/{name}.parquet"
+    return intake.read_stream(spark, path, table(spark, folder, name).schema).select(*columns)
 
 
 def _events(spark, folder, *columns):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +27,18 @@ def local_session(name: str = "tallyspan", cores: str = "8", partitions: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it; a temporary one only where none is set."""
+    """The folder every executor can reach, as the session names it; else one beside the warehouse, if executors can reach that.
+
+    A local warehouse will do under a local master only.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tallyspan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local = warehouse.startswith(("file:", "/"))
+    if local and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share; the warehouse lies on one machine")
+    return f"{warehouse.rstrip('/')}/tallyspan-shared"
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -45,18 +45,17 @@ def orders_monthly(spark: SparkSession, folder: str, *extra_keys: str) -> DataFr
 
 
 def brand_monthly(spark: SparkSession, folder: str, months: tuple[int, int] | None = None) -> DataFrame:
-    """Shipped quantity per brand and month. Line items shrink to (part, month) before they meet the parts."""
+    """Shipped quantity per brand and month. Line items meet the parts first: the sum by brand then combines before its shuffle."""
     lines = within_months(table(spark, folder, "lineitem", "l_partkey", "l_shipdate", "l_quantity"), "l_shipdate", months)
     parts = table(spark, folder, "part", "p_partkey", "p_brand")
-    per_part = lines.groupBy(
-        "l_partkey",
-        F.year("l_shipdate").cast("bigint").alias("year"),
-        F.month("l_shipdate").cast("bigint").alias("month"),
-    ).agg(F.sum("l_quantity").alias("q"))
     return _with_index(
-        per_part.join(parts, per_part.l_partkey == parts.p_partkey)
-        .groupBy(F.col("p_brand").alias("k"), "year", "month")
-        .agg(F.sum("q").cast("bigint").alias("y"))
+        lines.join(parts, lines.l_partkey == parts.p_partkey)
+        .groupBy(
+            F.col("p_brand").alias("k"),
+            F.year("l_shipdate").cast("bigint").alias("year"),
+            F.month("l_shipdate").cast("bigint").alias("month"),
+        )
+        .agg(F.sum("l_quantity").cast("bigint").alias("y"))
     )
 
 
@@ -86,32 +85,25 @@ def weekly_reports(spark: SparkSession, folder: str) -> DataFrame:
     """Finished orders per nation and source week (days 1-7 of the year are week 1, and so on to week 53).
 
     A week whose orders are all still pending is blank; a week without a finished order is zero; a week without orders
-    is absent. Orders shrink to (customer, week) before they meet the customers.
+    is absent. Orders meet the customers first, so that the counts by nation combine before their shuffle.
     """
     orders = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     customers = table(spark, folder, "customer", "c_custkey", "c_nationkey")
     nations = table(spark, folder, "nation", "n_nationkey", "n_name")
-    per_customer = orders.groupBy(
-        "o_custkey",
-        F.year("o_orderdate").cast("bigint").alias("year"),
-        (F.floor((F.dayofyear("o_orderdate") - 1) / 7) + 1).cast("bigint").alias("week"),
-    ).agg(
-        F.count("*").alias("n"),
-        F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("done"),
-        F.count(F.when(F.col("o_orderstatus") == "P", 1)).alias("pending"),
-        F.min(F.to_date("o_orderdate")).alias("first_date"),
-        F.min("o_orderkey").alias("source_row"),
-    )
+    located = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     return (
-        per_customer.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .groupBy(F.col("n_name").alias("k"), "year", "week")
+        orders.join(located, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(
+            F.col("n_name").alias("k"),
+            F.year("o_orderdate").cast("bigint").alias("year"),
+            (F.floor((F.dayofyear("o_orderdate") - 1) / 7) + 1).cast("bigint").alias("week"),
+        )
         .agg(
-            F.sum("n").alias("n"),
-            F.sum("done").alias("done"),
-            F.sum("pending").alias("pending"),
-            F.min("first_date").alias("first_date"),
-            F.min("source_row").alias("source_row"),
+            F.count("*").alias("n"),
+            F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("done"),
+            F.count(F.when(F.col("o_orderstatus") == "P", 1)).alias("pending"),
+            F.min(F.to_date("o_orderdate")).alias("first_date"),
+            F.min("o_orderkey").alias("source_row"),
         )
         .select(
             "k", "year", "week",

@@ -13,9 +13,14 @@ from tallyspan.operators.ordering import positions_in_group
 from tallyspan.session import new_folder
 
 
-def read_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType) -> DataFrame:
-    """Parquet files of a folder whose names match the pattern, as they arrive."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+#: Files that one micro-batch takes; state and memory follow this and not the table.
+FILES_PER_BATCH = 64
+
+
+def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A parquet file, or the parquet files of a folder as they arrive."""
+    # A plain path must be a folder for a stream; a pattern that only this path matches may be a file as well.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, label: str, *partition_by: str) -> DataFrame:
