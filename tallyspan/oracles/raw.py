@@ -54,5 +54,5 @@ SELECT k, week::VARCHAR AS week, {', '.join(f'''max(coalesce(y::VARCHAR, '')) FI
        sum(y)::BIGINT::VARCHAR AS "Total" FROM wk GROUP BY k, week
 UNION ALL SELECT k, 'Grand Total', {', '.join(f'''sum(y) FILTER (year = {y})::BIGINT::VARCHAR''' for y in YEARS)}, sum(y)::BIGINT::VARCHAR FROM wk GROUP BY k"""
 VIEWS["mx"] = """
-SELECT k, regexp_extract(k, '([0-9]+)$', 1)::BIGINT AS num, year, month, y FROM bm
-WHERE (k, year) IN (SELECT (k, year) FROM bm GROUP BY k, year HAVING count(*) = 12)"""
+SELECT k, regexp_extract(k, '([0-9]+)$', 1)::BIGINT AS num, year, month, y
+FROM (SELECT k, year, unnest(range(1, 13)) AS month FROM (SELECT DISTINCT k, year FROM bm)) LEFT JOIN bm USING (k, year, month)"""

@@ -34,7 +34,7 @@ def stream_rollup(spark, folder):
     closed = intake.drain(intake.period_counts(_events(spark, folder, "event_type"), "ts", ["event_type"], "1 day", "1 day"), "rollup")
     batch = table(spark, folder, "events", "ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
     whole = intake.with_open_periods(closed, batch, "ts", ["event_type"], "1 day")
-    return whole.select("event_type", F.date_format("period_start", "yyyy-MM-dd").alias("day"), "n")
+    return whole.select("event_type", F.date_format("period_start", "yyyy-MM-dd").alias("day"), "n", "closed_by_stream")
 
 
 @query("stream_dedupe")

@@ -76,16 +76,17 @@ def active_dataset(spark, folder):
 
 @query("dataset_stage")
 def dataset_stage(spark, folder):
-    """A validated candidate appended under its signature with a pending event; only the good rows are stored."""
-    cells = study(spark, folder).filter(coverage.is_observed()).select("k", "m", "y", "status")
+    """A validated candidate appended under its signature with a pending event; missing cells are stored with their reason."""
+    cells = study(spark, folder).select("k", "m", "y", "status")
     mark = content_signature(cells, ["k", "m", "y", "status"])
     root = new_folder(spark, "staged")
     signed = cells.withColumn("signature", mark.select("content_signature").scalar())
     writers.append_rows(signed, f"{root}/observations", "signature")
     event = mark.select(F.col("content_signature").alias("signature"), "n_rows", F.lit("pending").alias("state"))
     writers.append_rows(event, f"{root}/events")
-    stored = spark.read.parquet(f"{root}/observations").groupBy("signature").agg(F.count("*").alias("n_stored"))
-    return spark.read.parquet(f"{root}/events").join(stored, "signature").select("n_rows", "n_stored", "state")
+    stored = spark.read.parquet(f"{root}/observations").groupBy("signature").agg(
+        F.count("*").alias("n_stored"), F.count("y").alias("n_observed"), F.count(F.when(F.col("y").isNull() & F.col("status").isNotNull(), 1)).alias("n_reasons"))
+    return spark.read.parquet(f"{root}/events").join(stored, "signature").select("n_rows", "n_stored", "n_observed", "n_reasons", "state")
 
 
 @query("state_scan")

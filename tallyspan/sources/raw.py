@@ -120,15 +120,15 @@ def wide_weeks(spark: SparkSession, folder: str, years: list[int]) -> DataFrame:
 def month_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Yearly report pages per brand pair: a year marker row, then one row whose cells hold two lines each.
 
-    Every twelve-month year of two neighbouring brands becomes a label cell, twelve month cells and a total cell. The
+    Every year of two neighbouring brands becomes a label cell, twelve month cells, blank where nothing was shipped, and a total cell. The
     printed total is one too high where the year and the first brand number add up to a multiple of five.
     """
     from tallyspan.sources.series import brand_monthly
 
     cells = brand_monthly(spark, folder).withColumn("num", F.regexp_extract("k", r"(\d+)$", 1).cast("bigint"))
     lines = cells.groupBy("k", "num", "year").agg(
-        *[F.max(F.when(F.col("month") == i, F.col("y"))).alias(f"c{i}") for i in range(1, 13)], F.count("*").alias("n"), F.sum("y").alias("total")
-    ).filter("n = 12").withColumn("page", F.floor(F.col("num") / 2).cast("bigint"))
+        *[F.max(F.when(F.col("month") == i, F.col("y"))).alias(f"c{i}") for i in range(1, 13)], F.sum("y").alias("total")
+    ).withColumn("page", F.floor(F.col("num") / 2).cast("bigint"))
     wrong = F.when((F.col("year") + F.col("num")) % 5 == 0, 1).otherwise(0)
     label = F.concat(F.col("k"), F.lit(" (A00-A09)"))
 
@@ -137,7 +137,7 @@ def month_matrix(spark: SparkSession, folder: str) -> DataFrame:
         return F.array_join(F.transform(ordered, lambda s: s["v"]), "\n")
 
     data = lines.groupBy("page", "year").agg(
-        stack(label).alias("label"), *[stack(F.format_number(f"c{i}", 0)).alias(f"c{i}") for i in range(1, 13)],
+        stack(label).alias("label"), *[stack(F.coalesce(F.format_number(f"c{i}", 0), F.lit(""))).alias(f"c{i}") for i in range(1, 13)],
         stack((F.col("total") + wrong).cast("string")).alias("total"),
     )
     names = ["label", *[f"c{i}" for i in range(1, 13)], "total"]

@@ -50,14 +50,17 @@ def period_counts(events: DataFrame, time: str, keys: list[str], period: str, la
 
 
 def with_open_periods(closed: DataFrame, events: DataFrame, time: str, keys: list[str], period: str) -> DataFrame:
-    """Closed periods from the stream, and the periods still open counted from the source rows after the last closed one."""
+    """Closed periods from the stream, and the periods still open counted from the source rows after the last closed one.
+
+    `closed_by_stream` says which is which, so a stream that yields nothing shows.
+    """
     limit = closed.agg(F.max("period_end")).scalar()
     window = F.window(time, period)
     late = events.filter((F.col(time) >= limit) | limit.isNull())
     still_open = late.groupBy(window, *keys).agg(F.count("*").alias("n")).select(
         *keys, F.col("window.start").alias("period_start"), F.col("window.end").alias("period_end"), "n"
     )
-    return closed.unionByName(still_open)
+    return closed.withColumn("closed_by_stream", F.lit(True)).unionByName(still_open.withColumn("closed_by_stream", F.lit(False)))
 
 
 def deduplicated(events: DataFrame, time: str, keys: list[str], lateness: str) -> DataFrame:
