@@ -21,6 +21,16 @@ def month_label(m: Column) -> Column:
     return F.format_string("%04d-%02d", index_year(m), index_month(m))
 
 
+def month_name(m: Column) -> Column:
+    return F.date_format(month_start(m), "MMMM")
+
+
+def display_time(utc: Column, hours: int = 8, zone: str = "PHT") -> Column:
+    """A UTC time as readers at a fixed offset see it."""
+    shifted = F.date_format(utc + F.make_dt_interval(hours=F.lit(hours)), "dd MMM yyyy, hh:mm a")
+    return F.coalesce(F.concat(shifted, F.lit(f" {zone}")), F.lit("Not available"))
+
+
 def month_start(m: Column) -> Column:
     return F.make_date(index_year(m).cast("int"), index_month(m).cast("int"), F.lit(1))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyspan.functions.numeric import is_finite
+
 
 def history_forecast(history: DataFrame, forecast: DataFrame) -> DataFrame:
     """Observed and projected rows in one table, each row saying which it is."""
@@ -25,6 +27,17 @@ def report_document(history: DataFrame, annual: DataFrame, forecast: DataFrame)
     return months.join(years, "k", "left").join(ahead, "k", "left").select("k", body.alias("document"))
 
 
+def emit_json(value: Column) -> Column:
+    """A struct of a number field `value` and others as JSON; null, that is refused, where the number is not finite."""
+    return F.when(is_finite(value["value"]), F.to_json(value))
+
+
+def parse_json(text: Column, schema: str) -> Column:
+    """The struct that a JSON text holds; null where it is no such text or its number is not finite."""
+    parsed = F.from_json(text, schema)
+    return F.when(is_finite(parsed["value"]), parsed)
+
+
 def snapshot_reconcile(snapshot: DataFrame, observed: DataFrame, complete: Column) -> DataFrame:
     """A stored forecast against later observations, one row per model, scored only where reporting is complete."""
     joined = snapshot.join(observed.withColumn("complete", complete), ["k", "m"])

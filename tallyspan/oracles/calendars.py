@@ -27,6 +27,9 @@ SELECT k, year, week, printf('%04d-W%02d', year, week) AS period_week, strftime(
     "forecast_calendar": """
 SELECT k, h, e + h AS m, printf('%04d-%02d', (e + h) // 12, (e + h) % 12 + 1) AS month_label
 FROM (SELECT DISTINCT k FROM om), (SELECT max(m) AS e FROM om), (SELECT unnest(range(1, 13)) AS h)""",
+    "month_names": "SELECT k, m, monthname(make_date((m // 12)::INT, (m % 12 + 1)::INT, 1)) AS month_name FROM om",
+    "display_times": """
+SELECT event_id, CASE WHEN user_id > 1 THEN strftime(ts + INTERVAL 8 HOUR, '%d %b %Y, %I:%M %p PHT') ELSE 'Not available' END AS shown FROM events""",
     "week_advance": f"""
 SELECT k, h, year, week,
        CASE WHEN year IS NOT NULL THEN printf('%04d-W%02d', year, week) ELSE '+' || h END AS label

@@ -96,6 +96,10 @@ SQL = {
 SELECT scope, id, count(*)::BIGINT AS n_rows, count(DISTINCT l_linenumber)::BIGINT AS n_lines, sum(l_quantity) AS quantity
 FROM vstate JOIN lineitem ON l_orderkey = id WHERE state = 'active' GROUP BY scope, id""",
     "dataset_stage": "SELECT count(*)::BIGINT AS n_rows, count(*)::BIGINT AS n_stored, count(y)::BIGINT AS n_observed, count(*) FILTER (y IS NULL)::BIGINT AS n_reasons, 'pending' AS state FROM study",
+    "json_round_trip": """
+SELECT event_id, event_id % 10 <> 0 AS stored, CASE WHEN event_id % 10 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 10 <> 0 THEN value END AS value
+FROM events WHERE value IS NOT NULL
+UNION ALL SELECT event_id, false, NULL, NULL FROM events WHERE value IS NULL""",
     "state_scan": "SELECT run_id, signature, block, status, created_at FROM runs WHERE block = 'error' AND status = 'completed'",
     "snapshot_write": "SELECT count(*)::BIGINT AS n_rows, true AS second_write_refused FROM f_out",
     "audit_append": "SELECT action, count(*)::BIGINT AS n FROM vev GROUP BY action",

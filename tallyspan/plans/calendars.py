@@ -64,6 +64,18 @@ def forecast_calendar(spark, folder):
     )
 
 
+@query("month_names")
+def month_names(spark, folder):
+    return series.orders_monthly(spark, folder).select("k", "m", cal.month_name(F.col("m")).alias("month_name"))
+
+
+@query("display_times")
+def display_times(spark, folder):
+    """Event times for readers at +8 hours; events of the first user come without a time."""
+    events = table(spark, folder, "events", "event_id", "user_id", "ts")
+    return events.select("event_id", cal.display_time(F.when(F.col("user_id") > 1, F.col("ts"))).alias("shown"))
+
+
 @query("week_advance")
 def week_advance(spark, folder):
     return coverage.advance_weeks(series.settle(series.weekly_reports(spark, folder)), 300)

@@ -89,6 +89,16 @@ def dataset_stage(spark, folder):
     return spark.read.parquet(f"{root}/events").join(stored, "signature").select("n_rows", "n_stored", "n_observed", "n_reasons", "state")
 
 
+@query("json_round_trip")
+def json_round_trip(spark, folder):
+    """Values stored as JSON and read again; every tenth is not a number and must be refused."""
+    events = table(spark, folder, "events", "event_id", "user_id", "value")
+    value = F.when(F.col("event_id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    stored = events.select("event_id", exports.emit_json(F.struct("user_id", value.alias("value"))).alias("payload"))
+    parsed = exports.parse_json(F.col("payload"), "user_id bigint, value double")
+    return stored.select("event_id", F.col("payload").isNotNull().alias("stored"), parsed["user_id"].alias("user_id"), parsed["value"].alias("value"))
+
+
 @query("state_scan")
 def state_scan(spark, folder):
     """Run rows written by block and scanned again for one block and status."""
