@@ -11,6 +11,7 @@ TRAINING_TEXTS pages' texts at most, TRAINING_PAGES layouts. Everything else cov
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,10 +32,10 @@ HIDDEN_TAGS = frozenset("head iframe noscript object script style svg template t
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that end an open paragraph or item of their kind.
 CLOSES = {t: ("p",) for t in BLOCK_TAGS} | {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "option": ("option",)}
-PATH_SLOTS, WORD_SLOTS, COUNTS = 64, 32, 8
+PATH_SLOTS, WORD_SLOTS, COUNTS = 192, 32, 8
 WIDTH = PATH_SLOTS + WORD_SLOTS + COUNTS
 HIDDEN = 24
-TRAINING_TEXTS, TRAINING_PAGES = 200, 600
+TRAINING_TEXTS, TRAINING_PAGES = 200, 800
 #: Pages that the labeller reads side by side, and blocks that it has in memory at once.
 SIDE_BY_SIDE, BLOCKS_AT_ONCE = 256, 30_000
 
@@ -129,15 +130,17 @@ _PATHS: dict[tuple[str, ...], np.ndarray] = {}
 
 
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed steps of a tag path with their signs; the last three weigh most. Paths repeat, so a task remembers them."""
+    """Hashed steps of a tag path with their signs, the last three at most weight, and the steps' first letters, for names are made of
+    others. Paths repeat, so a task remembers them."""
     found = _PATHS.get(path)
     if found is None:
         if len(_PATHS) > 20_000:
             _PATHS.clear()
         found = np.zeros(PATH_SLOTS, np.float32)
         for depth, step in enumerate(reversed(path)):
-            h = zlib.crc32(step.encode())
-            found[h % PATH_SLOTS] += (1.0 if h >> 16 & 1 else -1.0) * (1.0 if depth < 3 else 0.5)
+            for part, weight in ((step, 1.0), ("~" + step[:3], 0.6)):
+                h = zlib.crc32(part.encode())
+                found[h % PATH_SLOTS] += (1.0 if h >> 16 & 1 else -1.0) * (weight if depth < 3 else weight / 2)
         _PATHS[path] = found
     return found
 
@@ -234,7 +237,7 @@ class Labeller:
             out[side + "h"], out[side + "b"] = wh, dz_all.sum((0, 1))
         return out
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 11) -> None:
+    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 11) -> None:
         """Adam over padded batches of pages (vectors, labels)."""
         random = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -271,7 +274,7 @@ NAMES = {
     "header": ("header", "masthead", "top", "brand", "banner", "site", "branding"),
     "menu": ("nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "links", "tabs"),
     "notice": ("notice", "cookie", "cookies", "consent", "alert", "message", "newsletter", "subscribe", "popup", "gdpr", "warning"),
-    "advert": ("ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "promotion"),
+    "advert": ("ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "promotion", "banner", "adsense"),
     "side": ("sidebar", "side", "related", "widget", "aside", "recommended", "popular", "trending", "tags", "share", "social"),
     "form": ("form", "search", "login", "signup", "contact"),
     "comments": ("comments", "comment", "replies", "reply", "discussion", "responses", "disqus", "reader"),
@@ -343,9 +346,9 @@ class _Layouts:
                 out.append(f"<blockquote>{_MAIN}{self.words(8, 40)}</blockquote>")
             elif kind < 0.26:
                 out.append("<table>" + "".join(f"<tr><td>{_MAIN}{self.words(1, 3)}</td><td>{_MAIN}{self.words(1, 6)}</td></tr>" for _ in range(3)) + "</table>")
-            elif kind < 0.36:
-                out.append(self.part(self.pick(("advert", "side", "notice"))))
-            elif kind < 0.41:
+            elif kind < 0.46:
+                out.append(self.part(self.pick(("advert", "advert", "side", "notice", "form", "menu"))))
+            elif kind < 0.51:
                 out.append(f"<div>{_MAIN}{self.words(10, 60)}</div>")
         return self.wrap("main", "".join(out), "article", "article", "main", "div", "section")
 
@@ -395,8 +398,12 @@ def training_pages(texts: list[str], n: int, seed: int = 5) -> list[tuple[np.nda
 
 def train(pages: DataFrame, seed: int = 5) -> Labeller | None:
     """A labeller trained with the texts of at most TRAINING_TEXTS pages, chosen by the hash of their number; None if there are none."""
-    chosen = pages.filter("html is not null").select(F.xxhash64("page_id").alias("place"), F.substring("html", 1, 20_000).alias("html"))
-    texts = [b.text for row in chosen.orderBy("place", "html").limit(TRAINING_TEXTS).collect() for b in blocks(row["html"]) if len(b.text.split()) > 3]
+    place = F.xxhash64("page_id", "url")
+    # Few rows pass this bound whatever the table's size, so tasks send little to the driver; the first of them are taken.
+    share = min(1.0, 5 * TRAINING_TEXTS / max(1, pages.count()))
+    few = pages.filter(F.col("html").isNotNull() & (F.pmod(place, F.lit(1_000_000)) < math.ceil(share * 1_000_000)))
+    chosen = few.select(place.alias("place"), F.substring("html", 1, 20_000).alias("html")).orderBy("place", "html").limit(TRAINING_TEXTS)
+    texts = [b.text for row in chosen.collect() for b in blocks(row["html"]) if len(b.text.split()) > 3]
     if not texts:
         return None
     labeller = Labeller()
