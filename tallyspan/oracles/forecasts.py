@@ -1,6 +1,7 @@
 """Check SQL of the forecasting, metric and ranking families."""
 
 from tallyspan.config import MODEL
+from tallyspan.oracles import calendars  # noqa: F401  its views come before these
 from tallyspan.oracles.base import VIEWS, r6
 
 VIEWS["bt"] = """
@@ -65,6 +66,11 @@ FROM {p}_st"""
 
 forecast_views("b", "bt")
 forecast_views("f", "ft")
+VIEWS["fq"] = """
+SELECT k, m, y, true AS train, NULL::BIGINT AS h FROM oms WHERE k IN (SELECT k FROM gate60 WHERE reason = 'ok')
+UNION ALL SELECT k, e + h, NULL, false, h
+FROM (SELECT k FROM gate60 WHERE reason = 'ok'), (SELECT max(m) AS e FROM oms WHERE k IN (SELECT k FROM gate60 WHERE reason = 'ok')), (SELECT unnest(range(1, 13)) AS h)"""
+forecast_views("q", "fq")
 forecast_views("u", "uf")
 forecast_views("u7", "uf", 7)
 
@@ -175,8 +181,10 @@ SELECT k, model, fold, count(actual)::BIGINT AS n, {r6(_MAE)} AS mae, {r6(_RMSE)
 SELECT k, model, count(actual)::BIGINT AS n, {r6(_MAE)} AS mae, {r6(_RMSE)} AS rmse, {r6(_MAPE)} AS mape, {r6(_WAPE)} AS wape
 FROM frows GROUP BY k, model""",
     "forecast_batch": f"""
-SELECT k, any_value(status) AS status, count(hybrid)::BIGINT AS n_values, any_value(n_train) AS n_train,
-       {r6('sum(hybrid)')} AS projected_total, 'batch-{MODEL.signature[:16]}' AS group_id FROM f_out GROUP BY k""",
+SELECT g.k, coalesce(status, 'excluded') AS status, CASE WHEN reason <> 'ok' THEN reason END AS reason, coalesce(n_values, 0)::BIGINT AS n_values, n_train,
+       projected_total, 'batch-{MODEL.signature[:16]}' AS group_id
+FROM gate60 g LEFT JOIN (SELECT k, any_value(status) AS status, count(hybrid) AS n_values, any_value(n_train) AS n_train, {r6('sum(hybrid)')} AS projected_total
+                         FROM q_out GROUP BY k) USING (k)""",
     "run_status": "SELECT k, any_value(status) AS status, any_value(n_train) AS n_train, any_value(n_residual_rows) AS n_residual_rows FROM u_out GROUP BY k",
     "short_span_flag": "SELECT k, min(m) AS first_m, max(m) AS last_m, max(m) < min(m) + 84 AS short_span FROM oms GROUP BY k",
     "abstain_choice": f"""

@@ -12,6 +12,8 @@ from tallyspan.sources import series
 from tallyspan.sources.tables import table
 
 HORIZONS = [3, 6, 12]
+#: Periods a series needs, without a hole, to be forecast in a batch.
+BATCH_HISTORY = 60
 
 
 def rounded(df, *columns):
@@ -188,14 +190,19 @@ def pooled_fold_metrics(spark, folder):
 
 @query("forecast_batch")
 def forecast_batch(spark, folder):
-    """All ready series in one plan; each carries its own outcome and the others go on."""
-    monthly = series.settle(series.orders_monthly(spark, folder))
-    paths = future_paths(monthly)
-    group = F.lit("batch-" + MODEL.signature[:16])
-    return rounded(paths.groupBy("k").agg(
+    """Ready series forecast in one plan, each with its own outcome; the others are listed as excluded, with the reason."""
+    monthly = series.settle(series.orders_monthly(spark, folder, "o_orderstatus"))
+    gate = series.settle(coverage.coverage_gate(monthly, BATCH_HISTORY).select("k", "reason"))
+    ready = series.settle(monthly.join(gate.filter("reason = 'ok'"), "k", "left_semi"))
+    outcome = future_paths(ready).groupBy("k").agg(
         F.first("status").alias("status"), F.count("hybrid").alias("n_values"), F.first("n_train").alias("n_train"),
         F.sum("hybrid").alias("projected_total"),
-    ).withColumn("group_id", group), "projected_total")
+    )
+    batch = gate.join(outcome, "k", "left").select(
+        "k", F.coalesce("status", F.lit("excluded")).alias("status"), F.when(F.col("reason") != "ok", F.col("reason")).alias("reason"),
+        F.coalesce("n_values", F.lit(0)).alias("n_values"), "n_train", "projected_total",
+    )
+    return rounded(batch.withColumn("group_id", F.lit("batch-" + MODEL.signature[:16])), "projected_total")
 
 
 @query("run_status")
