@@ -35,7 +35,7 @@ CLOSES = {t: ("p",) for t in BLOCK_TAGS} | {"li": ("p", "li"), "dt": ("p", "dt",
 PATH_SLOTS, WORD_SLOTS, COUNTS = 192, 32, 8
 WIDTH = PATH_SLOTS + WORD_SLOTS + COUNTS
 HIDDEN = 24
-TRAINING_TEXTS, TRAINING_PAGES = 200, 800
+TRAINING_TEXTS, TRAINING_PAGES = 200, 1_200
 #: Pages that the labeller reads side by side, and blocks that it has in memory at once.
 SIDE_BY_SIDE, BLOCKS_AT_ONCE = 256, 30_000
 
@@ -244,8 +244,9 @@ class Labeller:
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         step = 0
         for turn in range(rounds):
-            order = random.permutation(len(pages))
-            for i in range(0, len(order), batch):
+            # Pages of like length stand together, so that little of a batch is padding; the batches come in any order.
+            order = np.argsort([len(v) for v, _ in pages] + random.uniform(0, 6, len(pages)))
+            for i in random.permutation(range(0, len(order), batch)):
                 chosen = [pages[j] for j in order[i:i + batch]]
                 x, mask = padded([v for v, _ in chosen])
                 y = np.zeros(mask.shape, np.float32)
@@ -303,8 +304,8 @@ class _Layouts:
         return entities.escape(" ".join(own[start:start + int(self.random.integers(least, most + 1))]))
 
     def name(self, part: str) -> str:
-        found = {self.pick(NAMES[part]) for _ in range(int(self.random.integers(1, 3)))}
-        if self.chance(0.4):
+        found = {self.pick(NAMES[part]) for _ in range(1 if self.chance(0.6) else 2)}
+        if self.chance(0.3):
             found.add(self.pick(("box", "wrap", "inner", "block", "container", "col", "row", "item", "list")))
         return f' {self.pick(("class", "class", "id"))}="{self.pick(("-", " ")).join(sorted(found))}"'
 
@@ -333,6 +334,8 @@ class _Layouts:
     def article(self) -> str:
         heading = f"<h1>{_MAIN}{self.words(2, 12)}</h1>"
         out = [f"<header>{heading}</header>" if self.chance(0.15) else heading] if self.chance(0.85) else []
+        if self.chance(0.1):
+            return self.wrap("main", "".join(out) + self.prose(1, True), "article", "main", "div", "section")
         for _ in range(int(self.random.integers(1, 5))):
             if self.chance(0.3):
                 out.append(f"<h2>{_MAIN}{self.words(2, 8)}</h2>")
@@ -362,16 +365,18 @@ class _Layouts:
         if kind == "advert":
             return self.wrap(kind, self.words(2, 30) if self.chance(0.6) else f'<p><a href="/ad">{self.words(3, 20)}</a></p>', "div", "div", "aside", "section")
         if kind == "side":
-            return self.wrap(kind, f"<h3>{self.words(1, 4)}</h3>" + (self.links(5) if self.chance(0.6) else self.prose(2, False)), "aside", "aside", "div")
+            heading = f"<h3>{self.words(1, 4)}</h3>" if self.chance(0.6) else ""
+            return self.wrap(kind, heading + (self.links(5) if self.chance(0.5) else self.prose(int(self.random.integers(1, 5)), False)), "aside", "div", "div")
         if kind == "form":
             fields = "".join(f"<label>{self.words(1, 4)}</label><input name=x>" for _ in range(3))
             return f"<form{self.name(kind) if self.chance(0.5) else ''}>{f'<p>{self.words(4, 25)}</p>' if self.chance(0.5) else ''}{fields}<select><option>{self.words(1, 2)}</option><option>{self.words(1, 2)}</option></select><button>{self.words(1, 2)}</button></form>"
         if kind == "comments":
             one = lambda: f"<{'li' if listed else 'div'}{self.name(kind) if self.chance(0.6) else ''}><b>{self.words(1, 2)}</b>{self.prose(int(self.random.integers(1, 3)), False)}</{'li' if listed else 'div'}>"
             listed = self.chance(0.4)
-            inside = "".join(one() for _ in range(int(self.random.integers(1, 6))))
-            return self.wrap(kind, f"<h3>{self.words(1, 3)}</h3>" + (f"<ul>{inside}</ul>" if listed else inside), "section", "div", "div")
-        return self.wrap(kind, self.pick((f"&copy; {self.words(1, 4)} &middot; {self.words(4, 20)}", f"<p>{self.words(5, 30)}</p>" + self.links(4))), "footer", "footer", "div")
+            inside = "".join(one() for _ in range(int(self.random.integers(1, 6)))) if self.chance(0.7) else self.prose(int(self.random.integers(1, 7)), False)
+            heading = f"<h3>{self.words(1, 3)}</h3>" if self.chance(0.7) else ""
+            return self.wrap(kind, heading + (f"<ul>{inside}</ul>" if listed else inside), "section", "div", "div")
+        return self.wrap(kind, self.pick((f"&copy; {self.words(1, 4)} &middot; {self.words(4, 20)}", f"<p>&copy; {self.words(1, 6)}</p>", f"<p>{self.words(5, 30)}</p>" + self.links(4))), "footer", "footer", "div")
 
     def page(self) -> str:
         some = lambda *kinds: [self.part(k) for k in kinds if self.chance(0.45)]
