@@ -47,7 +47,7 @@ def tree_corrections(model: GBTRegressionModel, fitted: DataFrame, end: int, set
     """Recursive corrections of all series: every step appends one prediction to each series' own history.
 
     A series that ends early is first carried to the end of the table by predictions, as many as it needs. The steps are
-    narrow, one row per series; a written table cuts the plan now and then.
+    narrow, one row per series; a written table cuts the plan now and then, and series that need no more steps are set aside there.
     """
     known = fitted.filter(F.col("residual").isNotNull())
     last = known.groupBy("k").agg(F.max("m").alias("last_m"))
@@ -59,6 +59,7 @@ def tree_corrections(model: GBTRegressionModel, fitted: DataFrame, end: int, set
     )
     first = last.agg(F.min("last_m")).first()[0]
     steps = end + settings.horizon - first
+    done: list[DataFrame] = []
     for step in range(1, steps + 1):
         lagged = state.select("k", "last_m", "history", *[
             F.element_at("history", -i).alias(f"lag{i}") for i in range(1, settings.lags + 1)
@@ -70,6 +71,11 @@ def tree_corrections(model: GBTRegressionModel, fitted: DataFrame, end: int, set
         )
         if step % SETTLE_EVERY == 0 and step < steps:
             state = settle(state, "recursion")
+            ended = F.col("last_m") + step >= end + settings.horizon
+            done.append(state.filter(ended))
+            state = state.filter(~ended)
+    for part in done:
+        state = state.unionByName(part)
     return state.select("k", "last_m", F.posexplode(F.slice("history", F.lit(settings.lags + 1), F.size("history"))).alias("pos", "correction")).select(
         "k", (F.col("last_m") + 1 + F.col("pos")).alias("m"), "correction"
     ).filter(F.col("m") > end).withColumn("h", F.col("m") - end)

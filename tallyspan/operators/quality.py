@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspan.functions.text import fold_key, number_or_null, squeeze_spaces, strict_integer
+from tallyspan.session import settle
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,7 +34,8 @@ def description_conflicts(df: DataFrame, code: str, description: str) -> DataFra
 def label_first_spelling(df: DataFrame, label: str, row_id: str) -> DataFrame:
     """Every row with the spelling its label had first, and whether the label is usable at all."""
     cleaned = df.withColumn("_label", squeeze_spaces(F.col(label))).withColumn("_key", F.lower("_label"))
-    first = cleaned.groupBy("_key").agg(F.min_by("_label", row_id).alias("canonical"))
+    # Settled, so that its size is known and a small table of labels is broadcast instead of shuffling all rows on few labels.
+    first = settle(cleaned.groupBy("_key").agg(F.min_by("_label", row_id).alias("canonical")), "labels")
     usable = F.col("_label").isNotNull() & F.length("_label").between(1, 200)
     return cleaned.join(first, "_key", "left").withColumn("label_ok", F.coalesce(usable, F.lit(False))).drop("_label", "_key")
 

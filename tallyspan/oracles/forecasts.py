@@ -180,6 +180,8 @@ SELECT k, model, fold, count(actual)::BIGINT AS n, {r6(_MAE)} AS mae, {r6(_RMSE)
     "pooled_fold_metrics": f"""
 SELECT k, model, count(actual)::BIGINT AS n, {r6(_MAE)} AS mae, {r6(_RMSE)} AS rmse, {r6(_MAPE)} AS mape, {r6(_WAPE)} AS wape
 FROM frows GROUP BY k, model""",
+    "residual_gbt": f"""
+SELECT k, m, h, {r6('base')} AS base, true AS finite, true AS bounded FROM f_fit WHERE h IS NOT NULL AND k IN (SELECT k FROM f_res)""",
     "forecast_batch": f"""
 SELECT g.k, coalesce(status, 'excluded') AS status, CASE WHEN reason <> 'ok' THEN reason END AS reason, coalesce(n_values, 0)::BIGINT AS n_values, n_train,
        projected_total, 'batch-{MODEL.signature[:16]}' AS group_id

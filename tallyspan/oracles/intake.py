@@ -122,7 +122,10 @@ FROM (SELECT source, bool_or(role = 'morbidity_week' AND state = 'mapped') AS w,
       FROM reso GROUP BY source) JOIN (SELECT source, count({year_header('header')}) AS ny FROM hcell GROUP BY source) USING (source)""",
     "year_headers": f"SELECT source, row_pos, col_pos, {year_header('value')} AS year FROM cell WHERE {year_header('value')} IS NOT NULL",
     "repeated_header_drop": """
-SELECT c.* FROM cell c WHERE row_pos > 3""",
+SELECT c.* FROM cell c JOIN head h ON h.source = c.source
+JOIN cell f ON f.source = c.source AND f.row_pos = h.header_row AND f.col_pos = 0
+JOIN cell l ON l.source = c.source AND l.row_pos = c.row_pos AND l.col_pos = 0
+WHERE c.row_pos > h.header_row AND lower(trim(l.value)) <> lower(trim(f.value))""",
     "source_name_class": r"""
 SELECT name, nd AS non_data, NOT nd AS default_included,
        CASE WHEN NOT nd AND NOT regexp_full_match(trim(name), '(sheet\s*[0-9]*|data|records|weekly data|surveillance|table\s*[0-9]*)', 'i') THEN name END AS label_hint,

@@ -99,9 +99,9 @@ def year_headers(spark, folder):
 @query("repeated_header_drop")
 def repeated_header_drop(spark, folder):
     cells = raw.sheet_cells(spark, folder)
-    repeated = cells.filter("row_pos = 3").withColumn("row_pos", F.lit(1_000_000_000_000).cast("bigint"))
-    paged = cells.unionByName(repeated)
-    headers = cells.select("source").distinct().withColumn("header_row", F.lit(3).cast("bigint"))
+    headers = intake.header_rows(cells).select("source", "header_row")
+    repeated = cells.join(headers, "source").filter("row_pos = header_row").drop("header_row")
+    paged = cells.unionByName(repeated.withColumn("row_pos", F.lit(1_000_000_000_000).cast("bigint")))
     return intake.drop_repeated_headers(paged, headers)
 
 

@@ -1,11 +1,11 @@
-"""Queries on fitted models. They have no SQL form; the tests check them on small fixtures."""
+"""Queries on fitted models. The tests check what has no SQL form on small fixtures."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tallyspan.config import MODEL
-from tallyspan.functions.numeric import combine, floor_zero
+from tallyspan.functions.numeric import combine, floor_zero, is_finite, r6
 from tallyspan.operators import forecast, learned, metrics
 from tallyspan.plans.registry import query
 from tallyspan.sources import series
@@ -13,7 +13,10 @@ from tallyspan.sources import series
 
 @query("residual_gbt")
 def residual_gbt(spark, folder):
-    """Boosted-tree corrections over the horizon, combined with the base as the linear ones are."""
+    """Boosted-tree corrections over the horizon, combined with the base as the linear ones are.
+
+    Returned is what holds whatever the trees say: the keys, the base, that every value is finite, and that no correction passes its bound.
+    """
     monthly = series.settle(series.orders_monthly(spark, folder))
     frame = forecast.future_frame(monthly, MODEL.horizon)
     end = monthly.agg(F.max("m")).first()[0]
@@ -21,7 +24,9 @@ def residual_gbt(spark, folder):
     corrections = learned.tree_corrections(model, fitted, end)
     base = fitted.filter(F.col("h").isNotNull()).select("k", "m", "base")
     hybrid = combine(F.col("base"), F.col("correction"), MODEL.correction_clip, MODEL.correction_weight)
-    return corrections.join(base, ["k", "m"]).select("k", "m", "h", "base", "correction", hybrid.alias("hybrid"))
+    paths = corrections.join(base, ["k", "m"]).select("k", "m", "h", "base", "correction", hybrid.alias("hybrid"))
+    moved = F.abs(F.col("hybrid") - floor_zero(F.col("base"))) <= MODEL.correction_clip * MODEL.correction_weight + 1e-9
+    return paths.select("k", "m", "h", r6(F.col("base")).alias("base"), (is_finite(F.col("correction")) & is_finite(F.col("hybrid"))).alias("finite"), moved.alias("bounded"))
 
 
 @query("base_fourier")
