@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, keep:
     roots = components(links(nodes, distance, keep))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = settle(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Settled, so that the join deals both sides out anew and adaptive execution can split a component of very many fingerprints.
+    least = settle(placed.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = placed.join(least, "root").select("fp", "root", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
