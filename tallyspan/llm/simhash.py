@@ -54,9 +54,11 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprint_column(text: Column, shingle: int) -> Column:
-    @F.pandas_udf("bigint")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+    """struct(fp, words): fingerprint and number of words of a text."""
+
+    @F.pandas_udf("fp bigint, words bigint")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(fingerprint(t, shingle), len(byte_words(t))) for t in texts], columns=["fp", "words"], dtype="int64")
 
     return of(text)
 
@@ -172,17 +174,20 @@ def links(fingerprints: DataFrame, distance: int = 4, keep: int = 3) -> DataFram
     return sorted_cells.mapInArrow(_links(distance), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, keep: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, keep: int = 3, least_words: int = 0) -> DataFrame:
     """Each document's fingerprint and component: rows (doc_id, fp, root, component_id), one for every row of `docs`.
 
     `component_id` is the smallest doc_id among documents reached through links, `root` the component's smallest fingerprint.
     Equal fingerprints are one node, so copies are never paired. Null and empty texts have fingerprint zero and link like any
     other; texts shorter than a shingle count as one shingle. Repeated rows stay repeated. Rows without doc_id get the component
     of their fingerprint, null if no member has an id. Other columns are ignored. An empty table gives an empty table.
+    Texts of fewer than `least_words` words link to texts of equal fingerprint only: few shingles leave few bits set, and texts that
+    share nothing come close by chance.
     """
-    marked = settle(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "fingerprints")
-    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, distance, keep))
+    marked = docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("__found"))
+    marked = settle(marked.select("doc_id", "__found.fp", "__found.words"), "fingerprints")
+    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("words").alias("words")), "nodes")
+    roots = components(links(nodes.filter(F.col("words") >= least_words), distance, keep))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = settle(placed, "placed")
     # Settled, so that the join deals both sides out anew and adaptive execution can split a component of very many fingerprints.
@@ -191,14 +196,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, keep:
     return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 6, keep: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 6, keep: int = 3, least_words: int = 28) -> DataFrame:
     """The rows of `docs` without near-copies: of each component the document with the smallest doc_id stays.
 
     Of rows with the same doc_id that one stays whose text sorts first. A component without any doc_id keeps the row whose text
-    sorts first; elsewhere rows without doc_id go. All columns are kept, whatever their names.
+    sorts first; elsewhere rows without doc_id go. All columns are kept, whatever their names. Texts of fewer than `least_words` words count as
+    copies when their words are the same: one changed word already puts them below a similarity of 0.8.
     """
     columns = docs.columns
-    groups = settle(near_duplicates(docs, shingle, distance, keep), "groups")
+    groups = settle(near_duplicates(docs, shingle, distance, keep, least_words), "groups")
     chosen = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*columns)
     repeated = settle(chosen.filter("n > 1").select("doc_id"), "repeated")
@@ -210,7 +216,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 6, keep: int = 3
     unnamed = groups.filter("doc_id is null and component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
     unnamed = settle(unnamed, "unnamed")
     if not unnamed.isEmpty():
-        rows = docs.filter("doc_id is null").withColumn("__fp", fingerprint_column(F.col("text"), shingle)).join(unnamed, "__fp")
+        rows = docs.filter("doc_id is null").withColumn("__fp", fingerprint_column(F.col("text"), shingle)["fp"]).join(unnamed, "__fp")
         first = Window.partitionBy("__root").orderBy("text", *[c for c in columns if c != "text"])
         kept = kept.unionByName(rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*columns))
     return kept

@@ -103,13 +103,18 @@ def test_links_join_what_all_pairs_join(spark, distance, monkeypatch):
 
 def test_keep_one_leaves_one_row_of_each_group(spark, corpus):
     docs = documents(spark, corpus)
-    kept = simhash.keep_one(docs, shingle=4, distance=4)
+    kept = simhash.keep_one(docs, shingle=4, distance=4, least_words=0)
     assert kept.columns == docs.columns
     ids = sorted(str(r["doc_id"]) for r in kept.collect())
     groups = {(r["root"]): r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert ids == sorted(str(c) for c in groups.values())
 
 
+def test_short_texts_are_copies_only_when_equal(spark):
+    rows = [(i, " ".join(f"w{i}{j}" for j in range(6)), "en", "s") for i in range(400)] + [(1000, "w00 w01 w02 w03 w04 w05", "en", "s"), (1001, "W00 w01\n w02 w03 w04 w05", "en", "s")]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect()) == list(range(400))
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7), (300, 300), (50, 49)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
