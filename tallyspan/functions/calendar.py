@@ -17,6 +17,11 @@ def index_month(m: Column) -> Column:
     return (m % 12 + 1).cast("bigint")
 
 
+def declared_year(year: Column, years: list[int]) -> Column:
+    """The year, or an error where it is not one of those that a table with one column per year has room for."""
+    return F.when(year.isin(years), year).otherwise(F.raise_error(F.concat(F.lit("year outside the declared ones: "), F.coalesce(year.cast("string"), F.lit("none")))).cast("bigint"))
+
+
 def month_label(m: Column) -> Column:
     return F.format_string("%04d-%02d", index_year(m), index_month(m))
 

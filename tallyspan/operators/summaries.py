@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyspan.functions.calendar import declared_year
+
 
 def latest(df: DataFrame, period: str, value: str) -> DataFrame:
     """Newest row of every key, by an aggregate that keeps one row per key before the shuffle."""
@@ -23,6 +25,6 @@ def summary_cards(cells: DataFrame) -> DataFrame:
 
 
 def seasonal_pivot(cells: DataFrame, years: list[int]) -> DataFrame:
-    """Month by year table of each key. The years are given, so no extra pass looks for them."""
-    wide = cells.groupBy("k", "month").pivot("year", years).agg(F.sum("y"))
+    """Month by year table of each key. The years are given, so no extra pass looks for them; a row of another year is an error."""
+    wide = cells.withColumn("year", declared_year(F.col("year"), years)).groupBy("k", "month").pivot("year", years).agg(F.sum("y"))
     return wide.select("k", "month", *[F.coalesce(F.col(str(y)), F.lit(0)).cast("bigint").alias(f"y{y}") for y in years])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyspan.functions.calendar import declared_year
 from tallyspan.functions.text import MONTH_NAMES
 from tallyspan.sources.tables import table
 
@@ -104,10 +105,13 @@ def sheet_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wide_weeks(spark: SparkSession, folder: str, years: list[int]) -> DataFrame:
-    """Week-by-year sheet: one row per nation and week, one text column per year, a total column and a total row."""
+    """Week-by-year sheet: one row per nation and week, one text column per year, a total column and a total row.
+
+    A row of a year without a column is an error.
+    """
     from tallyspan.sources.series import weekly_reports
 
-    weekly = weekly_reports(spark, folder)
+    weekly = weekly_reports(spark, folder).withColumn("year", declared_year(F.col("year"), years))
     cells = [
         F.max(F.when(F.col("year") == y, F.coalesce(F.col("y").cast("string"), F.lit("")))).alias(str(y)) for y in years
     ]
