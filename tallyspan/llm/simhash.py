@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,14 @@ SAMPLED = 64
 SMALL = 32
 
 
+def _bits(hashes: Iterator[bytes], n: int) -> int:
+    """Signed number whose bits are those that more than half of n hashes have."""
+    counts = np.zeros(64, np.int64)
+    while held := b"".join(itertools.islice(hashes, STEP)):
+        counts += np.unpackbits(np.frombuffer(held, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > n).view(">i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int) -> int:
     """Signed 64-bit fingerprint of a text: a bit is set where more than half of its shingles' hashes have it."""
     words = byte_words(text)
@@ -46,19 +55,27 @@ def fingerprint(text: str | None, shingle: int) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     first, last = starts[:n].tolist(), ends[min(shingle, len(words)) - 1:].tolist()
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for i in range(0, n, STEP):
-        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(first[i:i + STEP], last[i:i + STEP], strict=True)])
-        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n).view(">i8")[0])
+    digest = xxhash.xxh64_digest
+    return _bits((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), n)
+
 
+def vocabulary_fingerprint(text: str | None) -> int:
+    """Signed 64-bit fingerprint of the different words of a text, each once. An edit moves it less than one of shingles."""
+    words = set(byte_words(text))
+    digest = xxhash.xxh64_digest
+    return _bits((digest(w, SEED) for w in words), len(words)) if words else 0
 
-def fingerprint_column(text: Column, shingle: int) -> Column:
-    """struct(fp, words): fingerprint and number of words of a text."""
 
-    @F.pandas_udf("fp bigint, words bigint")
+def fingerprint_column(text: Column, shingle: int, vocabulary: bool = False) -> Column:
+    """struct(fp, also, words): the fingerprint that finds links, a second one that must be close too or 0, and the number of words.
+
+    Without `vocabulary` the first is that of shingles and there is no second; with it, the first is that of words and the second that of shingles.
+    """
+
+    @F.pandas_udf("fp bigint, also bigint, words bigint")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(fingerprint(t, shingle), len(byte_words(t))) for t in texts], columns=["fp", "words"], dtype="int64")
+        found = [(vocabulary_fingerprint(t) if vocabulary else fingerprint(t, shingle), fingerprint(t, shingle) if vocabulary else 0, len(byte_words(t))) for t in texts]
+        return pd.DataFrame(found, columns=["fp", "also", "words"], dtype="int64")
 
     return of(text)
 
@@ -81,75 +98,85 @@ def _unary(x: np.ndarray) -> np.ndarray:
     return low | high | ((low & high) << np.uint64(1))
 
 
-def _linked(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    """Where two fingerprints link: the Manhattan distance of the embeddings first, then the differing bits."""
-    near = np.bitwise_count(_unary(a) ^ _unary(b)) <= distance
+#: Columns of a row in a cell: the node, the fingerprint, and the second fingerprint.
+_ROW = ("node", "fp", "also")
+
+
+def _linked(a: np.ndarray, b: np.ndarray, limits: tuple[int, int]) -> np.ndarray:
+    """Where rows of a and b link: Manhattan distance of the embeddings first, then the differing bits of both fingerprints."""
+    near = np.bitwise_count(_unary(a[1]) ^ _unary(b[1])) <= limits[0]
     at = np.nonzero(near)[0]
-    near[at] = np.bitwise_count(np.broadcast_to(a, near.shape)[at] ^ b[at]) <= distance
+    left = [np.broadcast_to(x, near.shape)[at] for x in a]
+    near[at] = (np.bitwise_count(left[1] ^ b[1][at]) <= limits[0]) & (np.bitwise_count(left[2] ^ b[2][at]) <= limits[1]) & (left[0] != b[0][at])
     return near
 
 
-def _forest(found: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of one cell that hold its groups together: each fingerprint is compared with those that no group has yet."""
-    rest = found
-    while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
+def _forest(rows: np.ndarray, limits: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of one cell that hold its groups together: each row is compared with those that no group has yet."""
+    rest = rows
+    while rest.shape[1] > 1:
+        front, rest = [rest[:, 0]], rest[:, 1:]
+        while front and rest.shape[1]:
             one = front.pop()
-            near = _linked(one, rest, distance)
+            near = _linked(one, rest, limits)
             if near.any():
-                new = rest[near]
-                yield np.full(len(new), one), new
-                front.extend(new)
-                rest = rest[~near]
+                new = rest[:, near]
+                yield np.full(new.shape[1], one[0]), new[0]
+                front.extend(new.T)
+                rest = rest[:, ~near]
 
 
-def _within(cell: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links among rows sorted by cell and fingerprint."""
+def _within(cell: np.ndarray, rows: np.ndarray, limits: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among rows sorted by cell."""
     starts = np.nonzero(np.concatenate(([True], cell[1:] != cell[:-1])))[0]
     sizes = np.diff(np.append(starts, len(cell)))
     for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        yield from _forest(np.unique(fp[s:s + n]), distance)
+        own = rows[:, s:s + n]
+        yield from _forest(own[:, np.unique(own[0], return_index=True)[1]], limits)
     kept = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-    cell, fp = cell[kept], fp[kept]
+    cell, rows = cell[kept], rows[:, kept]
     for d in range(1, SMALL):
         at = np.nonzero(cell[d:] == cell[:-d])[0]
         if not len(at):
             break
-        a, b = fp[at], fp[at + d]
-        near = _linked(a, b, distance) & (a != b)
-        yield a[near], b[near]
+        a, b = rows[:, at], rows[:, at + d]
+        near = _linked(a, b, limits)
+        yield a[0][near], b[0][near]
 
 
-def _links(distance: int):
+def _links(limits: tuple[int, int]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out(cell: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            pairs = list(_within(cell, fp, distance)) if len(cell) else []
+        def out() -> Iterator[pa.RecordBatch]:
+            cell, rows = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1)
+            pairs = list(_within(cell, rows, limits)) if len(cell) else []
             if pairs:
                 a, b = (np.concatenate([p[k] for p in pairs]).view(np.int64) for k in (0, 1))
                 both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
         for batch in batches:
-            cell, fp = batch.column("cell").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            cell = batch.column("cell").to_numpy()
+            rows = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in _ROW])
             if not len(cell):
                 continue
             cut = int(np.searchsorted(cell, cell[-1]))
             if cut or held and held[-1][0][-1] != cell[0]:
-                held.append((cell[:cut], fp[:cut]))
-                yield from out(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+                held.append((cell[:cut], rows[:, :cut]))
+                yield from out()
                 held = []
-            held.append((cell[cut:], fp[cut:]))
+            held.append((cell[cut:], rows[:, cut:]))
         if held:
-            yield from out(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            yield from out()
 
     return of
 
 
-def links(fingerprints: DataFrame, distance: int = 4, keep: int = 3) -> DataFrame:
-    """Links (a, b) between distinct fingerprints in `fp` that differ in at most `distance` bits.
+def links(fingerprints: DataFrame, distance: int = 4, keep: int = 3, also_distance: int = 64) -> DataFrame:
+    """Links (a, b) between nodes whose fingerprints `fp` differ in at most `distance` bits, and `also` in at most `also_distance`.
+
+    `fingerprints` has one row for each (node, fp, also).
 
     Within a cell of at most 32 fingerprints every link is returned. Within a larger one, links are returned until all that
     hang together do, so that the result stays in proportion to the fingerprints; the connected groups are those of all links.
@@ -158,7 +185,7 @@ def links(fingerprints: DataFrame, distance: int = 4, keep: int = 3) -> DataFram
     """
     u = embedding(F.col("fp"))
     cells = F.array(*[F.xxhash64(F.lit(i), u.bitwiseAND(F.lit(mask))) for i, mask in enumerate(_grids(distance, keep))])
-    dealt = fingerprints.select("fp").select("fp", F.explode(cells).alias("cell"))
+    dealt = fingerprints.select(*_ROW, F.explode(cells).alias("cell"))
     large = (
         fingerprints.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0).select(F.explode(cells).alias("cell"))
         .groupBy("cell").agg(F.ceil(F.count("*") * SAMPLED / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
@@ -166,37 +193,63 @@ def links(fingerprints: DataFrame, distance: int = 4, keep: int = 3) -> DataFram
     large = settle(large, "cells")
     if not large.isEmpty():
         dealt = dealt.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64(F.lit("block"), "fp"), "blocks")
+        own = F.pmod(F.xxhash64(F.lit("block"), "node"), "blocks")
         other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, own), F.greatest(j, own))))
-        dealt = dealt.select("fp", "cell", "blocks", other.alias("pair")).select(
-            "fp", F.when(F.col("blocks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", "pair")).alias("cell"))
-    sorted_cells = dealt.select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp")
-    return sorted_cells.mapInArrow(_links(distance), "a bigint, b bigint").distinct()
+        dealt = dealt.select(*_ROW, "cell", "blocks", other.alias("pair")).select(
+            *_ROW, F.when(F.col("blocks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", "pair")).alias("cell"))
+    sorted_cells = dealt.select("cell", *_ROW).repartition("cell").sortWithinPartitions("cell")
+    return sorted_cells.mapInArrow(_links((distance, also_distance)), "a bigint, b bigint").distinct()
+
+
+@dataclass(frozen=True)
+class Settings:
+    """`shingle`: words of a shingle. `distance`: bits in which linked fingerprints may differ. `keep`: groups of segments that a grid fixes.
+
+    With `vocabulary`, links are found by the fingerprint of a text's different words, and that of its shingles may differ in `also_distance` bits. Texts of
+    fewer than `least_words` words link to texts of equal fingerprints only: few shingles leave few bits set, and texts that share
+    nothing come close by chance.
+    """
+
+    shingle: int = 4
+    distance: int = 4
+    keep: int = 3
+    vocabulary: bool = False
+    also_distance: int = 64
+    least_words: int = 0
+
+
+#: For a similarity of 0.8 or more on five-word shingles: most such pairs differ in 6 bits at most by words, and in 14 by shingles.
+NEAR_COPIES = Settings(shingle=5, distance=6, vocabulary=True, also_distance=14, least_words=28)
+
+
+def _node(fp: Column, also: Column, settings: Settings) -> Column:
+    return F.xxhash64(fp, also) if settings.vocabulary else fp
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, keep: int = 3, least_words: int = 0) -> DataFrame:
-    """Each document's fingerprint and component: rows (doc_id, fp, root, component_id), one for every row of `docs`.
+def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Each document's fingerprint and component: rows (doc_id, fp, node, root, component_id), one for every row of `docs`.
 
-    `component_id` is the smallest doc_id among documents reached through links, `root` the component's smallest fingerprint.
-    Equal fingerprints are one node, so copies are never paired. Null and empty texts have fingerprint zero and link like any
+    `component_id` is the smallest doc_id among documents reached through links, `root` the component's smallest node. Texts of
+    equal fingerprints are one node, so copies are never paired. Null and empty texts have fingerprint zero and link like any
     other; texts shorter than a shingle count as one shingle. Repeated rows stay repeated. Rows without doc_id get the component
-    of their fingerprint, null if no member has an id. Other columns are ignored. An empty table gives an empty table.
-    Texts of fewer than `least_words` words link to texts of equal fingerprint only: few shingles leave few bits set, and texts that
-    share nothing come close by chance.
+    of their node, null if no member has an id. Other columns are ignored. An empty table gives an empty table.
     """
-    marked = docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("__found"))
-    marked = settle(marked.select("doc_id", "__found.fp", "__found.words"), "fingerprints")
-    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("words").alias("words")), "nodes")
-    roots = components(links(nodes.filter(F.col("words") >= least_words), distance, keep))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = settle(placed, "placed")
+    settings = settings or Settings()
+    marked = docs.select("doc_id", fingerprint_column(F.col("text"), settings.shingle, settings.vocabulary).alias("__found"))
+    marked = marked.select("doc_id", "__found.*").withColumn("node", _node(F.col("fp"), F.col("also"), settings))
+    marked = settle(marked, "fingerprints")
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("words").alias("words"), F.min("fp").alias("fp"), F.min("also").alias("also"))
+    nodes = settle(nodes, "nodes")
+    linked = links(nodes.filter(F.col("words") >= settings.least_words), settings.distance, settings.keep, settings.also_distance)
+    roots = components(linked)
+    placed = settle(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "placed")
     # Settled, so that the join deals both sides out anew and adaptive execution can split a component of very many fingerprints.
     least = settle(placed.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    named = placed.join(least, "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    named = placed.join(least, "root").select("node", "root", "component_id")
+    return marked.join(named, "node").select("doc_id", "fp", "node", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 6, keep: int = 3, least_words: int = 28) -> DataFrame:
+def keep_one(docs: DataFrame, settings: Settings = NEAR_COPIES) -> DataFrame:
     """The rows of `docs` without near-copies: of each component the document with the smallest doc_id stays.
 
     Of rows with the same doc_id that one stays whose text sorts first. A component without any doc_id keeps the row whose text
@@ -204,7 +257,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 6, keep: int = 3
     copies when their words are the same: one changed word already puts them below a similarity of 0.8.
     """
     columns = docs.columns
-    groups = settle(near_duplicates(docs, shingle, distance, keep, least_words), "groups")
+    groups = settle(near_duplicates(docs, settings), "groups")
     chosen = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*columns)
     repeated = settle(chosen.filter("n > 1").select("doc_id"), "repeated")
@@ -213,10 +266,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 6, keep: int = 3
         first = Window.partitionBy("doc_id").orderBy("text", *[c for c in columns if c != "text"])
         once = once.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*columns)
         kept = kept.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(once)
-    unnamed = groups.filter("doc_id is null and component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+    unnamed = groups.filter("doc_id is null and component_id is null").select(F.col("node").alias("__node"), F.col("root").alias("__root")).distinct()
     unnamed = settle(unnamed, "unnamed")
     if not unnamed.isEmpty():
-        rows = docs.filter("doc_id is null").withColumn("__fp", fingerprint_column(F.col("text"), shingle)["fp"]).join(unnamed, "__fp")
+        found = docs.filter("doc_id is null").withColumn("__found", fingerprint_column(F.col("text"), settings.shingle, settings.vocabulary))
+        rows = found.withColumn("__node", _node(F.col("__found.fp"), F.col("__found.also"), settings)).join(unnamed, "__node")
         first = Window.partitionBy("__root").orderBy("text", *[c for c in columns if c != "text"])
         kept = kept.unionByName(rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*columns))
     return kept

@@ -61,10 +61,11 @@ def test_pipeline_stages_take_effect(spark, con):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, FOLDER).collect()}
     texts = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
-    prints = {d: (simhash.fingerprint(t, 5), len(t.split())) for d, t in texts.items()}
+    prints = {d: (simhash.vocabulary_fingerprint(t), simhash.fingerprint(t, 5), len(t.split())) for d, t in texts.items()}
     groups = {}
     for d in sorted(texts):
-        near = {groups[e] for e in groups if (prints[d][0] ^ prints[e][0]).bit_count() <= (6 if min(prints[d][1], prints[e][1]) >= 28 else 0)}
+        differ = {e: [(prints[d][k] ^ prints[e][k]).bit_count() for k in (0, 1)] for e in groups}
+        near = {groups[e] for e, (w, s) in differ.items() if w == s == 0 or w <= 6 and s <= 14 and min(prints[d][2], prints[e][2]) >= 28}
         root = min(near, default=d)
         groups = {e: root if g in near else g for e, g in groups.items()} | {d: root}
     leaks = {r["doc_id"] for r in decontaminate.find_leaks(docs, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).collect()}

@@ -94,7 +94,7 @@ def test_links_join_what_all_pairs_join(spark, distance, monkeypatch):
     values |= {v ^ 1 << pick.randrange(64) for v in list(values)[:150]} | {0, 1, 2**64 - 1, 2**63}
     monkeypatch.setattr(simhash, "BLOCK", 50)
     monkeypatch.setattr(simhash, "SAMPLED", 2)
-    rows = spark.createDataFrame([(v - 2**64 if v >> 63 else v,) for v in values], "fp bigint")
+    rows = spark.createDataFrame([(v - 2**64 if v >> 63 else v,) for v in values], "fp bigint").select(F.col("fp").alias("node"), "fp", F.lit(0).cast("bigint").alias("also"))
     found = {r["node"] % 2**64: r["root"] % 2**64 for r in components(simhash.links(rows, distance)).collect()}
     plain = plain_groups(values, distance)
     signed = {v: min((w for w in values if plain[w] == plain[v]), key=lambda w: w - 2**64 if w >> 63 else w) for v in values}
@@ -103,7 +103,7 @@ def test_links_join_what_all_pairs_join(spark, distance, monkeypatch):
 
 def test_keep_one_leaves_one_row_of_each_group(spark, corpus):
     docs = documents(spark, corpus)
-    kept = simhash.keep_one(docs, shingle=4, distance=4, least_words=0)
+    kept = simhash.keep_one(docs, simhash.Settings())
     assert kept.columns == docs.columns
     ids = sorted(str(r["doc_id"]) for r in kept.collect())
     groups = {(r["root"]): r["component_id"] for r in simhash.near_duplicates(docs).collect()}
