@@ -54,7 +54,7 @@ def series(spark, n=60, seed=1, key="a"):
 
 def test_base_model_equals_a_plain_computation(spark):
     df = series(spark, 54)
-    frame = forecast.backtest_frame(df)
+    frame = forecast.backtest_frame(df, "last_complete_year")
     found = {r.m: r for r in forecast.trend_season(frame).collect()}
     train = [(r.m, r.y) for r in frame.collect() if r.train]
     t, y = np.array([a for a, _ in train], float), np.array([b for _, b in train], float)

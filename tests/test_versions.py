@@ -72,7 +72,7 @@ def test_stream_equals_batch_with_open_periods(spark, rows, tmp_path):
     folder = new_folder(spark, "t-stream")
     data = spark.range(200).selectExpr("id", "timestamp_seconds(1700000000 + id * 3000) AS ts", "if(id % 4 = 0, 'a', 'b') AS kind")
     data.coalesce(1).write.parquet(folder)
-    stream = streams.read_stream(spark, folder, "*.parquet", data.schema)
+    stream = streams.read_stream(spark, folder, data.schema)
     closed = streams.drain(streams.period_counts(stream, "ts", ["kind"], "1 day", "1 day"), "t-rollup")
     whole = streams.with_open_periods(closed, spark.read.parquet(folder), "ts", ["kind"], "1 day")
     batch = data.groupBy(F.window("ts", "1 day").start.alias("d"), "kind").agg(F.count("*").alias("n"))
@@ -85,6 +85,6 @@ def test_stream_keeps_one_row_per_key(spark):
 
     folder = new_folder(spark, "t-dedupe")
     spark.range(50).selectExpr("id % 10 AS id", "timestamp_seconds(1700000000 + id) AS ts").coalesce(1).write.parquet(folder)
-    stream = streams.read_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema)
+    stream = streams.read_stream(spark, folder, spark.read.parquet(folder).schema)
     stored = streams.drain(streams.deduplicated(stream, "ts", ["id"], "1 hour"), "t-dedupe")
     assert stored.count() == 10 and stored.select("id").distinct().count() == 10
