@@ -11,6 +11,7 @@ Words are looked up once: texts become term numbers in the shared folder, and th
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,6 +34,10 @@ AT_ONCE = 300_000
 TALLIED = 512
 #: Windows are compared with the items so many at a time.
 TILE = 4_096
+#: Rarest terms of an item that a window must hold at least to have its terms counted.
+PROBES = 4
+#: Pairs of a rare term's place and an item that are held at once.
+PAIRS = 4_000_000
 _SEPARATORS = bytes(i for i in range(128) if not chr(i).isalnum())
 _TABLE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
 _SENTENCE = re.compile(r"[.!?]+\s+")
@@ -95,6 +100,27 @@ class Index:
             if not rare[item.ids].any():
                 rare[item.ids] = True
         self.weights = np.where(rare, idf, 0).astype(np.float32)
+        self._probe(frequencies)
+
+    def _probe(self, frequencies: np.ndarray) -> None:
+        """For the exact search, the items that each term is a probe of.
+
+        Of an item's D different terms a window must hold `different`, for each missing word takes one away at most. As many of them as
+        `probes` are then among the D - different + probes rarest.
+        """
+        self.different, self.probes = np.ones(len(self.items), np.int64), np.ones(len(self.items), np.int64)
+        self.has = np.zeros((len(self.terms) + 1, len(self.items)), bool)
+        pairs = []
+        for k, item in enumerate(self.items):
+            terms = np.unique(item.ids)
+            self.has[terms, k] = True
+            need = max(int(np.ceil(self.settings.overlap * len(item.ids) - 1e-9)), min(self.settings.least_words, len(item.ids)))
+            self.different[k] = max(1, len(terms) - len(item.ids) + need)
+            self.probes[k] = min(PROBES, self.different[k])
+            rarest = terms[np.argsort(frequencies[terms], kind="stable")][:len(terms) - self.different[k] + self.probes[k]]
+            pairs += [(t, k) for t in rarest.tolist()]
+        term, item = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
+        self.probed = np.searchsorted(term, np.arange(len(self.terms) + 1)), item
 
     def project(self, basis: np.ndarray) -> None:
         """Items in the basis, by the number of cells a window needs to hold them wherever it starts."""
@@ -264,28 +290,82 @@ def _learn(numbers: DataFrame, index: Index) -> None:
     index.project(vectors)
 
 
+def _probed(flat: np.ndarray, places: np.ndarray, size: int, most: int, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """First cell and item of every window that holds as many different terms of the item as the overlap asks for.
+
+    `places` has each word's place, `size` is the number of cells; the last `most` cells are empty.
+    """
+    cell = index.settings.cell
+    starts, items = index.probed
+    sizes = np.array([-(-len(x.ids) // cell) + 1 for x in index.items])
+    at = np.nonzero(flat >= 0)[0]
+    met = starts[flat[at] + 1] - starts[flat[at]]
+    at, met = at[met > 0], met[met > 0]
+    ends, found = np.cumsum(met), []
+    for a, b in itertools.pairwise([0, *(np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)) + 1).tolist(), len(at)] if len(at) else []):
+        own, many = at[a:b], met[a:b]
+        item = items[np.repeat(starts[flat[own]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        found.append(np.unique(item * size + np.repeat(places[own] // cell, many), return_counts=True))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, which = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+    total = np.concatenate(([0], np.cumsum(np.bincount(which, weights=np.concatenate([x[1] for x in found])).astype(np.int64))))
+    item, first = keys // size, keys % size
+    chosen = []
+    for back in range(most):
+        able = (back < sizes[item]) & (back <= first)
+        own, start = item[able], keys[able] - back
+        count = total[np.searchsorted(keys, start + sizes[own])] - total[np.searchsorted(keys, start)]
+        chosen.append(start[count >= index.probes[own]])
+    keys = np.unique(np.concatenate(chosen))
+    # The words of all cells, so that the different terms of a window can be counted.
+    words = np.full(size * cell, -1, np.int32)
+    words[places] = flat
+    out = []
+    for n in np.unique(sizes).tolist():
+        same = keys[sizes[keys // size] == n]
+        for i in range(0, len(same), TILE):
+            item, first = same[i:i + TILE] // size, same[i:i + TILE] % size
+            held = np.sort(words[first[:, None] * cell + np.arange(n * cell)], axis=1)
+            new = np.concatenate([np.ones((len(held), 1), bool), held[:, 1:] != held[:, :-1]], axis=1)
+            out.append(same[i:i + TILE][(index.has[held, item[:, None]] & new).sum(1) >= index.different[item]])
+    keys = np.concatenate(out) if out else keys
+    return keys % size, keys // size
+
+
 def _candidates(ids: list[np.ndarray], index: Index) -> Iterator[tuple[int, int, int, int, float]]:
-    """Windows that are close to an item and hold enough of its weighty terms: (text, first word, last word, item, cosine)."""
+    """Windows to be checked word by word: (text, first word, last word, item, cosine).
+
+    Those that are close to an item and hold enough of its weighty terms, and those that the exact search finds.
+    """
     cell, most = index.settings.cell, max(index.classes)
     many = np.array([-(-len(x) // cell) for x in ids])
     first = np.concatenate(([0], np.cumsum(many + most)[:-1]))
     flat = np.concatenate([np.zeros(0, np.int32), *ids])
     lengths = np.array([len(x) for x in ids])
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    size = int(first[-1] + many[-1] + most)
+    places = np.repeat(first * cell - starts, lengths) + np.arange(len(flat))
+    exact = _probed(flat, places, size, most, index)
     at = np.nonzero(flat >= 0)[0]
     at = at[index.weights[flat[at]] > 0]
-    if not len(at):
-        return
-    owner = np.repeat(np.arange(len(ids)), lengths)[at]
-    cells = first[owner] + (at - starts[owner]) // cell
-    size = int(first[-1] + many[-1] + most)
+    cells = places[at] // cell
     column, weight = flat[at] % index.columns, index.weights[flat[at]]
     sums = np.empty((index.basis.shape[1], size), np.float32)
     for k, axis in enumerate(np.ascontiguousarray(index.basis.T)):
         sums[k] = np.bincount(cells, weights=axis[column] * weight, minlength=size)
     sums = np.ascontiguousarray(sums.T)
     terms = np.full((size, cell), -1, np.int32)
-    terms[cells, (at - starts[owner]) % cell] = flat[at]
+    terms[cells, places[at] % cell] = flat[at]
+    seen = [np.zeros(0, np.int64)]
+
+    def _placed(row: np.ndarray, item: np.ndarray, n: int, cosines: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        texts = np.searchsorted(first, row, "right") - 1
+        begin = (row - first[texts]) * cell
+        end = np.minimum(begin + n * cell, lengths[texts])
+        inside = begin < end
+        return zip(*(x[inside].tolist() for x in (texts, begin, end, item, cosines)), strict=True)
+
     for i in range(0, size - most, TILE):
         stop = min(i + TILE, size - most)
         window = sums[i:stop].copy()
@@ -300,12 +380,16 @@ def _candidates(ids: list[np.ndarray], index: Index) -> Iterator[tuple[int, int,
             item = members[col]
             held = sum(index.holds[terms[row + i + j], item[:, None]].sum(1) for j in range(n))
             row, col, item = (x[held >= index.least[item]] for x in (row, col, item))
-            texts = np.searchsorted(first, row + i, "right") - 1
-            begin = (row + i - first[texts]) * cell
-            end = np.minimum(begin + n * cell, lengths[texts])
-            inside = begin < end
-            cosines = found[row, col] / norms[row]
-            yield from zip(*(x[inside].tolist() for x in (texts, begin, end, item, cosines)), strict=True)
+            seen.append(item * size + row + i)
+            yield from _placed(row + i, item, n, found[row, col] / norms[row])
+    row, item = exact
+    new = ~np.isin(item * size + row, np.concatenate(seen))
+    row, item = row[new], item[new]
+    for n, (members, vectors) in index.classes.items():
+        own = np.isin(item, members)
+        window = _unit(sum(sums[row[own] + j] for j in range(n)))
+        cosines = np.einsum("ij,ij->i", window, vectors[np.searchsorted(members, item[own])])
+        yield from _placed(row[own], item[own], n, cosines)
 
 
 def _confirmed(ids: list[np.ndarray], index: Index) -> dict[tuple[int, int], tuple[float, float, float, int, int]]:
