@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyspan.llm import near_copies
 from tallyspan.llm.common import byte_words, components, settle
 
 SEED = 42
@@ -218,10 +219,6 @@ class Settings:
     least_words: int = 0
 
 
-#: For a similarity of 0.8 or more on five-word shingles: most such pairs differ in 6 bits at most by words, and in 14 by shingles.
-NEAR_COPIES = Settings(shingle=5, distance=6, vocabulary=True, also_distance=14, least_words=28)
-
-
 def _node(fp: Column, also: Column, settings: Settings) -> Column:
     return F.xxhash64(fp, also) if settings.vocabulary else fp
 
@@ -249,15 +246,17 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     return marked.join(named, "node").select("doc_id", "fp", "node", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, settings: Settings = NEAR_COPIES) -> DataFrame:
+def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The rows of `docs` without near-copies: of each component the document with the smallest doc_id stays.
 
+    Without settings, components are those of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, exactly; with
+    settings, those of fingerprints.
+
     Of rows with the same doc_id that one stays whose text sorts first. A component without any doc_id keeps the row whose text
-    sorts first; elsewhere rows without doc_id go. All columns are kept, whatever their names. Texts of fewer than `least_words` words count as
-    copies when their words are the same: one changed word already puts them below a similarity of 0.8.
+    sorts first; elsewhere rows without doc_id go. All columns are kept, whatever their names.
     """
     columns = docs.columns
-    groups = settle(near_duplicates(docs, settings), "groups")
+    groups = settle(near_duplicates(docs, settings) if settings else near_copies.near_copies(docs), "groups")
     chosen = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*columns)
     repeated = settle(chosen.filter("n > 1").select("doc_id"), "repeated")
@@ -269,8 +268,13 @@ def keep_one(docs: DataFrame, settings: Settings = NEAR_COPIES) -> DataFrame:
     unnamed = groups.filter("doc_id is null and component_id is null").select(F.col("node").alias("__node"), F.col("root").alias("__root")).distinct()
     unnamed = settle(unnamed, "unnamed")
     if not unnamed.isEmpty():
-        found = docs.filter("doc_id is null").withColumn("__found", fingerprint_column(F.col("text"), settings.shingle, settings.vocabulary))
-        rows = found.withColumn("__node", _node(F.col("__found.fp"), F.col("__found.also"), settings)).join(unnamed, "__node")
+        found = docs.filter("doc_id is null")
+        if settings:
+            found = found.withColumn("__found", fingerprint_column(F.col("text"), settings.shingle, settings.vocabulary))
+            found = found.withColumn("__node", _node(F.col("__found.fp"), F.col("__found.also"), settings))
+        else:
+            found = found.withColumn("__node", near_copies.node("text"))
+        rows = found.join(unnamed, "__node")
         first = Window.partitionBy("__root").orderBy("text", *[c for c in columns if c != "text"])
         kept = kept.unionByName(rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*columns))
     return kept
