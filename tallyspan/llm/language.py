@@ -35,7 +35,6 @@ class Settings:
     smoothing: float = 0.1
     penalty: float = 2.0
     rounds: int = 12
-    most_languages: int = 4
 
 
 def _letter_classes() -> np.ndarray:
@@ -122,7 +121,7 @@ def infer(logs: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]
     chosen = [int(np.argmax(logs.sum(0)))]
     share, likelihood = np.ones(1), float(np.log(p[:, chosen[0]]).sum())
     cost = settings.penalty * np.log(len(p) + 1)
-    while len(chosen) < min(settings.most_languages, p.shape[1]):
+    while len(chosen) < p.shape[1]:
         # A language that is no word's best, or whose words could gain less than the penalty, cannot enter.
         current = np.log(p[:, chosen] @ share)
         room = np.maximum(np.log(p) - current[:, None], 0).sum(0)
