@@ -137,5 +137,112 @@ FROM ruled JOIN bounds USING (host)
 """
 
 
+OP12_COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(x, '[\x20\x09]+'), lambda y: y <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x
+    FROM documents)
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS many
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) sizes(k))
+  GROUP BY ALL
+), totals AS (SELECT lang, sum(many)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.phrase, c.many AS a, j, h.many AS l, t.many AS r, (1000000::HUGEINT * c.many * c.many) // (h.many::HUGEINT * t.many) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM grams WHERE k > 1 AND many >= 10) c
+  JOIN grams h ON h.lang = c.lang AND h.phrase = array_to_string(w[:j], ' ')
+  JOIN grams t ON t.lang = c.lang AND t.phrase = array_to_string(w[j + 1:], ' ')
+), weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+holders AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(many) AS longer
+  FROM (SELECT lang, string_split(phrase, ' ') AS w, many, unnest([1, 2]) AS i FROM grams WHERE k = 3 AND many >= 10) GROUP BY ALL
+), ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM weakest w LEFT JOIN holders h USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def _least(*options: str) -> str:
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+_INSERTED = {0: 2, 1: 2, 2: 3, 3: 2}
+_KEPT_FROM = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}
+
+
+def _edits(state: int) -> str:
+    """SQL for the cheapest edits of the turns from here on, before an insert: pairs of cost and audit, compared in that order."""
+    kept = " ".join(f"WHEN initial = '{i}' THEN {{'c': late + x{t}.c, 'a': 'K' || x{t}.a}}" for i, t in _KEPT_FROM[state])
+    next_ = _INSERTED[state]
+    return _least(f"{{'c': 2 + x{state}.c, 'a': 'D' || x{state}.a}}", f"CASE WHEN gone THEN NULL {kept} END",
+                  f"CASE WHEN NOT gone THEN {{'c': 1 + late + x{next_}.c, 'a': 'R' || x{next_}.a}} END")
+
+
+def _or_insert(state: int) -> str:
+    next_ = _INSERTED[state]
+    return f"{_least(f'x{state}', f'''{{'c': 5 + x{next_}.c, 'a': 'I' || x{next_}.a}}''')} AS x{state}"
+
+
+_ROUND = ", ".join(_or_insert(s) for s in range(4))
+#: The checksum of a text of ASCII characters, bit by bit.
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(id, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda crc, x: xor(xor(crc, x) >> 1, CASE WHEN xor(crc, x) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""
+
+OP13_REPAIR = rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC32} % 20 AS kind
+  FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS id FROM conversations)
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM given WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS time FROM damaged
+), judged AS (
+  SELECT *, role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE
+    WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN time > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault
+  FROM placed
+), turns AS (
+  SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS late FROM judged
+), back AS (
+  SELECT conv_id, max(i) + 1 AS i, {{'c': 0, 'a': ''}} AS x0, {{'c': 10, 'a': 'II'}} AS x1, {{'c': 5, 'a': 'I'}} AS x2, {{'c': 0, 'a': ''}} AS x3
+  FROM turns GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, {_ROUND} FROM (SELECT conv_id, i, {_ROUND} FROM (SELECT conv_id, i, {_ROUND} FROM (
+    SELECT t.conv_id, t.i, {", ".join(f"{_edits(s)} AS x{s}" for s in range(4))}
+    FROM back b JOIN turns t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i = b.i - 1)))
+), audits AS (SELECT conv_id, x0.c AS cost, x0.a AS audit FROM back WHERE i = 1
+), edits AS (
+  SELECT conv_id, j, audit[j] AS edit, length(replace(audit[:j], 'I', '')) AS i, length(replace(audit[:j], 'D', '')) AS o
+  FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS j FROM audits)
+), lines AS (
+  SELECT e.*, t.role, t.text, bool_or(edit = 'K' AND o = 1 AND t.initial = 's') OVER (PARTITION BY e.conv_id) AS briefed
+  FROM edits e LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.i = e.i AND edit <> 'I' WHERE edit <> 'D'
+), texts AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - briefed::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY o) AS repaired
+  FROM lines GROUP BY conv_id
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id
+), ids AS (SELECT DISTINCT conv_id::BIGINT AS conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM ids LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN audits ON audits.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_CHAT_FORMAT, "op4_warc": OP4_WARC, "op5_mixing": OP5_MIXING, "op6_url_filter": OP6_URL_FILTER}
+    return {"op2_chat_format": OP2_CHAT_FORMAT, "op4_warc": OP4_WARC, "op5_mixing": OP5_MIXING, "op6_url_filter": OP6_URL_FILTER,
+            "op12_collocations": OP12_COLLOCATIONS, "op13_conversation_repair": OP13_REPAIR}

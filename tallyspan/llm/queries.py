@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspan.llm import chat, decontaminate, html_lstm, language, licenses, mixing, simhash, syncmers, url_reputation, warc
+from tallyspan.llm import bpe, chat, collocations, conversation_repair, decontaminate, html_lstm, language, licenses, mixing, simhash, syncmers, url_reputation, warc
 from tallyspan.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +71,22 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_lstm.extract(read(spark, folder, "pages", "page_id", "url", "html"))
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """The vocabulary file belongs to an installed package and is read by the driver alone."""
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(read(spark, folder, "documents", "doc_id", "text"), vocabulary)
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations.collocations(read(spark, folder, "documents", "doc_id", "text", "lang"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    return conversation_repair.report(conversation_repair.plan_repair(conversation_repair.damage(turns)), turns)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -82,4 +99,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_licenses": op8_licenses,
         "op9_syncmers": op9_syncmers,
         "op10_main_text": op10_main_text,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_collocations": op12_collocations,
+        "op13_conversation_repair": op13_conversation_repair,
     }

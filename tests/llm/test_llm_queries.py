@@ -35,7 +35,7 @@ def test_query_equals_its_sql(spark, con, name):
 def test_all_are_registered():
     found = entry.queries()
     assert set(llm_queries()) | {"pipeline"} <= set(found) and set(llm_sql()) <= set(found)
-    assert [name.split("_")[0] for name in llm_queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in llm_queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_language_is_right_on_held_out_texts(spark, con):
