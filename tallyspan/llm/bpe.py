@@ -30,8 +30,8 @@ from tallyspan.llm.common import bounded, shared
 WORDS = 400_000
 #: Encoded words that a partition remembers; then it starts anew.
 KNOWN = 1_000_000
-#: New words whose bytes are in one recursive query.
-NEW_BYTES = 2_000_000
+#: Bytes of the new words of one recursive query.
+NEW_BYTES = 200_000
 MEMORY = "700MB"
 
 
@@ -73,17 +73,20 @@ INSERT INTO known
 WITH RECURSIVE parts AS (
   {_BEGIN}
   UNION ALL
-  (WITH least AS (SELECT word, min((rank::BIGINT << 32) | position) AS pair FROM parts WHERE rank IS NOT NULL GROUP BY word),
+  (WITH least AS (
+    SELECT word, min((rank::BIGINT << 32) | position) AS pair, arg_min(after, (rank::BIGINT << 32) | position) AS gone
+    FROM parts WHERE rank IS NOT NULL GROUP BY word),
   made AS (
-    SELECT c.word, c.position, c.rank, c.after AS gone, q.after, q.next
-    FROM least JOIN parts c ON c.word = least.word AND c.position = (pair & 4294967295) JOIN parts q ON q.word = c.word AND q.position = c.after)
-  SELECT moved.* EXCLUDE (step), x.rank, step FROM (
-    SELECT p.word, p.position, CASE WHEN p.position = m.position THEN m.after ELSE p.after END AS after,
+    SELECT m.word, (pair & 4294967295)::INTEGER AS position, (pair >> 32)::INTEGER AS rank, gone, q.after, q.next
+    FROM least m JOIN parts q ON q.word = m.word AND q.position = gone)
+  SELECT word, position, after, token, next, CASE WHEN tested IS NULL THEN moved.rank ELSE x.rank END AS rank, step FROM (
+    SELECT p.word, p.position, p.rank, step + 1 AS step, CASE WHEN p.position = m.position THEN m.after ELSE p.after END AS after,
       CASE WHEN p.position = m.position THEN m.rank ELSE p.token END AS token,
-      CASE WHEN p.position = m.position THEN m.next WHEN p.after = m.position THEN m.rank ELSE p.next END AS next, step + 1 AS step
+      CASE WHEN p.position = m.position THEN m.next WHEN p.after = m.position THEN m.rank ELSE p.next END AS next,
+      CASE WHEN p.position = m.position THEN m.rank WHEN p.after = m.position THEN p.token END AS tested
     FROM parts p JOIN made m ON m.word = p.word WHERE p.position <> m.gone) moved
-  LEFT JOIN merges x ON token = l AND next = r)
-), settled AS (SELECT word, position, token FROM parts JOIN (SELECT word, max(step) AS step FROM parts GROUP BY word) USING (word, step))
+  LEFT JOIN merges x ON tested = l AND next = r)
+), settled AS (SELECT word, position, token FROM parts JOIN (SELECT word, max(step) AS step FROM parts WHERE position = 0 GROUP BY word) USING (word, step))
 {_IDS}
 """
 
@@ -128,7 +131,7 @@ class Coder:
     """Encodes and decodes words in a database in memory, one thread of it."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": "", "preserve_insertion_order": "false"})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self._split = regex.compile(vocabulary.pattern)
         pieces = pa.table({"id": pa.array(np.arange(len(vocabulary.pieces), dtype=np.int32)), "piece": pa.array([p.hex() for p in vocabulary.pieces])})
         merges = pa.table({n: pa.array(np.ascontiguousarray(vocabulary.merges[:, i])) for i, n in enumerate(("l", "r", "rank"))})
@@ -213,9 +216,11 @@ class Coder:
     def decode(self, ids: pa.Table) -> pa.Table:
         """Bytes of rows (key, ids): a table (key, hexes) by key, the pieces of the ids in order of their positions."""
         self.con.register("coded", ids)
+        # One thread aggregates the pieces in the order in which the sort hands them on; sorting within every group takes twice as long.
         return self.con.sql("""
-            SELECT key, string_agg(piece, '' ORDER BY place) AS hexes
-            FROM (SELECT key, unnest(ids) AS id, generate_subscripts(ids, 1) AS place FROM coded) JOIN pieces USING (id) GROUP BY key ORDER BY key""").to_arrow_table()
+            SELECT place >> 32 AS key, string_agg(piece, '') AS hexes FROM (
+              SELECT place, piece FROM (SELECT (key << 32) | generate_subscripts(ids, 1) AS place, unnest(ids) AS id FROM coded) JOIN pieces USING (id) ORDER BY place)
+            GROUP BY key ORDER BY key""").to_arrow_table()
 
 
 def _is_text(piece: bytes) -> bool:
