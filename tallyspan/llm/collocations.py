@@ -3,7 +3,7 @@
 A task lays its texts end to end and takes numpy prefix polynomials modulo 2**64, first over bytes, which gives every word its number, then
 over words, which gives every run of n words its fingerprint by one subtraction and one product. Three passes over the texts follow.
 
-1. Fingerprints of one and two words are counted; the shuffle adds up one row for each different fingerprint of a task.
+1. Fingerprints of one and two words are counted in each task; the shuffle brings equal ones together, and sums tell the frequent ones.
 2. A longer run can be frequent only where both runs of one word less are. Its fingerprint is counted where a bit map of frequent
    fingerprints has both. The map has a fixed size; chance hits cost rows and nothing else.
 3. Where an n-gram's fingerprint is in the map, its task reads the words at the occurrence and adds them up by text. The shuffle brings together all that
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401, reached as pa.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspan.llm.common import bounded, settle, shared
@@ -29,7 +30,13 @@ MAP_BITS = 27
 #: Rows of the map that are collected: each is a block of it.
 MAP_BLOCKS = 256
 #: Different fingerprints that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 1_200_000
+#: Rows of texts that a task holds before it adds them up, and hands them on if more than half are left.
+HELD_TEXTS = 600_000
+#: Bytes of text whose words are numbered at once.
+STEP = 2_000_000
+#: Blocks of the range of fingerprints for each partition of a shuffle.
+BLOCKS = 64
 BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -85,7 +92,7 @@ class _Texts:
         kind = _KIND[codes]
         edges = np.diff(np.concatenate(([0], (kind == 0).view(np.int8), [0])))
         self.starts, self.ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
-        self.piece = np.cumsum(kind == 2, dtype=np.int64)[self.starts] if len(self.starts) else self.starts
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts] if len(self.starts) else self.starts
         begin = np.cumsum([0, *(len(e) + 1 for e in encoded)])
         self.begin = begin
         self.doc = np.searchsorted(begin, self.starts, side="right") - 1
@@ -96,9 +103,14 @@ class _Texts:
     def _polynomials(self, codes: np.ndarray, powers: tuple[_Powers, _Powers]) -> None:
         up, down = powers[0].to(len(codes) + 1)
         sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:len(codes)], out=sums[1:])
+        terms = sums[1:]
+        terms += codes
+        terms += np.uint64(1)
+        terms *= up[:len(codes)]
+        np.cumsum(terms, out=terms)
         # Lengths are mixed in: runs of bytes differ in number where they differ in text, but for rare collisions.
         words = _mixed((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        del sums, terms
         self._up, self._down = powers[1].to(len(words) + 1)
         self._words = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * self._up[:len(words)], out=self._words[1:])
@@ -151,52 +163,96 @@ def hash_text(text: str) -> int:
     return value
 
 
+COUNTED = "block int, prints binary, times binary"
+
+
 class _Counter:
-    """Adds up numbers by fingerprint and hands them on when it holds many."""
+    """Adds up numbers by fingerprint and hands them on when it holds many.
+
+    A row has the fingerprints of one block of their range, rising, and their numbers, so the plan moves few rows and combines none a second time.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, blocks: int) -> None:
+        self.blocks = blocks
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
     def add(self, prints: np.ndarray) -> None:
-        keys, many = np.unique(prints, return_counts=True)
-        self.parts.append((keys, many))
+        keys, times = np.unique(prints, return_counts=True)
+        self.parts.append((keys, times.astype(np.int32)))
         self.held += len(keys)
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys = np.concatenate([k for k, _ in self.parts])
-        many = np.concatenate([m for _, m in self.parts])
-        order = np.argsort(keys, kind="stable")
-        keys, many = keys[order], many[order]
-        first = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0] if len(keys) else np.zeros(0, np.int64)
-        return keys[first], np.add.reduceat(many, first) if len(first) else many
-
     def give(self, over: int) -> Iterator[pa.RecordBatch]:
         if self.held > over:
-            keys, many = self.merged()
+            keys, times = summed(self.parts)
             if over and len(keys) <= over // 2:
-                self.parts, self.held = [(keys, many)], len(keys)
+                self.parts, self.held = [(keys, times)], len(keys)
                 return
             self.parts, self.held = [], 0
-            for i in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i:i + (1 << 18)].view(np.int64)), pa.array(many[i:i + (1 << 18)])], names=["print", "many"])
+            block = _block(keys, self.blocks)
+            cuts = np.concatenate(([0], np.nonzero(np.diff(block))[0] + 1, [len(keys)])).tolist() if len(keys) else [0]
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            for i in range(0, len(spans), 256):
+                some = spans[i:i + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([int(block[x]) for x, _ in some], pa.int32()), pa.array([keys[x:y].tobytes() for x, y in some], pa.binary()),
+                                                  pa.array([times[x:y].tobytes() for x, y in some], pa.binary())], names=["block", "prints", "times"])
+
+
+def _block(prints: np.ndarray, blocks: int) -> np.ndarray:
+    """Numbers of the blocks, of equal parts of the range of fingerprints, that fingerprints belong to."""
+    return ((prints >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different fingerprints of some lists, rising, and the sums of their numbers."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, times = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    order = np.argsort(keys)
+    keys, times = keys[order], times[order]
+    first = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0] if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(times, first, dtype=times.dtype) if len(first) else times
+
+
+def _frequent(least: int):
+    """Fingerprints of rows sorted by block that occur so many times or more; one block is held at a time."""
+
+    def above(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, times = summed([(k, t.astype(np.int64)) for k, t in parts])
+        if len(keys := keys[times >= least]):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["print"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for block, prints, times in zip(*(batch.column(c) for c in ("block", "prints", "times")), strict=True):
+                if block.as_py() != now:
+                    yield from above(parts)
+                    now, parts = block.as_py(), []
+                parts.append((np.frombuffer(prints.as_buffer(), np.uint64).copy(), np.frombuffer(times.as_buffer(), np.int32).copy()))
+        yield from above(parts)
+
+    return of
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Texts]]:
     powers = _Powers(BASE), _Powers(WORD_BASE)
-    for batch in bounded(batches, "text"):
+    for batch in bounded(batches, "text", STEP):
         yield batch, _Texts(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), powers)
 
 
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter = _Counter()
-    for _, texts in _steps(batches):
-        for n in (1, 2):
-            counter.add(texts.grams(n)[1])
-        yield from counter.give(HELD)
-    yield from counter.give(0)
+def _short(blocks: int):
+    """Counts runs of one and two words."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter(blocks)
+        for _, texts in _steps(batches):
+            for n in (1, 2):
+                counter.add(texts.grams(n)[1])
+            yield from counter.give(HELD)
+        yield from counter.give(0)
+
+    return of
 
 
 def _has(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -204,11 +260,11 @@ def _has(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def _longer(n: int, model: Callable[[], np.ndarray]):
+def _longer(n: int, blocks: int, model: Callable[[], np.ndarray]):
     """Counts runs of n words of which both runs of one word less are in the map."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, counter = model(), _Counter()
+        bits, counter = model(), _Counter(blocks)
         for _, texts in _steps(batches):
             at, prints = texts.grams(n)
             counter.add(prints[_has(bits, texts.prints(at, n - 1)) & _has(bits, texts.prints(at + 1, n - 1))])
@@ -228,29 +284,44 @@ def _read(longest: int, model: Callable[[], np.ndarray]):
     names = [x.split()[0] for x in FOUND.split(", ")]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = model()
+        bits, held, many_held = model(), [], 0
         for batch, texts in _steps(batches):
             ids, langs = batch.column("doc_id"), pa.array(texts.langs.tolist(), pa.string())
             many, none = len(langs), pa.nulls(len(langs), pa.int64())
             counted = pa.array(np.bincount(texts.lang, minlength=many))
             zero = pa.array(np.zeros(many, np.int64))
-            yield pa.RecordBatch.from_arrays([langs, zero.cast(pa.int32()), zero, pa.array([""] * many), counted, none, none], names=names)
+            held.append(pa.RecordBatch.from_arrays([langs, zero.cast(pa.int32()), zero, pa.array([""] * many, pa.string()), counted, none, none], names=names))
             for n in range(1, longest + 1):
                 at, prints = texts.grams(n)
                 kept = _has(bits, prints)
                 prints, first, count = _told_apart(texts, at[kept], prints[kept], n)
-                for i in range(0, len(first), 1 << 16):
-                    p = slice(i, i + (1 << 16))
-                    f = first[p]
-                    doc = texts.doc[f]
-                    columns = (langs.take(pa.array(texts.lang[f])), np.full(len(f), n), prints[p].view(np.int64), pa.array(texts.phrases(f, n), pa.binary()), count[p],
-                               ids.take(pa.array(doc)), texts.starts[f] - texts.begin[doc])
-                    columns = (c if isinstance(c, pa.Array) else pa.array(c) for c in columns)
-                    yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                doc = texts.doc[first]
+                columns = (langs.take(pa.array(texts.lang[first])), np.full(len(first), n), prints.view(np.int64), pa.array(texts.phrases(first, n), pa.binary()), count,
+                           ids.take(pa.array(doc)), texts.starts[first] - texts.begin[doc])
+                columns = (c if isinstance(c, pa.Array) else pa.array(c) for c in columns)
+                held.append(pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names))
+            many_held += sum(len(b) for b in held[-longest - 1:])
+            if many_held > HELD_TEXTS:
+                combined = _combined(held, names)
+                if combined.num_rows > HELD_TEXTS // 2:
+                    yield from combined.to_batches(max_chunksize=1 << 16)
+                    held, many_held = [], 0
+                else:
+                    held, many_held = combined.to_batches(), combined.num_rows
+        if held:
+            yield from _combined(held, names).to_batches(max_chunksize=1 << 16)
 
     return of
 
 
+def _combined(held: list[pa.RecordBatch], names: list[str]) -> pa.Table:
+    """Equal texts of a task as one row, with one of their places."""
+    any_ = pa.compute.ScalarAggregateOptions(skip_nulls=False)
+    keys = names[:4]
+    found = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([("many", "sum"), ("doc_id", "first", any_), ("place", "first", any_)])
+    return found.select([*keys, "many_sum", "doc_id_first", "place_first"]).rename_columns(names)
+
+
 def _told_apart(texts: _Texts, at: np.ndarray, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different (language, text) among occurrences with fingerprints: (fingerprint, first place, number of occurrences).
 
@@ -298,22 +369,24 @@ def phrase_counts(docs: DataFrame, settings: Settings | None = None) -> DataFram
     """How often every phrase of up to `longest` words occurs that occurs `least` times or more: rows (lang, words, phrase, many, doc_id, place).
 
     Everything is counted within a language; null is `und`, also for a text that names it so. A-Z are lower-cased; texts are cut at `.,;:!?` and line ends, those
-    pieces at spaces and tabs; null and empty texts have no words. Repeated rows count again. `doc_id` and `place` (bytes from the text's start) point to an
-    occurrence, the one of the smallest number, with null last. A row of zero words and an empty phrase has the number of all words of a language, zero included. Other
+    pieces at spaces and tabs; null and empty texts have no words. Repeated rows count again. `doc_id` and `place` (bytes from the text's start) point to one
+    of the occurrences. A row of zero words and an empty phrase has the number of all words of a language, zero included. Other
     columns are ignored; an empty table gives an empty one. Memory of a task follows the longest text.
     """
     settings = settings or Settings()
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(F.col("lang"), F.lit("und")).alias("lang"))
 
-    def frequent(counted: DataFrame) -> DataFrame:
-        return settle(counted.groupBy("print").agg(F.sum("many").alias("many")).filter(F.col("many") >= settings.least).select("print"), "prints")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = BLOCKS * partitions
+
+    def frequent(task) -> DataFrame:
+        counted = rows.select("text", "lang").mapInArrow(task, COUNTED).repartition(partitions, "block").sortWithinPartitions("block")
+        return settle(counted.mapInArrow(_frequent(settings.least), "print bigint"), "prints")
 
-    found = frequent(rows.select("text", "lang").mapInArrow(_short, "print bigint, many bigint"))
-    bits = _bit_map(found)
+    bits = _bit_map(frequent(_short(blocks)))
     for n in range(3, settings.longest + 1):
-        longer = frequent(rows.select("text", "lang").mapInArrow(_longer(n, shared(spark, bits)), "print bigint, many bigint"))
-        bits = bits | _bit_map(longer)
+        bits = bits | _bit_map(frequent(_longer(n, blocks, shared(spark, bits))))
     read = rows.mapInArrow(_read(settings.longest, shared(spark, bits)), FOUND)
     counts = read.groupBy("print", "words", "lang", "phrase").agg(F.sum("many").alias("many"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("at"))
     counts = counts.filter((F.col("words") == 0) | (F.col("many") >= settings.least) & (F.col("words") <= settings.longest))

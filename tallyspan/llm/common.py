@@ -35,13 +35,13 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about STEP_BYTES of text, so that memory follows the longest text and not the batch."""
+def bounded(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `step` bytes of text, so that memory follows the longest text and not the batch."""
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
-            if size and size + n > STEP_BYTES:
+            if size and size + n > step:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n
