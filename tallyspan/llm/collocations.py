@@ -6,8 +6,8 @@ over words, which gives every run of n words its fingerprint by one subtraction
 1. Fingerprints of one and two words are counted in each task; the shuffle brings equal ones together, and sums tell the frequent ones.
 2. A longer run can be frequent only where both runs of one word less are. Its fingerprint is counted where a bit map of frequent
    fingerprints has both. The map has a fixed size; chance hits cost rows and nothing else.
-3. Where an n-gram's fingerprint is in the map, its task reads the words at the occurrence and adds them up by text. The shuffle brings together all that
-   share a fingerprint, with a pointer to the first occurrence, and tells different texts apart: counts are those of texts, whatever collides.
+3. Where an n-gram's fingerprint is in the map, its task compares the occurrences byte by byte and reads the words at one of them. The shuffle brings together
+   what shares a fingerprint, with a pointer to an occurrence, and tells different texts apart: counts are those of texts, whatever collides.
 
 Nothing but frequent phrases is ever turned into text. A group is one fingerprint and has at most one row a task and text, so no phrase, language or source
 is too frequent for a task.
@@ -35,8 +35,10 @@ HELD = 1_200_000
 HELD_TEXTS = 600_000
 #: Bytes of text whose words are numbered at once.
 STEP = 2_000_000
-#: Blocks of the range of fingerprints for each partition of a shuffle.
-BLOCKS = 64
+#: Blocks of the range of fingerprints for each partition of a shuffle. One block is held at a time.
+BLOCKS = 4
+#: Stands for a document without number.
+NO_DOC = -(1 << 63)
 BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -192,8 +194,8 @@ class _Counter:
             block = _block(keys, self.blocks)
             cuts = np.concatenate(([0], np.nonzero(np.diff(block))[0] + 1, [len(keys)])).tolist() if len(keys) else [0]
             spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-            for i in range(0, len(spans), 256):
-                some = spans[i:i + 256]
+            for i in range(0, len(spans), 64):
+                some = spans[i:i + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([int(block[x]) for x, _ in some], pa.int32()), pa.array([keys[x:y].tobytes() for x, y in some], pa.binary()),
                                                   pa.array([times[x:y].tobytes() for x, y in some], pa.binary())], names=["block", "prints", "times"])
 
@@ -274,52 +276,94 @@ def _longer(n: int, blocks: int, model: Callable[[], np.ndarray]):
     return of
 
 
-FOUND = "lang string, words int, print bigint, phrase string, many bigint, doc_id bigint, place bigint"
+#: Texts of one block: `langs` names the languages that `lang` has the numbers of; phrases are separated by line ends, which no phrase holds.
+READ = "block int, langs array<string>, lang binary, phrases binary, times binary, docs binary, places binary"
+_KEYS = ("print", "lang", "phrase")
 
 
-def _read(longest: int, model: Callable[[], np.ndarray]):
-    """Texts of the n-grams in the map: a row for each different one of a step, and one of zero words with the number of words of each language."""
-
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-    names = [x.split()[0] for x in FOUND.split(", ")]
+def _read(longest: int, blocks: int, model: Callable[[], np.ndarray]):
+    """Texts of the n-grams in the map, with how often they occur and one place of each; an empty one has the number of words of a language."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held, many_held = model(), [], 0
+        bits, held, rows = model(), [], 0
         for batch, texts in _steps(batches):
-            ids, langs = batch.column("doc_id"), pa.array(texts.langs.tolist(), pa.string())
-            many, none = len(langs), pa.nulls(len(langs), pa.int64())
-            counted = pa.array(np.bincount(texts.lang, minlength=many))
-            zero = pa.array(np.zeros(many, np.int64))
-            held.append(pa.RecordBatch.from_arrays([langs, zero.cast(pa.int32()), zero, pa.array([""] * many, pa.string()), counted, none, none], names=names))
+            ids, langs = pa.compute.fill_null(batch.column("doc_id"), NO_DOC), pa.array(texts.langs.tolist(), pa.string())
+            words = pa.array(np.bincount(texts.lang, minlength=len(langs)))
+            marks = np.array([hash_text(x) for x in texts.langs], np.uint64)
+            parts = [(marks, langs, pa.array([""] * len(langs), pa.string()), words, pa.array([NO_DOC] * len(langs), pa.int64()), np.zeros(len(langs), np.int64))]
             for n in range(1, longest + 1):
                 at, prints = texts.grams(n)
                 kept = _has(bits, prints)
                 prints, first, count = _told_apart(texts, at[kept], prints[kept], n)
                 doc = texts.doc[first]
-                columns = (langs.take(pa.array(texts.lang[first])), np.full(len(first), n), prints.view(np.int64), pa.array(texts.phrases(first, n), pa.binary()), count,
-                           ids.take(pa.array(doc)), texts.starts[first] - texts.begin[doc])
-                columns = (c if isinstance(c, pa.Array) else pa.array(c) for c in columns)
-                held.append(pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names))
-            many_held += sum(len(b) for b in held[-longest - 1:])
-            if many_held > HELD_TEXTS:
-                combined = _combined(held, names)
-                if combined.num_rows > HELD_TEXTS // 2:
-                    yield from combined.to_batches(max_chunksize=1 << 16)
-                    held, many_held = [], 0
-                else:
-                    held, many_held = combined.to_batches(), combined.num_rows
+                phrases = pa.array(texts.phrases(first, n), pa.binary()).cast(pa.string())
+                parts.append((prints, langs.take(pa.array(texts.lang[first])), phrases, count, ids.take(pa.array(doc)), texts.starts[first] - texts.begin[doc]))
+            for part in parts:
+                held.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in part], names=[*_KEYS, "times", "doc", "place"]))
+                rows += len(part[0])
+            if rows > HELD_TEXTS:
+                combined = _combined(held)
+                held, rows = combined.to_batches(), combined.num_rows
+                if rows > HELD_TEXTS // 2:
+                    yield from _in_blocks(combined, blocks)
+                    held, rows = [], 0
         if held:
-            yield from _combined(held, names).to_batches(max_chunksize=1 << 16)
+            yield from _in_blocks(_combined(held), blocks)
 
     return of
 
 
-def _combined(held: list[pa.RecordBatch], names: list[str]) -> pa.Table:
+def _combined(held: list[pa.RecordBatch]) -> pa.Table:
     """Equal texts of a task as one row, with one of their places."""
-    any_ = pa.compute.ScalarAggregateOptions(skip_nulls=False)
-    keys = names[:4]
-    found = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([("many", "sum"), ("doc_id", "first", any_), ("place", "first", any_)])
-    return found.select([*keys, "many_sum", "doc_id_first", "place_first"]).rename_columns(names)
+    found = pa.Table.from_batches(held).group_by(list(_KEYS), use_threads=False).aggregate([("times", "sum"), ("doc", "first"), ("place", "first")])
+    return found.select([*_KEYS, "times_sum", "doc_first", "place_first"]).rename_columns([*_KEYS, "times", "doc", "place"])
+
+
+def _in_blocks(rows: pa.Table, blocks: int) -> Iterator[pa.RecordBatch]:
+    block = _block(rows.column("print").to_numpy(), blocks)
+    order = np.argsort(block, kind="stable")
+    block, rows = block[order], rows.take(pa.array(order))
+    coded = rows.column("lang").combine_chunks().dictionary_encode()
+    langs, lang = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int32)
+    phrases = rows.column("phrase").to_pylist()
+    times, docs, places = (rows.column(c).to_numpy().astype(np.int64) for c in ("times", "doc", "place"))
+    cuts = np.concatenate(([0], np.nonzero(np.diff(block))[0] + 1, [len(block)])).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        arrays = [[int(block[a])], [langs], [lang[a:b].tobytes()], ["\n".join(phrases[a:b]).encode()], *([x[a:b].tobytes()] for x in (times, docs, places))]
+        kinds = (pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 5)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(arrays, kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
+
+
+FOUND = "lang string, words int, phrase string, many bigint, doc_id bigint, place bigint"
+
+
+def _by_text(least: int):
+    """Adds up the texts of rows sorted by block; different texts of one fingerprint stay apart. One block is held at a time."""
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+
+    def told(found: dict[tuple[str, str], tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+        rows = [(lang, phrase.count(" ") + 1 if phrase else 0, phrase, many, None if doc == NO_DOC else doc, place)
+                for (lang, phrase), (many, doc, place) in found.items() if many >= least or not phrase]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, langs = batch.column("block")[row].as_py(), batch.column("langs")[row].as_py()
+                if block != now:
+                    yield from told(found)
+                    now, found = block, {}
+                lang, phrases, *numbers = (batch.column(c)[row].as_py() for c in ("lang", "phrases", "times", "docs", "places"))
+                times, docs, places = (np.frombuffer(x, np.int64).tolist() for x in numbers)
+                for i, phrase, n, doc, place in zip(np.frombuffer(lang, np.int32).tolist(), phrases.decode().split("\n"), times, docs, places, strict=True):
+                    key = langs[i], phrase
+                    before = found.get(key)
+                    found[key] = (n, doc, place) if before is None else (before[0] + n, *min(before[1:], (doc, place)))
+        yield from told(found)
+
+    return of
 
 
 def _told_apart(texts: _Texts, at: np.ndarray, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -387,10 +431,8 @@ def phrase_counts(docs: DataFrame, settings: Settings | None = None) -> DataFram
     bits = _bit_map(frequent(_short(blocks)))
     for n in range(3, settings.longest + 1):
         bits = bits | _bit_map(frequent(_longer(n, blocks, shared(spark, bits))))
-    read = rows.mapInArrow(_read(settings.longest, shared(spark, bits)), FOUND)
-    counts = read.groupBy("print", "words", "lang", "phrase").agg(F.sum("many").alias("many"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("at"))
-    counts = counts.filter((F.col("words") == 0) | (F.col("many") >= settings.least) & (F.col("words") <= settings.longest))
-    return settle(counts.select("lang", "words", "phrase", "many", F.col("at.doc_id").alias("doc_id"), F.col("at.place").alias("place")), "phrases")
+    read = rows.mapInArrow(_read(settings.longest, blocks, shared(spark, bits)), READ).repartition(partitions, "block").sortWithinPartitions("block")
+    return settle(read.mapInArrow(_by_text(settings.least), FOUND), "phrases")
 
 
 def score(a: str, left: str, right: str) -> Column:
