@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -49,6 +50,18 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYT
             yield batch.slice(start)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is settled inside reaches Python so many rows at a time, where each row carries whole texts; the setting before comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """A function that gives tasks a broadcast value. Classes of this folder travel by value, so executors need no copy of it."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tallyspan.llm import decontaminate, simhash
+from tallyspan.llm import decontaminate
 from tallyspan.llm.oracles import llm_sql
 from tallyspan.llm.queries import llm_queries
 from tools.check_queries import TABLES, compare
@@ -57,15 +57,24 @@ def test_leaks_are_those_that_share_eight_words(spark, con):
     assert {(r["doc_id"], r["item_id"]) for r in llm_queries()["op1_decontaminate"](spark, FOLDER).collect()} == expected and expected
 
 
+def _shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _alike(a, b):
+    both = len(a & b)
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
 def test_pipeline_stages_take_effect(spark, con):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, FOLDER).collect()}
     texts = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
-    prints = {d: (simhash.vocabulary_fingerprint(t), simhash.fingerprint(t, 5), len(t.split())) for d, t in texts.items()}
+    sets = {d: _shingles(t) for d, t in texts.items()}
     groups = {}
     for d in sorted(texts):
-        differ = {e: [(prints[d][k] ^ prints[e][k]).bit_count() for k in (0, 1)] for e in groups}
-        near = {groups[e] for e, (w, s) in differ.items() if w == s == 0 or w <= 6 and s <= 14 and min(prints[d][2], prints[e][2]) >= 28}
+        near = {groups[e] for e in groups if _alike(sets[d], sets[e])}
         root = min(near, default=d)
         groups = {e: root if g in near else g for e, g in groups.items()} | {d: root}
     leaks = {r["doc_id"] for r in decontaminate.find_leaks(docs, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).collect()}
