@@ -5,7 +5,7 @@ over words, which gives every run of n words its fingerprint by one subtraction
 
 1. Fingerprints of one and two words are counted in each task; the shuffle brings equal ones together, and sums tell the frequent ones.
 2. A longer run can be frequent only where both runs of one word less are. Its fingerprint is counted where a bit map of frequent
-   fingerprints has both. The map has a fixed size; chance hits cost rows and nothing else.
+   fingerprints has both. The map is 16 MB, whatever the input; chance hits cost rows and nothing else.
 3. Where an n-gram's fingerprint is in the map, its task compares the occurrences byte by byte and reads the words at one of them. The shuffle brings together
    what shares a fingerprint, with a pointer to an occurrence, and tells different texts apart: counts are those of texts, whatever collides.
 
@@ -23,12 +23,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401, reached as pa.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyspan.llm.common import bounded, settle, shared
+from tallyspan.llm.common import bit_map, bounded, in_map, settle, shared
 
-#: Bits of the map of frequent fingerprints: 16 MB, whatever the size of the input.
-MAP_BITS = 27
-#: Rows of the map that are collected: each is a block of it.
-MAP_BLOCKS = 256
 #: Different fingerprints that a task holds before it hands them on.
 HELD = 1_200_000
 #: Rows of texts that a task holds before it adds them up, and hands them on if more than half are left.
@@ -257,11 +253,6 @@ def _short(blocks: int):
     return of
 
 
-def _has(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    place = prints >> np.uint64(64 - MAP_BITS)
-    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-
-
 def _longer(n: int, blocks: int, model: Callable[[], np.ndarray]):
     """Counts runs of n words of which both runs of one word less are in the map."""
 
@@ -269,7 +260,7 @@ def _longer(n: int, blocks: int, model: Callable[[], np.ndarray]):
         bits, counter = model(), _Counter(blocks)
         for _, texts in _steps(batches):
             at, prints = texts.grams(n)
-            counter.add(prints[_has(bits, texts.prints(at, n - 1)) & _has(bits, texts.prints(at + 1, n - 1))])
+            counter.add(prints[in_map(bits, texts.prints(at, n - 1)) & in_map(bits, texts.prints(at + 1, n - 1))])
             yield from counter.give(HELD)
         yield from counter.give(0)
 
@@ -293,7 +284,7 @@ def _read(longest: int, blocks: int, model: Callable[[], np.ndarray]):
             parts = [(marks, langs, pa.array([""] * len(langs), pa.string()), words, pa.array([NO_DOC] * len(langs), pa.int64()), np.zeros(len(langs), np.int64))]
             for n in range(1, longest + 1):
                 at, prints = texts.grams(n)
-                kept = _has(bits, prints)
+                kept = in_map(bits, prints)
                 prints, first, count = _told_apart(texts, at[kept], prints[kept], n)
                 doc = texts.doc[first]
                 phrases = pa.array(texts.phrases(first, n), pa.binary()).cast(pa.string())
@@ -387,28 +378,6 @@ def _told_apart(texts: _Texts, at: np.ndarray, prints: np.ndarray, n: int) -> tu
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _bit_map(prints: DataFrame) -> np.ndarray:
-    """The map with a bit for every fingerprint; each task sets the bits of some blocks, so at most MAP_BLOCKS rows of fixed size are collected."""
-    size = 1 << (MAP_BITS - 3)
-    each = size // MAP_BLOCKS
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            place = batch.column("print").to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)
-            where = (place >> np.uint64(3)).astype(np.int64)
-            for b in np.unique(where // each).tolist():
-                own = where // each == b
-                np.bitwise_or.at(blocks.setdefault(b, np.zeros(each, np.uint8)), where[own] % each, np.left_shift(1, place[own] & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks.values()], pa.binary())], names=["block", "bits"])
-
-    block = F.shiftrightunsigned("print", 64 - (MAP_BLOCKS.bit_length() - 1))
-    bits = np.zeros(size, np.uint8)
-    for row in prints.select("print").repartition(block).mapInArrow(of, "block int, bits binary").toLocalIterator():
-        bits[row["block"] * each:(row["block"] + 1) * each] |= np.frombuffer(row["bits"], np.uint8)
-    return bits
-
-
 def phrase_counts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """How often every phrase of up to `longest` words occurs that occurs `least` times or more: rows (lang, words, phrase, many, doc_id, place).
 
@@ -428,9 +397,9 @@ def phrase_counts(docs: DataFrame, settings: Settings | None = None) -> DataFram
         counted = rows.select("text", "lang").mapInArrow(task, COUNTED).repartition(partitions, "block").sortWithinPartitions("block")
         return settle(counted.mapInArrow(_frequent(settings.least), "print bigint"), "prints")
 
-    bits = _bit_map(frequent(_short(blocks)))
+    bits = bit_map(frequent(_short(blocks)))
     for n in range(3, settings.longest + 1):
-        bits = bits | _bit_map(frequent(_longer(n, blocks, shared(spark, bits))))
+        bits = bits | bit_map(frequent(_longer(n, blocks, shared(spark, bits))))
     read = rows.mapInArrow(_read(settings.longest, blocks, shared(spark, bits)), READ).repartition(partitions, "block").sortWithinPartitions("block")
     return settle(read.mapInArrow(_by_text(settings.least), FOUND), "phrases")
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -50,6 +51,41 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYT
             yield batch.slice(start)
 
 
+#: Bits of a map of numbers: 16 MB, whatever the size of the input.
+MAP_BITS = 27
+#: Rows of a map that are collected: each is a block of it.
+MAP_BLOCKS = 256
+
+
+def in_map(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which numbers (unsigned, 64 evenly spread bits) have their bit set: all that the map was made of, and few others by chance."""
+    place = numbers >> np.uint64(64 - MAP_BITS)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def bit_map(numbers: DataFrame) -> np.ndarray:
+    """A map with a bit for every number of a column of longs; each task sets the bits of some blocks, so at most MAP_BLOCKS rows of fixed size are collected."""
+    size = 1 << (MAP_BITS - 3)
+    each = size // MAP_BLOCKS
+    name, top_bits, bits_in_map = numbers.columns[0], MAP_BLOCKS.bit_length() - 1, MAP_BITS
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = batch.column(name).to_numpy().view(np.uint64) >> np.uint64(64 - bits_in_map)
+            where = (place >> np.uint64(3)).astype(np.int64)
+            for b in np.unique(where // each).tolist():
+                own = where // each == b
+                np.bitwise_or.at(blocks.setdefault(b, np.zeros(each, np.uint8)), where[own] % each, np.left_shift(1, place[own] & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks.values()], pa.binary())], names=["block", "bits"])
+
+    block = F.shiftrightunsigned(name, 64 - top_bits)
+    bits = np.zeros(size, np.uint8)
+    for row in numbers.repartition(block).mapInArrow(of, "block int, bits binary").toLocalIterator():
+        bits[row["block"] * each:(row["block"] + 1) * each] |= np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """What is settled inside reaches Python so many rows at a time, where each row carries whole texts; the setting before comes back afterwards."""
