@@ -33,7 +33,7 @@ SELECT n.*, EXISTS (SELECT 1 FROM rcpt r WHERE r.notification_id = n.id AND r.us
 WHERE (role_target IS NULL OR role_target = 'admin') AND (user_target IS NULL OR user_target = 10)"""
 VIEWS["bsplit"] = """
 SELECT k, m, y, CASE WHEN b <= 12 THEN 'test' WHEN b <= 24 THEN 'validation' ELSE 'train' END AS split
-FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m DESC) AS b FROM bm)"""
+FROM (SELECT *, max(m) OVER (PARTITION BY k) - m + 1 AS b FROM bm)"""
 VIEWS["cfit"] = """
 SELECT s.k, m, split, y::DOUBLE AS y, kind || '-' || season AS candidate, kind, season, m - min(m) OVER (PARTITION BY s.k) AS t
 FROM bsplit s, (SELECT unnest(['level', 'trend']) AS kind), (SELECT unnest([1, 3, 6, 12]) AS season) WHERE split <> 'test'"""

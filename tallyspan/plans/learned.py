@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspan.config import MODEL
 from tallyspan.functions.numeric import combine, floor_zero, is_finite, r6
-from tallyspan.operators import forecast, learned, metrics
+from tallyspan.operators import forecast, learned, metrics, series_trees
 from tallyspan.plans.registry import query
 from tallyspan.sources import series
 
@@ -29,6 +29,18 @@ def residual_gbt(spark, folder):
     return paths.select("k", "m", "h", r6(F.col("base")).alias("base"), (is_finite(F.col("correction")) & is_finite(F.col("hybrid"))).alias("finite"), moved.alias("bounded"))
 
 
+@query("residual_trees")
+def residual_trees(spark, folder):
+    """An ensemble of 1,000 trees for every series, its corrections over the horizon and the combined path."""
+    monthly = series.settle(series.orders_monthly(spark, folder))
+    fitted = forecast.residual_rows(forecast.trend_season(forecast.future_frame(monthly, MODEL.horizon), MODEL.season), MODEL)
+    fitted = series.settle(fitted.select("k", "m", "h", "base", "residual", "usable"))
+    corrections = series_trees.tree_corrections(fitted, monthly.agg(F.max("m")).first()[0])
+    base = fitted.filter(F.col("h").isNotNull()).select("k", "m", "base")
+    hybrid = combine(F.col("base"), F.col("correction"), MODEL.correction_clip, MODEL.correction_weight)
+    return corrections.join(base, ["k", "m"]).select("k", "m", "h", "n_rows", r6(F.col("base")).alias("base"), r6(F.col("correction")).alias("correction"), r6(hybrid).alias("hybrid"))
+
+
 @query("base_fourier")
 def base_fourier(spark, folder):
     """Hold-out error of the line with Fourier pairs for every brand."""

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tallyspan.config import MODEL, SCOPE
 from tallyspan.functions.hashing import content_signature, row_hash
 from tallyspan.functions.numeric import r6
-from tallyspan.operators import coverage, exports, feeds, forecast, grid, ranking, search, versions
+from tallyspan.operators import coverage, exports, feeds, forecast, grid, metrics, model_grid, ranking, search, versions
 from tallyspan.plans.forecasts import backtest_rows, candidates, future_paths, rounded
 from tallyspan.plans.registry import query
-from tallyspan.session import new_folder
+from tallyspan.session import new_folder, settle
 from tallyspan.sources import raw, readers, series, state, writers
 from tallyspan.sources.tables import table
 
@@ -228,6 +228,33 @@ def tolerant_winner(spark, folder):
     return pick(_scores(_split(spark, folder))).select("k", "candidate", "rmse", "mae")
 
 
+@query("model_grid")
+def model_grid_query(spark, folder):
+    """All 144 orders of every brand with their criterion, or why they are refused."""
+    found = model_grid.fit_grid(_split(spark, folder))
+    return found.select("k", "candidate", "n", "parameters", F.round("aic", 6).alias("aic"), "status")
+
+
+@query("model_shortlist")
+def model_shortlist(spark, folder):
+    split = _split(spark, folder)
+    return model_grid.shortlist(model_grid.fit_grid(split), split).select("k", "candidate", "place", "aic", "scored", "rmse", "mae", "mape")
+
+
+@query("residual_grid")
+def residual_grid(spark, folder):
+    """Median errors of all 96 residual settings behind each brand's chosen order."""
+    split = settle(_split(spark, folder), "split")
+    listed = model_grid.shortlist(model_grid.fit_grid(split), split)
+    winners = settle(metrics.tolerant_winner(listed.select("k", "candidate", "rmse", "mae", "mape")), "winners")
+    return model_grid.residual_scores(settle(model_grid.correct_grid(split, winners), "corrected"), split)
+
+
+@query("model_selection")
+def model_selection(spark, folder):
+    return model_grid.select_models(_split(spark, folder))
+
+
 @query("rank_correlation")
 def rank_correlation(spark, folder):
     from tallyspan.operators.metrics import rank_correlation as correlate
