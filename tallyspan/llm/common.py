@@ -81,7 +81,8 @@ def bit_map(numbers: DataFrame) -> np.ndarray:
 
     block = F.shiftrightunsigned(name, 64 - top_bits)
     bits = np.zeros(size, np.uint8)
-    for row in numbers.repartition(block).mapInArrow(of, "block int, bits binary").toLocalIterator():
+    # One job for the map, which never exceeds 16 MB; fetching it task by task would be a job for each partition.
+    for row in numbers.repartition(block).mapInArrow(of, "block int, bits binary").collect():
         bits[row["block"] * each:(row["block"] + 1) * each] |= np.frombuffer(row["bits"], np.uint8)
     return bits
 
