@@ -2,10 +2,14 @@
 
 A text is a sequence of words. A run of K words is an anchor when the least of its inner runs of S words, by hash, is the first or
 the last of them. Whether a run is chosen depends on its own words alone, so an edit elsewhere leaves it chosen. A fingerprint holds
-the MOST smallest anchor hashes, each with the place where it stands first; two fingerprints are alike in the share of anchors that
-both have at places that differ by one common distance.
+every anchor with its place, in the order of the text, so it grows with the text and a passage keeps its anchors in any text.
 
-Column functions only. Anchors and their places are arrays of one row, so a text is never exploded or shuffled word by word.
+Anchors are matched by position in links: two anchors that follow each other, and the number of words between them. A passage that two texts
+share gives both the same links wherever it stands, and an inserted or changed word breaks only the links around it. Likeness is the share of
+links that two texts have in common; `passages` chains common links into stretches of words.
+
+Column functions only. Anchors and their places are arrays of one row, so a text is not exploded or shuffled word by word, except
+by `passages` for the pairs that are asked for.
 """
 
 from __future__ import annotations
@@ -19,7 +23,6 @@ from tallyspan.llm.common import SPACE_CLASS
 K = 6
 S = 2
 INNER = K - S + 1
-MOST = 32
 #: Rows of a stretch of neighbouring ids, about, and stretches at most; neighbours across stretches are found by their heads.
 STRETCH = 2_000
 STRETCHES = 1_024
@@ -27,12 +30,12 @@ _FINE = 32
 
 
 def with_anchors(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds `name` = struct(hashes, places): the smallest anchor hashes in rising order and the first place of each.
+    """Adds `name` = struct(hashes, places): all anchors in the order of the text, and the word at which each starts.
 
     A text with words but no anchor has one entry, the hash of all its words at place 0; a text without words, or null, has none. Each
     step is a column of its own, for a step that refers to another inside a lambda would otherwise be worked out anew for each element.
     """
-    w, h, sm, at, ah, low = (f"__{name}_{x}" for x in ("words", "hashes", "inner", "at", "anchors", "low"))
+    w, h, sm, at, ah = (f"__{name}_{x}" for x in ("words", "hashes", "inner", "at", "anchors"))
     n = F.size(h)
     rows = docs.withColumn(w, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), f"[{SPACE_CLASS}]+"), lambda x: x != ""))
     rows = rows.withColumn(h, F.transform(w, lambda x: F.xxhash64(x))).drop(w)
@@ -44,35 +47,58 @@ def with_anchors(docs: DataFrame, text: str, name: str) -> DataFrame:
 
     rows = rows.withColumn(at, F.when(n >= K, F.filter(F.sequence(F.lit(0), n - K), chosen)).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn(ah, F.transform(at, lambda i: F.xxhash64(*[F.get(sm, i + j) for j in range(0, INNER, S)])))
-    rows = rows.withColumn(low, F.slice(F.array_sort(F.array_distinct(ah)), 1, MOST))
-    places = F.transform(low, lambda x: F.get(at, (F.array_position(ah, x) - 1).cast("int")))
     whole = F.struct(F.array(F.xxhash64(h)).alias("hashes"), F.array(F.lit(0)).alias("places"))
-    none = F.struct(F.array().cast("array<bigint>").alias("hashes"), F.array().cast("array<int>").alias("places"))
-    found = F.when(F.size(low) > 0, F.struct(F.col(low).alias("hashes"), places.alias("places"))).when(n > 0, whole).otherwise(none)
-    return rows.withColumn(name, found).drop(h, sm, at, ah, low)
+    found = F.when((F.size(ah) == 0) & (n > 0), whole).otherwise(F.struct(F.col(ah).alias("hashes"), F.col(at).alias("places")))
+    return rows.withColumn(name, found).drop(h, sm, at, ah)
 
 
 def as_text(anchors: str) -> Column:
-    """The fingerprint as text: hash and place of every entry."""
-    entries = F.zip_with(f"{anchors}.hashes", f"{anchors}.places", lambda h, p: F.concat(F.lpad(F.lower(F.hex(h)), 16, "0"), F.lit(":"), p.cast("string")))
-    return F.concat_ws(" ", entries)
+    """The fingerprint as text: the upper half of each hash, and its place."""
+    half = lambda h: F.lpad(F.lower(F.hex(F.shiftrightunsigned(h, 32))), 8, "0")
+    return F.concat_ws(" ", F.zip_with(f"{anchors}.hashes", f"{anchors}.places", lambda h, p: F.concat(half(h), F.lit(":"), p.cast("string"))))
+
+
+def with_links(rows: DataFrame, anchors: str, name: str) -> DataFrame:
+    """Adds `name`, the links of a fingerprint in the order of the text: one more than anchors, as its start and end are linked too."""
+    h, p = f"__{name}_hashes", f"__{name}_places"
+    rows = rows.withColumn(h, F.col(f"{anchors}.hashes")).withColumn(p, F.col(f"{anchors}.places"))
+
+    def link(i: Column) -> Column:
+        apart = F.get(p, i) - F.get(p, i - 1)
+        return F.xxhash64(F.coalesce(F.get(h, i - 1), F.lit(-1)), F.coalesce(F.get(h, i), F.lit(-1)), F.coalesce(apart, F.lit(0)))
+
+    return rows.withColumn(name, F.transform(F.sequence(F.lit(0), F.size(h)), link)).drop(h, p)
+
+
+def likeness(a: str, b: str) -> Column:
+    """Likeness of two columns of links, 0 to 1: of the different links of both texts, the share that both have. Two texts without words are alike."""
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """Adds the likeness of two fingerprints, 0 to 1; two empty ones are alike, an empty and another are not.
+def passages(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Stretches that pairs of documents share: rows (a, b, place_a, place_b, n_words) for rows (a, b) of `pairs`, ids of `docs` (doc_id, text).
 
-    Of the MOST smallest hashes of both together, the share that both hold with the most frequent difference of places.
+    A stretch is a chain of common links whose places differ by one distance; it starts at the word `place_a` of a and `place_b` of b and covers
+    n_words words, at least K + 1. Of a link that a text holds several times, the first occurrence meets the other text's first, the second its
+    second, and so on, so nothing is multiplied. Repeated pairs count once; pairs with an unknown or null id give no row. Of documents
+    with the same id the one whose text sorts first is taken; texts without two anchors give no row.
     """
-    both, low, apart = (f"__{name}_{x}" for x in ("both", "low", "apart"))
-    rows = rows.withColumn(both, F.array_intersect(f"{a}.hashes", f"{b}.hashes"))
-    rows = rows.withColumn(low, F.slice(F.array_sort(F.array_union(f"{a}.hashes", f"{b}.hashes")), 1, MOST))
-    place = lambda f, x: F.get(F.col(f"{f}.places"), (F.array_position(f"{f}.hashes", x) - 1).cast("int"))
-    shared = F.array_intersect(low, both)
-    rows = rows.withColumn(apart, F.when(F.size(both) > 0, F.transform(shared, lambda x: place(b, x) - place(a, x))))
-    most = F.array_max(F.transform(F.array_distinct(apart), lambda d: F.size(F.filter(apart, lambda e: e == d))))
-    empty = (F.size(f"{a}.hashes") == 0) & (F.size(f"{b}.hashes") == 0)
-    value = F.when(empty, 1.0).when(F.col(apart).isNull(), 0.0).otherwise(F.coalesce(most, F.lit(0)) / F.size(low))
-    return rows.withColumn(name, value).drop(both, low, apart)
+    wanted = pairs.select("a", "b").distinct()
+    ids = wanted.select(F.col("a").alias("doc_id")).unionByName(wanted.select(F.col("b").alias("doc_id"))).distinct()
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = with_links(with_anchors(texts, "text", "anchors"), "anchors", "links")
+    inner = F.transform(F.filter(F.sequence(F.lit(0), F.size("links") - 1), lambda i: (i > 0) & (i < F.size("links") - 1)), lambda i: F.struct(
+        F.get("links", i).alias("link"), F.get(F.col("anchors.places"), i - 1).alias("place"), F.get(F.col("anchors.places"), i).alias("until")))
+    single = rows.select("doc_id", F.explode(inner).alias("x")).select("doc_id", "x.*")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "link").orderBy("place"))
+    single = single.withColumn("nth", nth)
+    left = wanted.join(single.select(F.col("doc_id").alias("a"), "link", "nth", F.col("place").alias("place_a"), "until"), "a")
+    both = left.join(single.select(F.col("doc_id").alias("b"), "link", "nth", F.col("place").alias("place_b")), ["b", "link", "nth"])
+    along = Window.partitionBy("a", "b", "shift").orderBy("place_a")
+    both = both.withColumn("shift", F.col("place_b") - F.col("place_a"))
+    both = both.withColumn("new", F.when(F.lag("until").over(along) == F.col("place_a"), 0).otherwise(1)).withColumn("run", F.sum("new").over(along))
+    found = both.groupBy("a", "b", "shift", "run").agg(F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"), F.max("until").alias("until"))
+    return found.select("a", "b", "place_a", "place_b", (F.col("until") + K - F.col("place_a")).alias("n_words"))
 
 
 def _stretch(bounds: list[int]) -> Column:
@@ -120,12 +146,16 @@ def edit_trial(docs: DataFrame) -> DataFrame:
     Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one per row of `docs`. Null texts count as empty.
     A single document is its own next. Repeated rows follow each other. Other columns are ignored; an empty table gives an empty table.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_anchors(rows, "text", "own"), "text", "own")
+    rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "own", "next_own")
-    rows = with_anchors(rows.select("*", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")), "edited", "changed")
-    rows = with_likeness(with_likeness(rows.drop("edited"), "own", "changed", "near_edited"), "own", "next_own", "near_next")
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("changed").alias("edited_fingerprint"), "near_edited", "near_next")
+    rows = rows.select("doc_id", "text", "next_text", n.cast("bigint").alias("n_chars"), edited.alias("edited"))
+    # Anchors are found after the shuffle, which moves nothing but texts; each text gives way to its links.
+    rows = with_links(with_anchors(rows, "next_text", "after"), "after", "after_links").drop("next_text", "after")
+    rows = with_links(with_anchors(rows, "text", "own"), "own", "own_links").drop("text")
+    rows = rows.withColumn("near_next", likeness("own_links", "after_links")).drop("after_links").withColumn("fingerprint", as_text("own")).drop("own")
+    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    rows = with_links(with_anchors(rows, "edited", "changed"), "changed", "changed_links").drop("edited")
+    rows = rows.withColumn("near_edited", likeness("own_links", "changed_links"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", as_text("changed").alias("edited_fingerprint"), "near_edited", "near_next")

@@ -152,11 +152,7 @@ def test_anchors_are_closed_syncmers(spark):
     chain = lambda *values: signed(_chained(values))
     inner = [chain(signed(h[i]), signed(h[i + 1])) for i in range(len(h) - 1)]
     at = [i for i in range(len(h) - syncmers.K + 1) if min(inner[i:i + syncmers.INNER]) in (inner[i], inner[i + syncmers.INNER - 1])]
-    anchors = {}
-    for i in at:
-        anchors.setdefault(chain(inner[i], inner[i + 2], inner[i + 4]), i)
-    best = sorted(anchors)[:syncmers.MOST]
-    assert (row["hashes"], row["places"]) == (best, [anchors[x] for x in best])
+    assert (row["hashes"], row["places"]) == ([chain(inner[i], inner[i + 2], inner[i + 4]) for i in at], at)
 
 
 def _chained(values):
@@ -169,11 +165,38 @@ def _chained(values):
 def test_likeness_of_equal_and_shifted_texts(spark):
     a = words(1, 300)
     rows = spark.createDataFrame([(1, a, a), (2, a, "some words before " + a), (3, a, words(2, 300)), (4, "", None), (5, "", "x"), (6, "x y", "x y")], "doc_id bigint, p string, q string")
-    rows = syncmers.with_likeness(syncmers.with_anchors(syncmers.with_anchors(rows, "p", "x"), "q", "y"), "x", "y", "near")
-    near = {r["doc_id"]: r["near"] for r in rows.select("doc_id", "near").collect()}
+    for text, x in ("p", "x"), ("q", "y"):
+        rows = syncmers.with_links(syncmers.with_anchors(rows, text, f"{x}_anchors"), f"{x}_anchors", x)
+    near = {r["doc_id"]: r["near"] for r in rows.select("doc_id", syncmers.likeness("x", "y").alias("near")).collect()}
     assert near[1] == near[4] == near[6] == 1 and near[2] > 0.9 and near[3] == near[5] == 0
 
 
+def test_an_inserted_word_breaks_only_the_links_around_it(spark):
+    a = words(1, 400).split()
+    rows = spark.createDataFrame([(" ".join(a), " ".join([*a[:200], "inserted", *a[200:]]))], "p string, q string")
+    for text, x in ("p", "x"), ("q", "y"):
+        rows = syncmers.with_links(syncmers.with_anchors(rows, text, f"{x}_anchors"), f"{x}_anchors", x)
+    assert rows.select(syncmers.likeness("x", "y")).first()[0] > 0.9
+
+
+def test_passages_of_long_texts_are_found_where_they_stand(spark):
+    """Two texts of 10,000 words share 50 words at different places; plain comparison says how far the stretch may reach."""
+    shared = words(3, 50)
+    a = " ".join([words(1, 4000), shared, words(2, 6000)])
+    b = " ".join([words(4, 7000), shared, words(5, 3000)])
+    docs = spark.createDataFrame([(1, a), (2, b), (3, None), (4, "x " * 3000), (5, ("x " * 2000))], "doc_id bigint, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (4, 5), (1, None), (1, 9)], "a bigint, b bigint")
+    found = syncmers.passages(docs, pairs).collect()
+    of = lambda x, y: [r for r in found if (r["a"], r["b"]) == (x, y)]
+    assert not of(1, 3) and not of(1, 9) and of(4, 5)
+    u, v = a.split(), b.split()
+    for r in of(1, 2):
+        assert u[r["place_a"]:r["place_a"] + r["n_words"]] == v[r["place_b"]:r["place_b"] + r["n_words"]]
+    best = max(of(1, 2), key=lambda r: r["n_words"])
+    assert best["n_words"] > 30 and best["place_b"] - best["place_a"] == 3000
+    assert syncmers.passages(docs.limit(0), pairs).count() == 0
+
+
 # --- mixing
 
 
