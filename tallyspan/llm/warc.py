@@ -27,9 +27,9 @@ END = "\r\n\r\n"
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-#: Characters in a chunk of the HTTP body and in a segment of the block; records in an archive.
+#: Characters in a chunk of the HTTP body and in a segment of the block, which ordinary pages exceed; records in an archive.
 CHUNK = 4096
-SEGMENT = 65_536
+SEGMENT = 8_192
 RECORDS = 1_000
 #: Payloads below this many bytes are never revisited.
 LEAST_SHARED = 100
@@ -172,12 +172,12 @@ def reassemble(records: DataFrame) -> DataFrame:
     """
     alone = records.filter("segment = 0").select("kind", "record_id", "target", "digest", "refers_to", "block", F.lit(True).alias("complete"))
     first = F.col("segment") == 1
-    grouped = records.filter("segment > 0").groupBy("origin").agg(
+    joined = records.filter("segment > 0").groupBy("origin").agg(
         *[F.max(F.when(first, F.col(c))).alias(c) for c in ("kind", "record_id", "target", "digest", "refers_to")],
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("segment").alias("last"), F.max("total").alias("total"))
-    block = F.aggregate(F.slice("parts", 2, F.size("parts")), F.element_at("parts", 1)["block"], lambda a, x: F.concat(a, x["block"]))
-    joined = grouped.withColumn("block", block)
-    whole = F.col("record_id").isNotNull() & (F.size("parts") == F.col("last")) & F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False))
+        F.expr("listagg(block) within group (order by segment)").alias("block"), F.count("*").alias("parts"),
+        F.sum("segment").alias("numbers"), F.max("segment").alias("last"), F.max("total").alias("total"))
+    in_row = (F.col("parts") == F.col("last")) & (2 * F.col("numbers") == F.col("last") * (F.col("last") + 1))
+    whole = F.col("record_id").isNotNull() & in_row & F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False))
     return alone.unionByName(joined.select("kind", "record_id", "target", "digest", "refers_to", "block", whole.alias("complete")))
 
 
