@@ -5,7 +5,7 @@ the first n - ceil(0.8 n) + 1 of both meet. These are joined; no pair is missed.
 shows to be frequent last, which decides how many pairs meet in vain and nothing else. Pairs that meet are first held against a bound: counts of shingles in 256 parts of their
 range, of which two texts share the lesser at most. What the bound allows is compared shingle by shingle.
 
-Pairs meet in two rounds: first each text with one text of every shingle's group, which joins most of a large group of near copies;
+Pairs meet in two rounds: first those whose fingerprints link, as the caller found them, and each text with one text of every shingle's group, which joins most of a large group of near copies;
 then those texts of a shingle's group that are not yet joined, each with each.
 """
 
@@ -226,9 +226,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, outlines: DataFrame) -> DataFra
         return settle(found.select("a", "b", "s", "t").mapInArrow(of, "a bigint, b bigint"), "links")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, linked: DataFrame) -> DataFrame:
     """Rows (doc_id, node, root, component_id), one for every row of `docs`: its group by links of a similarity of 0.8 or more.
 
+    `linked` has pairs of nodes (a, b) to compare first, such as those of near fingerprints; they decide what work is left, never the result.
     `component_id` is the smallest doc_id of the group, null if no member has one. Texts with the same words are one node; null and empty texts are
     one node too. Texts of fewer than five words are alike only when equal. Repeated rows stay repeated; other columns are ignored.
     """
@@ -241,7 +242,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # One order of nodes for all shingles: texts that share many shingles meet the same text, once.
     pivot = members.groupBy("shingle").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("p"))
     star = members.join(pivot, "shingle").filter("node <> p.node and 5 * n >= 4 * p.n and 5 * p.n >= 4 * n")
-    found = _verified(star.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")), docs, outlines)
+    star = star.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b"))
+    found = _verified(linked.unionByName(star), docs, outlines)
     first = settle(components(found), "first")
     placed = settle(members.join(first, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root")), "members")
     # Where a shingle's texts are joined already, nothing is left to compare.

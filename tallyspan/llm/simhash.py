@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspan.llm import near_copies
-from tallyspan.llm.common import byte_words, components, settle
+from tallyspan.llm.common import batches_of, byte_words, components, settle
 
 SEED = 42
 SEGMENTS = 32
@@ -246,17 +246,32 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     return marked.join(named, "node").select("doc_id", "fp", "node", "root", "component_id")
 
 
+def similar_texts(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Each document's group by an exact similarity of 0.8 or more on five-word shingles: rows (doc_id, node, root, component_id), one for every row of `docs`.
+
+    Links between the fingerprints of different texts are found as in `near_duplicates` and then compared exactly; as a fingerprint may differ in more bits at
+    that similarity, `near_copies` finds the rest by common shingles.
+    """
+    settings = settings or Settings(shingle=near_copies.SHINGLE)
+    with batches_of(docs.sparkSession, near_copies.ROWS):
+        marked = docs.select(near_copies.node("text").alias("node"), fingerprint_column(F.col("text"), settings.shingle, settings.vocabulary).alias("__found"))
+        nodes = marked.groupBy("node").agg(F.first("__found").alias("__found")).select("node", "__found.fp", "__found.also")
+        nodes = settle(nodes, "fingerprints")
+    linked = links(nodes, settings.distance, settings.keep, settings.also_distance)
+    return near_copies.near_copies(docs, linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+
+
 def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The rows of `docs` without near-copies: of each component the document with the smallest doc_id stays.
 
-    Without settings, components are those of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, exactly; with
+    Without settings, components are those of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, as in `similar_texts`; with
     settings, those of fingerprints.
 
     Of rows with the same doc_id that one stays whose text sorts first. A component without any doc_id keeps the row whose text
     sorts first; elsewhere rows without doc_id go. All columns are kept, whatever their names.
     """
     columns = docs.columns
-    groups = settle(near_duplicates(docs, settings) if settings else near_copies.near_copies(docs), "groups")
+    groups = settle(near_duplicates(docs, settings) if settings else similar_texts(docs), "groups")
     chosen = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*columns)
     repeated = settle(chosen.filter("n > 1").select("doc_id"), "repeated")

@@ -66,3 +66,19 @@ def test_short_near_copies_and_rows_without_id(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept if r["doc_id"] != 4) == [("1", base), ("None", "One two three four five  six")]
     assert simhash.keep_one(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_stage_compares_texts_of_near_fingerprints(spark, monkeypatch):
+    taken, whole = [], near_copies.near_copies
+
+    def spied(docs, linked):
+        taken.append(sorted((r["a"], r["b"]) for r in linked.collect()))
+        return whole(docs, linked)
+
+    monkeypatch.setattr(near_copies, "near_copies", spied)
+    rows = corpus(2)[:150]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == plain_kept(rows)
+    prints = {near_copies._node(near_copies.byte_words(t)): simhash.fingerprint(t, 5) for _, t in rows}
+    near = [(max(p), min(p)) for p in itertools.combinations(prints, 2) if (prints[p[0]] ^ prints[p[1]]).bit_count() <= 4]
+    assert near and taken == [sorted(near)]
