@@ -1,12 +1,13 @@
 """Near copies by the exact Jaccard similarity of five-word shingles.
 
-Two texts with a similarity of 0.8 or more have at least four fifths of either one's shingles in common, so in any order of all shingles
-the first n - ceil(0.8 n) + 1 of both meet. These are joined; no pair is missed. The order puts shingles that a sample
+Two texts of m and n shingles with a similarity of 0.8 or more have at least 4 (m + n) / 9 in common. In any order of all shingles their first common one
+stands where so many are left in both, that is among the first n - ceil(0.8 n) + 1. Pairs meet at such places; none is missed. The order puts shingles that a sample
 shows to be frequent last, which decides how many pairs meet in vain and nothing else. Pairs that meet are first held against a bound: counts of shingles in 256 parts of their
 range, of which two texts share the lesser at most. What the bound allows is compared shingle by shingle.
 
-Pairs meet in two rounds: first those whose fingerprints link, as the caller found them, and each text with one text of every shingle's group, which joins most of a large group of near copies;
-then those texts of a shingle's group that are not yet joined, each with each.
+Pairs meet in two rounds: first those whose fingerprints link, as the caller found them, and each text with the one of every shingle's group that has the
+least share of rare shingles. Near copies were most likely made from that one, so nearly all of a large group are joined to it. Then those texts of a
+shingle's group that are not yet joined meet, each with each.
 """
 
 from __future__ import annotations
@@ -83,34 +84,40 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return rows.to_numpy(np.int64).reshape(-1, 2).T
 
 
+#: Columns of a row of a shingle's group.
+_MEMBER = ("shingle", "node", "n", "place", "rare")
+
+
 def _members(docs: DataFrame) -> DataFrame:
-    """Rows (shingle, node, n) of the shingles that must meet and that several nodes have; n is the node's number of shingles."""
+    """Rows (shingle, node, n, place, rare) of the shingles that must meet and that several nodes have: the node's number of shingles, the shingle's place in
+    their order from 0, and the thousandths of them that the sample does not show to be frequent."""
     model = shared(docs.sparkSession, _frequent(docs))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = model()
         seen: set[int] = set()
         for batch in bounded(batches, "text"):
-            out: list[tuple[np.ndarray, int, int]] = []
+            out: list[tuple[np.ndarray, int, int, int]] = []
             for words in map(byte_words, batch.column("text").to_pylist()):
                 if len(words) < SHINGLE or (own := _node(words)) in seen:
                     continue
                 seen.add(own)
                 all_ = shingles(words)
-                n = len(all_)
+                n = rare = len(all_)
                 first = n - (4 * n + 4) // 5 + 1
                 if len(known):
                     at = np.minimum(np.searchsorted(known, all_), len(known) - 1)
                     often = np.where(known[at] == all_, times[at], 0)
-                    all_ = all_[np.argsort(often, kind="stable")]
-                out.append((all_[:first], own, n))
+                    all_, rare = all_[np.argsort(often, kind="stable")], n - np.count_nonzero(often)
+                out.append((all_[:first], own, n, 1000 * rare // n))
             if out:
                 sizes = [len(x[0]) for x in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), *(pa.array(np.repeat(np.array([x[k] for x in out], np.int64), sizes)) for k in (1, 2))],
-                                                 names=["shingle", "node", "n"])
+                node, n, rare = (pa.array(np.repeat(np.array([x[k] for x in out], np.int64), sizes)) for k in (1, 2, 3))
+                places = pa.array(np.concatenate([np.arange(k) for k in sizes]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), node, n, places, rare], names=list(_MEMBER))
 
     def several(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = np.zeros((3, 0), np.int64)
+        left = np.zeros((len(_MEMBER), 0), np.int64)
         for batch in groups:
             rows = np.concatenate([left, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
             if not rows.shape[1]:
@@ -121,8 +128,9 @@ def _members(docs: DataFrame) -> DataFrame:
             yield from _shared_rows(done)
         yield from _shared_rows(left)
 
-    rows = docs.select("text").mapInArrow(of, "shingle bigint, node bigint, n bigint")
-    return settle(rows.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(several, "shingle bigint, node bigint, n bigint"), "members")
+    kinds = ", ".join(f"{c} bigint" for c in _MEMBER)
+    rows = docs.select("text").mapInArrow(of, kinds)
+    return settle(rows.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(several, kinds), "members")
 
 
 def _different(rows: np.ndarray) -> np.ndarray:
@@ -136,19 +144,24 @@ def _shared_rows(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     same = rows[0, 1:] == rows[0, :-1]
     rows = rows[:, np.concatenate((same, [False]))[:rows.shape[1]] | np.concatenate(([False], same))[:rows.shape[1]]]
     if rows.shape[1]:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["shingle", "node", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=list(_MEMBER))
+
+
+def _may_meet(n: Column, left: Column, other_n: Column, other_left: Column) -> Column:
+    """Whether a common shingle, of so many each and with so many left from it on, can be the first one that two texts with a similarity of 0.8 share."""
+    return 4 * (n + other_n) <= 9 * F.least(left, other_left)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of rows (shingle, node, n, root) sorted by shingle that have different roots and whose sizes allow the similarity."""
-    group, left = None, np.zeros((3, 0), np.int64)
+    """All pairs of rows (shingle, node, n, left, root) sorted by shingle that have different roots and may meet (see `_may_meet`)."""
+    group, left = None, np.zeros((4, 0), np.int64)
     for batch in batches:
         shingle, *rest = (c.to_numpy() for c in batch.columns)
         rows = np.stack(rest)
         cuts = np.nonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))[0].tolist() if len(shingle) else []
         for a, b in zip(cuts, [*cuts[1:], len(shingle)], strict=True):
             if shingle[a] != group:
-                group, left = shingle[a], np.zeros((3, 0), np.int64)
+                group, left = shingle[a], np.zeros((4, 0), np.int64)
             own = rows[:, a:b]
             # Rows of a group meet those before them, a bounded number at a time.
             left = np.concatenate([left, own], axis=1)
@@ -156,7 +169,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = max(1, PAIRS // left.shape[1])
             for i in range(before, left.shape[1], step):
                 x, y = left[:, i:i + step, None], left[:, None, :i + step]
-                able = (x[2] != y[2]) & (5 * x[1] >= 4 * y[1]) & (5 * y[1] >= 4 * x[1]) & (np.arange(i, i + x.shape[1])[:, None] > np.arange(y.shape[2]))
+                able = (x[3] != y[3]) & (4 * (x[1] + y[1]) <= 9 * np.minimum(x[2], y[2])) & (np.arange(i, i + x.shape[1])[:, None] > np.arange(y.shape[2]))
                 p, q = np.nonzero(able)
                 if len(p):
                     p, q = left[0, i + p], left[0, q]
@@ -237,18 +250,19 @@ def near_copies(docs: DataFrame, linked: DataFrame) -> DataFrame:
     with batches_of(spark, ROWS):
         outlined = settle(_outlines(docs), "nodes")
     marked = outlined.select("doc_id", "node")
-    members = _members(docs)
+    members = _members(docs).withColumn("left", F.col("n") - F.col("place"))
+    # A text that shares no shingle where it must has no near copy, whatever its fingerprint.
     outlines = settle(outlined.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("outline").alias("outline")), "outlines")
     # One order of nodes for all shingles: texts that share many shingles meet the same text, once.
-    pivot = members.groupBy("shingle").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("p"))
-    star = members.join(pivot, "shingle").filter("node <> p.node and 5 * n >= 4 * p.n and 5 * p.n >= 4 * n")
+    pivot = members.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "left"), F.struct("rare", F.xxhash64("node"))).alias("p"))
+    star = members.join(pivot, "shingle").filter("node <> p.node").filter(_may_meet(F.col("n"), F.col("left"), F.col("p.n"), F.col("p.left")))
     star = star.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b"))
     found = _verified(linked.unionByName(star), docs, outlines)
     first = settle(components(found), "first")
-    placed = settle(members.join(first, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root")), "members")
+    members = settle(members.join(first, "node", "left").select("shingle", "node", "n", "left", F.coalesce("root", "node").alias("root")), "members")
     # Where a shingle's texts are joined already, nothing is left to compare.
-    open_ = placed.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("many")).filter("x <> y and many > 2").select("shingle")
-    rest = placed.join(open_, "shingle", "left_semi").select("shingle", "node", "n", "root").repartition("shingle").sortWithinPartitions("shingle")
+    open_ = members.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("many")).filter("x <> y and many > 2").select("shingle")
+    rest = members.join(open_, "shingle", "left_semi").select("shingle", "node", "n", "left", "root").repartition("shingle").sortWithinPartitions("shingle")
     found = found.unionByName(_verified(rest.mapInArrow(_pairs, "a bigint, b bigint"), docs, outlines))
     roots = settle(components(found), "roots")
     named = marked.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

@@ -82,3 +82,25 @@ def test_stage_compares_texts_of_near_fingerprints(spark, monkeypatch):
     prints = {near_copies._node(near_copies.byte_words(t)): simhash.fingerprint(t, 5) for _, t in rows}
     near = [(max(p), min(p)) for p in itertools.combinations(prints, 2) if (prints[p[0]] ^ prints[p[1]]).bit_count() <= 4]
     assert near and taken == [sorted(near)]
+
+
+def test_large_group_of_near_copies_meets_one_text(spark, monkeypatch):
+    pick, met, verified = random.Random(3), [], near_copies._verified
+
+    def spied(pairs, *rest):
+        met.append(pairs.distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_verified", spied)
+    monkeypatch.setattr(near_copies, "SAMPLED", 1)
+    base = [f"w{i}" for i in range(150)]
+    rows = [base]
+    for i in range(400):
+        new = list(base)
+        for k in range(pick.randint(1, 6)):
+            new[pick.randrange(150)] = f"new{i}-{k}"
+        rows.append(new)
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == plain_kept(rows)
+    assert sum(met) < 10 * len(rows)
