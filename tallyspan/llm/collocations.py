@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401, reached as pa.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyspan.llm.common import bit_map, bounded, in_map, settle, shared
+from tallyspan.llm.common import batches_under, bit_map, bounded, in_map, settle, shared
 
 #: Different fingerprints that a task holds before it hands them on.
 HELD = 1_200_000
@@ -31,6 +31,8 @@ HELD = 1_200_000
 HELD_TEXTS = 600_000
 #: Bytes of text whose words are numbered at once.
 STEP = 2_000_000
+#: Bytes of rows that reach a task's Python at once; rows of blocks are some hundred kilobytes each, and Spark would send a whole partition of them.
+AT_ONCE = 4_000_000
 #: Blocks of the range of fingerprints for each partition of a shuffle. One block is held at a time.
 BLOCKS = 4
 #: Stands for a document without number.
@@ -397,11 +399,12 @@ def phrase_counts(docs: DataFrame, settings: Settings | None = None) -> DataFram
         counted = rows.select("text", "lang").mapInArrow(task, COUNTED).repartition(partitions, "block").sortWithinPartitions("block")
         return settle(counted.mapInArrow(_frequent(settings.least), "print bigint"), "prints")
 
-    bits = bit_map(frequent(_short(blocks)))
-    for n in range(3, settings.longest + 1):
-        bits = bits | bit_map(frequent(_longer(n, blocks, shared(spark, bits))))
-    read = rows.mapInArrow(_read(settings.longest, blocks, shared(spark, bits)), READ).repartition(partitions, "block").sortWithinPartitions("block")
-    return settle(read.mapInArrow(_by_text(settings.least), FOUND), "phrases")
+    with batches_under(spark, AT_ONCE):
+        bits = bit_map(frequent(_short(blocks)))
+        for n in range(3, settings.longest + 1):
+            bits = bits | bit_map(frequent(_longer(n, blocks, shared(spark, bits))))
+        read = rows.mapInArrow(_read(settings.longest, blocks, shared(spark, bits)), READ).repartition(partitions, "block").sortWithinPartitions("block")
+        return settle(read.mapInArrow(_by_text(settings.least), FOUND), "phrases")
 
 
 def score(a: str, left: str, right: str) -> Column:

@@ -90,9 +90,21 @@ def bit_map(numbers: DataFrame) -> np.ndarray:
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """What is settled inside reaches Python so many rows at a time, where each row carries whole texts; the setting before comes back afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows):
+        yield
+
+
+@contextmanager
+def batches_under(spark: SparkSession, size: int) -> Iterator[None]:
+    """What is settled inside reaches Python about so many bytes at a time, but one row at least, where a row carries a block; the setting before comes back afterwards."""
+    with _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size):
+        yield
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: int) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, str(value))
     try:
         yield
     finally:

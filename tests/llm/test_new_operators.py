@@ -106,6 +106,36 @@ def test_collocations_equal_a_plain_count(spark, monkeypatch, bits):
         assert texts[r["doc_id"]][r["place"]:].replace(b"\t", b" ").split()[:len(r["phrase"].split(" "))][0] == r["phrase"].encode().split(b" ")[0]
 
 
+def test_blocks_of_collocations_reach_python_a_few_at_a_time(spark, monkeypatch):
+    most, whole = 20_000, collocations._by_text
+
+    def bounded_only(least):
+        inner = whole(least)
+
+        def of(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.num_rows == 1 or batch.nbytes < 10 * most
+                    yield batch
+
+            return inner(seen())
+
+        return of
+
+    r = random.Random(8)
+    rows = [(i, "en", " ".join(f"w{r.randrange(3000)}" for _ in range(400))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(4)
+    settings = collocations.Settings(least=1)
+    expected = sorted((x["phrase"], x["many"]) for x in collocations.phrase_counts(docs, settings).collect())
+    monkeypatch.setattr(collocations, "_by_text", bounded_only)
+    monkeypatch.setattr(collocations, "HELD_TEXTS", 5_000)
+    monkeypatch.setattr(collocations, "STEP", 10_000)
+    monkeypatch.setattr(collocations, "AT_ONCE", most, raising=False)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert sorted((x["phrase"], x["many"]) for x in collocations.phrase_counts(docs, settings).collect()) == expected
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_collocations_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id bigint, lang string, text string")
     assert collocations.collocations(empty).count() == 0
